@@ -135,25 +135,36 @@ def pack_messages(messages: Column) -> Column:
     return F.array_join(F.transform(F.filter(messages, lambda m: m.isNotNull()), lambda m: chunk(m["role"], m["content"])), "\n")
 
 
-def pack_conversations(df: DataFrame, block: int = 64) -> DataFrame:
-    """Flat (conv_id, turn, role, text) rows to one packed text per conversation, in turn order.
+def _join_turns(df: DataFrame, piece: Column, separator: str, block: int) -> DataFrame:
+    """One text per conversation from one piece per turn, in turn order.
 
-    Turns are first packed in blocks, so a long conversation is put together by many
-    tasks; the second step only joins finished blocks.
+    Pieces are first joined in blocks of turns, so a long conversation is put together
+    by many tasks; the second step only joins finished blocks.
     """
-    message = F.struct("turn", chunk(F.col("role"), F.col("text")).alias("c"))
-    blocks = (
-        df.groupBy("conv_id", F.floor(F.col("turn") / block).alias("block"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(message)).alias("m"))
-        .select("conv_id", "block", "n", F.array_join(F.transform("m", lambda m: m["c"]), "\n").alias("c"))
+    def joined(parts):
+        return F.array_join(F.transform(parts, lambda m: m["piece"]), separator)
+
+    pieces = df.select("conv_id", "turn", F.floor(F.col("turn") / block).alias("block"), piece.alias("piece"))
+    blocks = pieces.groupBy("conv_id", "block").agg(
+        F.count(F.lit(1)).alias("n"), joined(F.sort_array(F.collect_list(F.struct("turn", "piece")))).alias("piece")
     )
-    return (
-        blocks.groupBy("conv_id")
-        .agg(F.sum("n").alias("n_messages"), F.sort_array(F.collect_list(F.struct("block", "c"))).alias("m"))
-        .select("conv_id", "n_messages", F.array_join(F.transform("m", lambda m: m["c"]), "\n").alias("text"))
+    return blocks.groupBy("conv_id").agg(
+        F.sum("n").alias("n_messages"), joined(F.sort_array(F.collect_list(F.struct("block", "piece")))).alias("text")
     )
 
 
+def pack_conversations(df: DataFrame, block: int = 64) -> DataFrame:
+    """Flat (conv_id, turn, role, text) rows to one packed text per conversation."""
+    return _join_turns(df, chunk(F.col("role"), F.col("text")), "\n", block)
+
+
+def conversation_records(df: DataFrame, block: int = 64) -> DataFrame:
+    """The same rows to one record, as JSON text, per conversation."""
+    message = F.to_json(F.struct("role", F.col("text").alias("content")), _KEEP_NULLS)
+    joined = _join_turns(df, message, ",", block)
+    return joined.select("conv_id", "n_messages", F.concat(F.lit('{"messages":['), "text", F.lit("]}")).alias("record"))
+
+
 def role_counts(df: DataFrame) -> DataFrame:
     """Messages per role, from flat message rows."""
     return df.groupBy("role").agg(F.count(F.lit(1)).alias("n_messages"))
