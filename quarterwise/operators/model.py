@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarterwise.operators import backtest
 from quarterwise.operators.evaluate import pooled_metrics
 from quarterwise.operators.features import present_features
+from quarterwise.session import materialise
 from quarterwise.spec import MODEL_FEATURES, PanelSpec
 
 _VECTOR = "__features"
@@ -74,7 +75,9 @@ def train(
     """Fit the pooled regressor on complete rows. Validation rows are never used to stop early."""
     used = present_features(df, features)
     complete = df.na.drop("any", subset=[*used, target])
-    rows = complete.select(F.col(target).cast("double").alias("label"), *used)
+    # boosting reads its input many times: the rows are written once, so that neither the
+    # plan behind them nor a lost executor makes Spark compute them again
+    rows = materialise(complete.select(F.col(target).cast("double").alias("label"), *used), "training-rows")
     n = rows.count()
     params = choose_params(n, len(used) if count_features else 0, regular, small)
     learner = GBTRegressor(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarterwise.operators import features, model, normalise, splits
 from quarterwise.operators.evaluate import prediction_interval
 from quarterwise.plans import views as v
+from quarterwise.session import materialise
 
 # a few trees, so that the queries stay short; the default is 600
 FEW = model.TreeParams(10, 4, 0.3)
@@ -13,7 +14,7 @@ _FEATURES = ["lag_1", "lag_2", "diff_1", "growth_1", "mean_2", "month", "year",
 
 def ml_train_metrics(spark, sf):
     """Rows, MAE and RMSE on the chronologically last fifth."""
-    split = splits.chronological_split(features.supervised(v.fin_series(spark, sf)))
+    split = materialise(splits.chronological_split(features.supervised(v.fin_series(spark, sf))), "split")
     train, val = split.where("split = 'train'"), split.where("split = 'val'")
     return model.train_and_validate(train, val, _FEATURES, regular=FEW)[1]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quarterwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,7 +29,7 @@ def build_session(app: str = "quarterwise", master: str | None = None, **conf: s
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only when Spark itself is local."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -47,3 +47,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hadoop_path))
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back: a cut in its lineage."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
