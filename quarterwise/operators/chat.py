@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarterwise.functions.json import strict_json
 from quarterwise.operators.neighbours import with_neighbours
 from quarterwise.spec import EXOG
 
@@ -216,7 +217,7 @@ def parse_answers(df: DataFrame, text: str = "answer") -> DataFrame:
     stripped = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     found = F.nullif(F.regexp_extract(stripped, r"(?s)\{.*\}", 0), F.lit(""))
     repaired = F.regexp_replace(found, r",\s*([}\]])", "$1")
-    out = df.withColumns({"__whole": F.try_parse_json(stripped), "__part": F.try_parse_json(repaired), "__text": stripped, "__found": found})
+    out = df.withColumns({"__whole": strict_json(stripped), "__part": strict_json(repaired), "__text": stripped, "__found": found})
     is_whole, is_part = F.col("__whole").isNotNull(), F.col("__part").isNotNull()
     how = F.when(is_whole, "whole").when(is_part, "repaired").when(F.col("__found").isNull(), "text").otherwise("error")
     json = F.when(is_whole, F.col("__whole")).when(is_part, F.col("__part"))
@@ -240,7 +241,7 @@ def check_records(lines: DataFrame, column: str = "value") -> DataFrame:
 
     Keys are looked up in the parsed value, so a key that holds null counts as there.
     """
-    v = F.try_parse_json(F.col(column))
+    v = strict_json(F.col(column))
     messages = F.try_variant_get("__v", "$.messages", "array<variant>")
     lacking = F.size(
         F.filter(

@@ -37,7 +37,7 @@ def src_json_panel(spark, sf):
 def src_tagged_files(spark, sf):
     raw = v.fin_raw(spark, sf)
     path = new_folder(spark, "tagged")
-    files.write_by_entity(raw, path, F.substring("Date", 1, 4), fmt="csv")
+    files.write_by_entity(raw, path, fmt="csv")
     return clean.clean_panel(records.read_tagged_files(spark, path, _RAW))
 
 
@@ -145,7 +145,7 @@ def sink_json_na_roundtrip(spark, sf):
 def sink_partitioned(spark, sf):
     path = new_folder(spark, "by-company")
     pred = v.fin_pred(spark, sf).select("Company", "Date", "Revenues", "xgb_point")
-    files.write_by_entity(pred, path, F.year("Date"))
+    files.write_by_entity(pred, path)
     return records.read_artifact(spark, path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterwise.functions.numbers import NOT_AVAILABLE
@@ -35,10 +35,10 @@ def write_json_records(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_by_entity(df: DataFrame, path: str, split: Column, entity: str = "Company", fmt: str = "parquet") -> str:
-    """One folder per entity. `split` divides an entity's rows, so a large one is written by many tasks."""
-    spread = df.withColumn("__split", split).repartition(entity, "__split").drop("__split")
-    spread.write.mode("overwrite").option("header", True).option("nullValue", NOT_AVAILABLE).partitionBy(entity).format(fmt).save(path)
+def write_by_entity(df: DataFrame, path: str, entity: str = "Company", fmt: str = "parquet") -> str:
+    """One folder per entity. Rebalancing gathers small entities and splits large ones by measured size."""
+    writer = df.hint("rebalance", entity).write.mode("overwrite").option("header", True).option("nullValue", NOT_AVAILABLE)
+    writer.partitionBy(entity).format(fmt).save(path)
     return path
 
 

@@ -72,6 +72,6 @@ def upsert_predictions(df: DataFrame, path: str, order: Sequence[str] = (), keep
         merged = merge_keep_last(stored.where(touched), new, sort)
     else:
         merged = keep_last(new, sort)
-    writer = merged.drop(*sort).repartition(_PART, "Company").write.mode("overwrite")
+    writer = merged.drop(*sort).hint("rebalance", _PART).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(path)
     return path
