@@ -59,7 +59,7 @@ def chat_rows_last(spark, sf):
 
 
 def _normal(spark, sf):
-    return normalise.normalise_predictions(v.fin_pred(spark, sf), "Revenues")
+    return normalise.normalise_predictions(v.predictions(spark, sf), "Revenues")
 
 
 def chat_history(spark, sf):

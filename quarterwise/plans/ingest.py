@@ -109,7 +109,7 @@ def sink_raw_facts(spark, sf):
 
 def sink_parquet_roundtrip(spark, sf):
     path = new_folder(spark, "supervised")
-    files.write_artifact(features.supervised(v.fin_series(spark, sf)), path)
+    files.write_artifact(features.supervised(v.panel(spark, sf)), path)
     return records.read_artifact(spark, path + "-absent", path)
 
 
@@ -121,7 +121,7 @@ def sink_two_targets(spark, sf):
 
 def sink_upsert_dedupe(spark, sf):
     """Quarters 1-3, then quarters 2-4 with every row twice: the second of the later pair stays."""
-    pred = v.fin_pred(spark, sf)
+    pred = v.predictions(spark, sf)
     path = new_folder(spark, "predictions")
     upsert.upsert_predictions(pred.where(F.col("quarter") <= 3), path)
     twice = pred.where(F.col("quarter") >= 2).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))

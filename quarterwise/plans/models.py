@@ -14,14 +14,14 @@ _FEATURES = ["lag_1", "lag_2", "diff_1", "growth_1", "mean_2", "month", "year",
 
 def ml_train_metrics(spark, sf):
     """Rows, MAE and RMSE on the chronologically last fifth."""
-    split = materialise(splits.chronological_split(features.supervised(v.fin_series(spark, sf))), "split")
+    split = materialise(splits.chronological_split(features.supervised(v.panel(spark, sf))), "split")
     train, val = split.where("split = 'train'"), split.where("split = 'val'")
     return model.train_and_validate(train, val, _FEATURES, regular=FEW)[1]
 
 
 def ml_predict_masked(spark, sf):
     """Forecasts with intervals; rows with a missing feature keep NULL."""
-    feats = features.timeseries_features(v.fin_series(spark, sf))
+    feats = materialise(features.timeseries_features(v.panel(spark, sf)), "features")
     trained = splits.hash_split(feats, ["Company", "Date"]).where("split = 'train'")
     fitted = model.train(trained, "Revenues", _FEATURES, regular=FEW, count_features=True)
     out = prediction_interval(model.predict(feats, fitted), "Revenues", ["Company", "Date"])
@@ -29,12 +29,12 @@ def ml_predict_masked(spark, sf):
 
 
 def ml_backtest(spark, sf):
-    panel = v.fin_series(spark, sf)
+    panel = v.panel(spark, sf)
     return model.run_backtest(panel, features.supervised(panel), v.TRAIN_END, v.TEST_DATE, _FEATURES, regular=FEW)
 
 
 def ml_backtest_strict(spark, sf):
-    panel = v.fin_series(spark, sf)
+    panel = v.panel(spark, sf)
     sup = features.supervised_strict(panel)
     return model.run_backtest(panel, sup, v.TRAIN_END, v.TEST_DATE, _FEATURES, strict=True, regular=FEW)
 

@@ -8,6 +8,7 @@ from quarterwise.functions.calendar import quarter_end
 from quarterwise.operators import clean, features, splits
 from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
+from quarterwise.session import materialise
 from quarterwise.spec import PanelSpec
 
 _SERIES = 'Company, "Date", Revenues, OperatingExpenses, GrossProfit, Assets, StockholdersEquity'
@@ -27,11 +28,11 @@ def clean_drop_null_rows(spark, sf):
 def clean_drop_null_cols(spark, sf):
     # Liabilities is not in the input, so it comes out of cleaning without any value
     wide = PanelSpec(exog=(*PanelSpec().exog, "Liabilities"))
-    return clean.drop_null_columns(clean.clean_panel(v.fin_raw(spark, sf), wide))
+    return clean.drop_null_columns(materialise(clean.clean_panel(v.fin_raw(spark, sf), wide), "clean"))
 
 
 def union_companies(spark, sf):
-    panel = v.fin_series(spark, sf)
+    panel = v.panel(spark, sf)
     with_kpi = panel.where(F.col("Revenues").isNotNull()).select("Company", "Date", "Revenues", "Assets")
     without = panel.where(F.col("Revenues").isNull()).select("Company", "Date", "GrossProfit")
     return clean.union_entities(
@@ -48,20 +49,20 @@ def profile_nonnull(spark, sf):
 
 
 def feat_timeseries(spark, sf):
-    return features.timeseries_features(v.fin_series(spark, sf)).drop("arima_naive", "arima_drift")
+    return features.timeseries_features(v.panel(spark, sf)).drop("arima_naive", "arima_drift")
 
 
 def feat_baselines(spark, sf):
-    out = features.timeseries_features(v.fin_series(spark, sf))
+    out = features.timeseries_features(v.panel(spark, sf))
     return out.select("Company", "Date", "Revenues", "lag_1", "lag_2", "arima_naive", "arima_drift")
 
 
 def feat_supervised(spark, sf):
-    return features.supervised(v.fin_series(spark, sf))
+    return features.supervised(v.panel(spark, sf))
 
 
 def feat_supervised_strict(spark, sf):
-    return features.supervised_strict(v.fin_series(spark, sf))
+    return features.supervised_strict(v.panel(spark, sf))
 
 
 def feat_last_row(spark, sf):
@@ -73,11 +74,11 @@ def feat_last_row_sparse(spark, sf):
 
 
 def feat_timeseries_sparse(spark, sf):
-    return features.timeseries_features(v.fin_sparse(spark, sf), v.SPARSE)
+    return features.timeseries_features(v.sparse_panel(spark, sf), v.SPARSE)
 
 
 def feat_leakage_contrast(spark, sf):
-    return features.leakage_contrast(v.fin_series(spark, sf))
+    return features.leakage_contrast(v.panel(spark, sf))
 
 
 def feat_calendar(spark, sf):
@@ -88,7 +89,7 @@ def feat_calendar(spark, sf):
 
 
 def feature_coverage(spark, sf):
-    sup = features.supervised(v.fin_series(spark, sf))
+    sup = features.supervised(v.panel(spark, sf))
     return features.feature_coverage(sup)
 
 
@@ -101,17 +102,17 @@ def preview_head(spark, sf):
 
 
 def split_chronological(spark, sf):
-    sup = features.supervised(v.fin_series(spark, sf))
+    sup = materialise(features.supervised(v.panel(spark, sf)), "supervised")
     return splits.chronological_split(sup).select("Company", "Date", "y_next", "split")
 
 
 def split_chronological_sparse(spark, sf):
-    return splits.chronological_split(v.fin_sparse(spark, sf), 0.8, v.SPARSE)
+    return splits.chronological_split(v.sparse_panel(spark, sf), 0.8, v.SPARSE)
 
 
 def split_head(spark, sf):
     rows = features.last_row_features(v.fin_sparse(spark, sf), v.SPARSE).select("Company", "Date", "Revenues")
-    return splits.head_split(rows, ["Company"], 0.2)
+    return splits.head_split(materialise(rows, "last-rows"), ["Company"], 0.2)
 
 
 def split_hash(spark, sf):

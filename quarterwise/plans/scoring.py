@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarterwise.operators import backtest, evaluate, features, normalise
 from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
+from quarterwise.session import materialise
 
 ORDER = ["Company", "Date"]
 
@@ -30,7 +31,7 @@ def eval_ewma_vol_by_company(spark, sf):
 
 
 def eval_prediction_interval(spark, sf):
-    out = evaluate.prediction_interval(v.fin_pred(spark, sf), "Revenues", ORDER)
+    out = evaluate.prediction_interval(v.predictions(spark, sf), "Revenues", ORDER)
     return _rounded(out, 2, "pi_lower", "pi_upper").select("Company", "Date", "xgb_point", "pi_lower", "pi_upper")
 
 
@@ -40,12 +41,12 @@ def report_actual_vs_pred(spark, sf):
 
 
 def bt_train_rows(spark, sf):
-    rows = backtest.training_rows(features.supervised(v.fin_series(spark, sf), label_date=True), v.TRAIN_END)
+    rows = backtest.training_rows(features.supervised(v.panel(spark, sf), label_date=True), v.TRAIN_END)
     return rows.select("Company", "Date", "label_date", "lag_1", "growth_1", "y_next")
 
 
 def bt_train_rows_strict(spark, sf):
-    sup = features.supervised(v.fin_series(spark, sf), label_date=True)
+    sup = features.supervised(v.panel(spark, sf), label_date=True)
     return backtest.training_rows(sup, v.TRAIN_END, strict=True).select("Company", "Date", "label_date", "y_next")
 
 
@@ -59,13 +60,13 @@ def bt_asof_exog(spark, sf):
 
 
 def bt_leakage_report(spark, sf):
-    panel = v.fin_series(spark, sf)
+    panel = v.panel(spark, sf)
     train = backtest.training_rows(features.supervised(panel, label_date=True), v.TRAIN_END)
     return backtest.leakage_report(train, backtest.test_rows(panel, v.TEST_DATE), v.TRAIN_END, v.TEST_DATE)
 
 
 def _compared(spark, sf, actual):
-    panel = v.fin_series(spark, sf)
+    panel = v.panel(spark, sf)
     rows = backtest.naive_drift(backtest.test_rows(panel, v.TEST_DATE))
     truth = backtest.actuals(features.supervised(panel), panel, [v.TEST_DATE], actual=actual)
     return backtest.compare(rows, truth, ["arima_naive", "arima_drift"])
@@ -84,7 +85,7 @@ def eval_backtest_metrics(spark, sf):
 
 
 def bt_history_report(spark, sf):
-    panel = v.fin_series(spark, sf)
+    panel = v.panel(spark, sf)
     return backtest.history_report(panel, features.supervised(panel), v.TRAIN_END, v.TEST_DATE)
 
 
@@ -95,15 +96,15 @@ def _walk(panel, spec, actual="next"):
 
 
 def bt_walk_forward(spark, sf):
-    return _walk(v.fin_series(spark, sf), v.PanelSpec())
+    return _walk(v.panel(spark, sf), v.PanelSpec())
 
 
 def bt_walk_forward_strict(spark, sf):
-    return _walk(v.fin_series(spark, sf), v.PanelSpec(), "at_test_date")
+    return _walk(v.panel(spark, sf), v.PanelSpec(), "at_test_date")
 
 
 def bt_walk_forward_sparse(spark, sf):
-    return _walk(v.fin_sparse(spark, sf), v.SPARSE)
+    return _walk(v.sparse_panel(spark, sf), v.SPARSE)
 
 
 def bt_walk_forward_rows(spark, sf):
@@ -119,7 +120,7 @@ def norm_aliases(spark, sf):
         F.col("xgb_point").alias("xgb_pred"),
         F.col("Date").alias("target_date"),
     )
-    return normalise.normalise_predictions(foreign)
+    return normalise.normalise_predictions(materialise(foreign, "foreign"))
 
 
 def norm_finalize(spark, sf):
@@ -128,7 +129,7 @@ def norm_finalize(spark, sf):
 
 
 def norm_year_quarter(spark, sf):
-    base = v.fin_pred(spark, sf).select("Company", "Date", "year", "quarter")
+    base = features.add_calendar(v.panel(spark, sf)).select("Company", "Date", "year", "quarter")
     y = (F.col("year") + 20).cast("string")
     q = F.col("quarter").cast("string")
     label = (
@@ -148,7 +149,7 @@ def norm_year_quarter(spark, sf):
 
 
 def proj_answer_key(spark, sf):
-    df = normalise.finalise(v.fin_pred(spark, sf), "Total Revenues")
+    df = normalise.finalise(v.fin_series(spark, sf), "Total Revenues")
     key = normalise.answer_key(*[F.col(c) for c in ("Company", "KPI", "year", "quarter")])
     return df.select("Company", "Date", key.alias("answer_key"))
 

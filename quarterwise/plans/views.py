@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarterwise.functions.calendar import quarter_end
 from quarterwise.functions.numbers import null_to_blank
 from quarterwise.operators.features import timeseries_features
+from quarterwise.session import materialise
 from quarterwise.spec import PanelSpec
 
 # The dates of the one-fold backtest and of the walk-forward.
@@ -28,42 +29,62 @@ def _money(c):
     return F.col(c).cast("decimal(12,2)")
 
 
-def _rate(c):
-    return F.col(c).cast("decimal(4,2)")
+def _hundredths(c):
+    """Two-digit amounts and rates as whole hundredths: sums of them are exact and cheap."""
+    return F.round(F.col(c) * 100).cast("bigint")
+
+
+def _total(c, digits):
+    """Exact total of whole units of 10^-digits, as a double."""
+    return (F.sum(F.col(c).cast("decimal(18,0)")) / F.lit(10**digits)).cast("double").alias(c)
 
 
 def fin_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense panel: one row per nation and quarter."""
     lines = table(spark, sf_dir, "lineitem")
     per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum(_money("l_extendedprice") * _rate("l_discount")).alias("opex"),
-        F.sum(_money("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - _rate("l_discount"))).alias("gross"),
-        F.sum(_money("l_quantity")).alias("assets"),
-        F.sum(_money("l_extendedprice") * _rate("l_tax")).alias("equity"),
+        F.sum(_hundredths("l_extendedprice") * _hundredths("l_discount")).alias("opex"),
+        F.sum(_hundredths("l_extendedprice") * (F.lit(100) - _hundredths("l_discount"))).alias("gross"),
+        F.sum(_hundredths("l_quantity")).alias("assets"),
+        F.sum(_hundredths("l_extendedprice") * _hundredths("l_tax")).alias("equity"),
     )
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("d"), "o_totalprice"
+        "o_orderkey",
+        F.col("o_custkey").alias("c_custkey"),
+        F.col("o_orderdate").cast("date").alias("d"),
+        _hundredths("o_totalprice").alias("rev"),
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = orders.join(per_order, "o_orderkey", "left").join(customers, "c_custkey").join(nations, "n_nationkey")
     grouped = joined.groupBy("n_nationkey", F.col("n_name").alias("Company"), quarter_end(F.col("d")).alias("Date")).agg(
-        F.sum(_money("o_totalprice")).alias("rev"),
-        *[F.sum(c).alias(c) for c in ("opex", "gross", "assets", "equity")],
+        _total("rev", 2), _total("opex", 4), _total("gross", 4), _total("assets", 2), _total("equity", 4)
     )
     qi = (F.year("Date") - 1995) * 4 + F.quarter("Date") - 1
     mark = F.col("n_nationkey") * 31 + qi
     return grouped.select(
         "Company",
         "Date",
-        F.when(mark % 13 == 0, None).when(mark % 17 == 0, 0.0).otherwise(F.col("rev").cast("double")).alias("Revenues"),
-        F.col("opex").cast("double").alias("OperatingExpenses"),
-        F.col("gross").cast("double").alias("GrossProfit"),
-        F.col("assets").cast("double").alias("Assets"),
-        F.when((F.col("n_nationkey") + qi) % 5 >= 2, F.col("equity").cast("double")).alias("StockholdersEquity"),
+        F.when(mark % 13 == 0, None).when(mark % 17 == 0, 0.0).otherwise(F.col("rev")).alias("Revenues"),
+        F.col("opex").alias("OperatingExpenses"),
+        F.col("gross").alias("GrossProfit"),
+        F.col("assets").alias("Assets"),
+        F.when((F.col("n_nationkey") + qi) % 5 >= 2, F.col("equity")).alias("StockholdersEquity"),
     )
 
 
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel as a stored table, for queries that read it more than once.
+
+    It is small next to the order lines it is made from, which are then scanned once.
+    """
+    return materialise(fin_series(spark, sf_dir), "panel")
+
+
+def sparse_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(fin_sparse(spark, sf_dir), "sparse-panel")
+
+
 def fin_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular panel: one row per customer and quarter with orders."""
     per_customer = (
@@ -123,10 +144,15 @@ def fin_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fin_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, baselines and a formula in place of the model's forecast."""
-    feats = timeseries_features(fin_series(spark, sf_dir))
+    feats = timeseries_features(panel(spark, sf_dir))
     return feats.withColumns(
         {
             "quarter": F.quarter("Date"),
             "xgb_point": F.lit(0.7) * F.col("lag_1") + F.lit(0.3) * F.col("lag_2"),
         }
     )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table."""
+    return materialise(fin_pred(spark, sf_dir), "predictions")
