@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarterwise.operators import backtest
 from quarterwise.operators.evaluate import pooled_metrics
 from quarterwise.operators.features import present_features
+from quarterwise.operators.splits import hash_split
 from quarterwise.session import materialise
 from quarterwise.spec import MODEL_FEATURES, PanelSpec
 
@@ -71,15 +72,25 @@ def train(
     regular: TreeParams = REGULAR,
     small: TreeParams = SMALL,
     count_features: bool = False,
+    holdout: Sequence[str] = (),
 ) -> TrainedModel:
-    """Fit the pooled regressor on complete rows. Validation rows are never used to stop early."""
+    """Fit the pooled regressor on complete rows. Validation rows are never used to stop early.
+
+    With `holdout`, about a fifth of the rows, told by a hash of these key columns, is kept
+    out of the fit, unless the set is too small for the regular parameters.
+    """
     used = present_features(df, features)
     complete = df.na.drop("any", subset=[*used, target])
+    if holdout:
+        complete = hash_split(complete, holdout)
+    extra = ["split"] if holdout else []
     # boosting reads its input many times: the rows are written once, so that neither the
     # plan behind them nor a lost executor makes Spark compute them again
-    rows = materialise(complete.select(F.col(target).cast("double").alias("label"), *used), "training-rows")
+    rows = materialise(complete.select(F.col(target).cast("double").alias("label"), *used, *extra), "training-rows")
     n = rows.count()
     params = choose_params(n, len(used) if count_features else 0, regular, small)
+    if holdout and params is regular:
+        rows = rows.where(F.col("split") == "train")
     learner = GBTRegressor(
         featuresCol=_VECTOR,
         labelCol="label",

@@ -12,15 +12,21 @@ scale when one entity holds a large share of the table. Here the window runs ove
 
 Every slice has at least one row, so the k slices before it always hold the k rows
 before its first row. The result equals the plain window, row for row.
+
+The input is read twice, the second time for the key, order and value columns only.
+Store it first if it is costly to compute.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterwise.spec import PanelSpec
+
 _SLICE = "__slice"
 _RN = "__rn"
 _N = "__n"
@@ -30,13 +36,14 @@ def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    slice_by: Column,
+    slice_by: Column | None,
     wanted: Mapping[str, tuple[str | Column, int]],
 ) -> DataFrame:
     """Add columns holding a value from `offset` rows away (negative: earlier).
 
     wanted maps a new column name to (column, offset). `slice_by` must never decrease
-    along `order` within a key and must not be NULL. Rows with a NULL key are dropped,
+    along `order` within a key and must not be NULL; None leaves histories whole, for
+    tables whose longest history is known to be short. Rows with a NULL key are dropped,
     as a group-by on the key would drop them. Where there is no such row the new
     column is NULL.
     """
@@ -49,6 +56,11 @@ def with_neighbours(
     values = {field_of[name]: _wrap(col) for name, (col, _) in wanted.items()}
 
     present = df.where(_all_not_null(keys))
+    if slice_by is None:
+        whole = Window.partitionBy(*keys).orderBy(*[c.asc_nulls_last() for c in order_cols.values()])
+        return present.withColumns(
+            {name: (F.lag(col, -o) if o < 0 else F.lead(col, o)).over(whole) for name, (col, o) in wanted.items()}
+        )
     sliced = present.withColumns({_SLICE: slice_by, **order_cols, **values})
     group = [*keys, _SLICE]
     ascending = [F.col(c).asc_nulls_last() for c in order_cols]
@@ -118,6 +130,22 @@ def _slice_borders(narrow, keys, order_cols, values, back, ahead):
     return summary.withColumns(cols).select(*group, *cols)
 
 
+def fit_slices(df: DataFrame, spec: PanelSpec = PanelSpec(), max_rows: int = 1_000_000) -> PanelSpec:
+    """The spec with the coarsest slices that hold at most `max_rows` rows each.
+
+    An action: one count per entity, and one more for every finer unit that is tried.
+    Counts are combined before the exchange, so a hot entity does no harm here.
+    """
+    present = df.where(_all_not_null(spec.keys))
+    for unit in ("none", "year", "quarter", "month", "day"):
+        tried = replace(spec, slice_unit=unit, tie_slices=1)
+        cut = tried.slice_expr(df)
+        counted = present.groupBy(*spec.keys, *([] if cut is None else [cut.alias(_SLICE)])).count()
+        if (counted.agg(F.max("count")).first()[0] or 0) <= max_rows:
+            return tried
+    return replace(spec, slice_unit="day", tie_slices=64)
+
+
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, rank: str) -> DataFrame:
     """The last `n` rows per key, newest ranked 1.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarterwise.operators import clean, facts, features
+from quarterwise.operators import chat, clean, facts, features, normalise
 from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
 from quarterwise.session import new_folder
@@ -149,6 +149,17 @@ def sink_partitioned(spark, sf):
     return records.read_artifact(spark, path)
 
 
+def sink_answers(spark, sf):
+    """Keyed answers, written and read back."""
+    pred = normalise.finalise(v.fin_pred(spark, sf), "Net Revenues")
+    key = normalise.answer_key(*[F.col(c) for c in ("Company", "KPI", "year", "quarter")])
+    answer = F.to_json(F.struct(F.col("xgb_point").alias("final_forecast"), F.col("KPI").alias("explanation")))
+    path = new_folder(spark, "answers")
+    files.write_answers(pred.select(key.alias("k"), answer.alias("a")), path, "k", "a")
+    back = chat.parse_answers(spark.read.schema("key string, answer string").json(path))
+    return back.select("key", "how", "final_forecast", "explanation")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -168,6 +179,7 @@ QUERIES = {
         sink_csv_na_roundtrip,
         sink_json_na_roundtrip,
         sink_partitioned,
+        sink_answers,
     )
 }
 
@@ -201,5 +213,10 @@ ORACLE = {
     ),
     "sink_csv_na_roundtrip": sql("SELECT * FROM fin_series", "fin_series"),
     "sink_json_na_roundtrip": sql("SELECT * FROM fin_series", "fin_series"),
+    "sink_answers": sql(
+        """SELECT replace(concat(Company, '_', 'Net Revenues', '_', "year", 'Q', "quarter", '.json'), ' ', '_') AS "key",
+             'whole' AS how, xgb_point AS final_forecast, 'Net Revenues' AS explanation FROM fin_pred""",
+        "fin_pred",
+    ),
     "sink_partitioned": sql('SELECT Company, "Date", Revenues, xgb_point FROM fin_pred', "fin_pred"),
 }

@@ -22,8 +22,7 @@ def ml_train_metrics(spark, sf):
 def ml_predict_masked(spark, sf):
     """Forecasts with intervals; rows with a missing feature keep NULL."""
     feats = materialise(features.timeseries_features(v.panel(spark, sf)), "features")
-    trained = splits.hash_split(feats, ["Company", "Date"]).where("split = 'train'")
-    fitted = model.train(trained, "Revenues", _FEATURES, regular=FEW, count_features=True)
+    fitted = model.train(feats, "Revenues", _FEATURES, regular=FEW, count_features=True, holdout=["Company", "Date"])
     out = prediction_interval(model.predict(feats, fitted), "Revenues", ["Company", "Date"])
     return normalise.finalise(out, "Revenues")
 

@@ -21,9 +21,11 @@ class PanelSpec:
     """One row per (entity, time); `kpi` is forecast, `exog` are carried along.
 
     `slice_unit` is the calendar unit that cuts an entity's history into slices, so
-    that one long history is spread over many tasks. `tie_slices` above 1 also cuts
-    the rows of one (entity, time) by a hash; use it for tables that break the
-    one-row-per-key rule with very many rows on one date.
+    that one long history is spread over many tasks; "none" leaves histories whole, which
+    saves a pass where all are known to be short. `tie_slices` above 1 also cuts the rows
+    of one (entity, time) by a hash; use it for tables that break the one-row-per-key
+    rule with very many rows on one date. neighbours.fit_slices() measures a table and
+    picks these two.
     """
 
     entity: str = ENTITY
@@ -44,12 +46,14 @@ class PanelSpec:
         present = [c for c in (self.kpi, *self.exog) if c in df.columns]
         return F.xxhash64(*present)
 
-    def slice_expr(self, df: DataFrame) -> Column:
-        """Slice number, growing with (time, tie); undated rows come last.
+    def slice_expr(self, df: DataFrame) -> Column | None:
+        """Slice number, growing with (time, tie); undated rows come last. None if histories stay whole.
 
         Undated rows of an entity have no defined order, so they are cut by hash
         alone and never pile up in a single slice.
         """
+        if self.slice_unit == "none" and self.tie_slices <= 1:
+            return None
         bits = F.shiftright(self.tie(df), 58)  # -32..31, in the order of the hash
         t = F.col(self.time)
         if self.tie_slices > 1:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarterwise.operators.features import last_row_features, supervised, timeseries_features
-from quarterwise.operators.neighbours import latest_rows, with_neighbours
+from quarterwise.operators.neighbours import fit_slices, latest_rows, with_neighbours
 from quarterwise.spec import PanelSpec
 
 SCHEMA = "Company string, Date date, Revenues double, Assets double"
@@ -31,7 +31,7 @@ def _panel(spark, seed=1):
 
 
 @pytest.mark.parametrize(
-    "spec", [PanelSpec(), PanelSpec(slice_unit="quarter"), PanelSpec(slice_unit="month"), PanelSpec(slice_unit="day"), PanelSpec(tie_slices=8)]
+    "spec", [PanelSpec(), PanelSpec(slice_unit="quarter"), PanelSpec(slice_unit="month"), PanelSpec(slice_unit="day"), PanelSpec(tie_slices=8), PanelSpec(slice_unit="none")]
 )
 @pytest.mark.parametrize("offsets", [(-1, -2), (1,), (-1, -2, -5, 1, 3)])
 def test_equals_plain_window(spark, spec, offsets):
@@ -58,6 +58,16 @@ def test_many_rows_on_one_date(spark):
     assert out.select("lag_1").distinct().count() == 3000  # each value is the lag of one row
 
 
+def test_slices_are_fitted_to_the_longest_history(spark):
+    panel = _panel(spark).where("Date is not null")
+    assert fit_slices(panel).slice_unit == "none"
+    units = [fit_slices(panel, max_rows=n).slice_unit for n in (400, 100, 31, 1)]
+    assert units == ["year", "quarter", "month", "day"]
+    copies = spark.createDataFrame([("a", dt.date(2000, 1, 1), float(i), 0.0) for i in range(50)], SCHEMA)
+    assert fit_slices(copies, max_rows=10).tie_slices == 64
+    assert fit_slices(panel.limit(0)).slice_unit == "none"
+
+
 def test_undated_rows_are_spread(spark):
     rows = [("a", None, float(i), 0.0) for i in range(1000)]
     panel = spark.createDataFrame(rows, SCHEMA)
