@@ -22,8 +22,10 @@ def period_quarter(period: Column) -> Column:
 
 
 def strict_date(col: Column) -> Column:
-    """Text to date; text that is no date stops the job."""
-    return F.to_date(col)
+    """Text to date; text that is no date stops the job, under any ANSI setting."""
+    found = col.try_cast("date")
+    bad = F.raise_error(F.concat(F.lit("not a date: "), col.cast("string"))).cast("date")
+    return F.when(col.isNotNull() & found.isNull(), bad).otherwise(found)
 
 
 def lenient_date(col: Column) -> Column:

@@ -49,12 +49,8 @@ def choose_params(
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=[f"__f_{c}" for c in features], outputCol=_VECTOR)
-
-
-def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    # zero stands in for NULL only so that the vector can be built; see predict()
-    return df.withColumns({f"__f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    # "keep" turns a NULL into NaN, which a tree sends down the right branch
+    return VectorAssembler(inputCols=list(features), outputCol=_VECTOR, handleInvalid="keep")
 
 
 @dataclass(frozen=True)
@@ -104,17 +100,20 @@ def train(
         seed=params.seed,
     )
     assemble = assembler(used)
-    fitted = learner.fit(assemble.transform(_filled(rows, used)))
+    fitted = learner.fit(assemble.transform(rows))
     return TrainedModel(PipelineModel([assemble, fitted]), tuple(used), params, n)
 
 
-def predict(df: DataFrame, model: TrainedModel, output: str = "xgb_point") -> DataFrame:
-    """Add forecasts; rows that lack a feature get NULL. One pass, no split and union."""
-    complete = F.lit(True)
-    for c in model.features:
-        complete = complete & F.col(c).isNotNull()
-    scored = model.pipeline.transform(_filled(df, model.features))
-    return scored.withColumn(output, F.when(complete, F.col(_RAW))).drop(_RAW, _VECTOR, *[f"__f_{c}" for c in model.features])
+def predict(df: DataFrame, model: TrainedModel, output: str = "xgb_point", complete_only: bool = True) -> DataFrame:
+    """Add forecasts in one pass. Rows that lack a feature get NULL, or a forecast too if not `complete_only`."""
+    scored = model.pipeline.transform(df)
+    forecast = F.col(_RAW)
+    if complete_only:
+        complete = F.lit(True)
+        for c in model.features:
+            complete = complete & F.col(c).isNotNull()
+        forecast = F.when(complete, forecast)
+    return scored.withColumn(output, forecast).drop(_RAW, _VECTOR)
 
 
 def train_and_validate(
@@ -143,6 +142,8 @@ def run_backtest(
     rows = backtest.training_rows(sup, train_end, spec, strict)
     tests = backtest.test_rows(panel, test_date, spec)
     backtest.require_no_leakage(backtest.leakage_report(rows, tests, train_end, test_date, spec))
-    forecasts = predict(backtest.naive_drift(tests), train(rows, "y_next", features, **settings))
+    fitted = train(rows, "y_next", features, **settings)
+    # every test row is forecast, as it stands
+    forecasts = predict(backtest.naive_drift(tests), fitted, complete_only=False)
     truth = backtest.actuals(sup, panel, [test_date], spec, "at_test_date" if strict else "next")
     return backtest.compare(forecasts, truth, ["arima_naive", "arima_drift", "xgb_point"], spec)

@@ -41,6 +41,19 @@ def test_rows_without_a_feature_keep_null(fitted):
     assert out.where("xgb_point is null").count() == out.where("lag_2 is null or Assets is null").count() == 12
 
 
+def test_incomplete_rows_are_forecast_on_request(fitted):
+    feats, trained = fitted
+    assert model.predict(feats, trained, complete_only=False).where("xgb_point is null").count() == 0
+
+
+def test_holdout_keeps_rows_out_of_regular_fits(spark, fitted):
+    feats, trained = fitted
+    held = model.train(feats, "Revenues", ["lag_1", "lag_2", "Assets"], regular=FEW, holdout=["Company", "Date"])
+    assert held.n_rows == trained.n_rows == 60 and held.params == FEW
+    few = model.train(feats.limit(4).fillna(1.0), "Revenues", ["lag_1"], small=FEW, holdout=["Company", "Date"])
+    assert few.n_rows == 4 and few.params == FEW
+
+
 def test_forecasts_are_near(fitted):
     feats, trained = fitted
     errs = model.predict(feats, trained).where("xgb_point is not null").selectExpr("avg(abs(Revenues - xgb_point)) e").first().e
