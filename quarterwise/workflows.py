@@ -44,7 +44,9 @@ def baselines(
     feats = features.last_row_features(panel, spec) if last_rows else features.timeseries_features(panel, spec)
     prepared = f"{out}/{'prepared_last_rows' if last_rows else 'prepared_timeseries'}"
     feats = spark.read.parquet(files.write_artifact(feats, prepared))
-    fitted = model.train(feats, spec.kpi, MODEL_FEATURES, holdout=[spec.entity, spec.time], **settings)
+    # one row per entity is a small set by nature and has its own small setting
+    small = {"small": model.SMALL_LAST_ROW} if last_rows else {"small": model.SMALL, "count_features": True}
+    fitted = model.train(feats, spec.kpi, MODEL_FEATURES, holdout=[spec.entity, spec.time], **{**small, **settings})
     # an interval reads the forecasts twice
     scored = materialise(model.predict(feats, fitted), "scored")
     final = normalise.finalise(evaluate.prediction_interval(scored, spec.kpi, [spec.entity, spec.time]), spec.kpi)
