@@ -25,18 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _money(c):
-    return F.col(c).cast("decimal(12,2)")
-
-
 def _hundredths(c):
     """Two-digit amounts and rates as whole hundredths: sums of them are exact and cheap."""
-    return F.round(F.col(c) * 100).cast("bigint")
+    return F.rint(F.col(c) * 100).cast("bigint")
 
 
 def _total(c, digits):
-    """Exact total of whole units of 10^-digits, as a double."""
-    return (F.sum(F.col(c).cast("decimal(18,0)")) / F.lit(10**digits)).cast("double").alias(c)
+    """Exact total of whole units of 10^-digits, as a double; an overflow stops the job."""
+    return (F.sum(c) / F.lit(10**digits)).alias(c)
 
 
 def fin_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +86,10 @@ def fin_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_customer = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"), quarter_end(F.col("o_orderdate")).alias("Date"))
-        .agg(F.sum(_money("o_totalprice")).alias("rev"))
+        .agg(F.sum(_hundredths("o_totalprice")).alias("rev"))
     )
     names = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("Company"))
-    return per_customer.join(names, "c_custkey").select("Company", "Date", F.col("rev").cast("double").alias("Revenues"))
+    return per_customer.join(names, "c_custkey").select("Company", "Date", (F.col("rev") / F.lit(100)).alias("Revenues"))
 
 
 # The tags of the facts view and the one that is counted per share.
