@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quarterwise.spec import PanelSpec
@@ -13,77 +13,82 @@ from quarterwise.spec import PanelSpec
 FIFTH = "33333333"
 
 
-def key_at_position(df: DataFrame, order: Sequence[str], position: Column) -> DataFrame:
-    """The order key of the row at `position` (from 1) when sorted by `order`: one row, column `cut`.
+def key_at_position(df: DataFrame, order: Sequence[str], position: int, max_rank: int = 1_000_000) -> Row | None:
+    """The order key of the row at `position` (from 1) when sorted by `order`; None if there is no such row.
 
-    Two passes over the order columns alone. The first range-partitions them and counts
-    rows per range, so the range that holds the position is known with its two end keys.
-    The second ranks the keys between those ends, one range out of many. The ends are
-    key values, so the result does not depend on where Spark drew the ranges.
-    `order` must tell rows apart.
+    An action over the order columns alone. They are range-partitioned and counted per
+    range, which tells the range that holds the position and its two end keys; that
+    range is divided again until it has at most `max_rank` rows, which one task then
+    ranks. The ends are key values, so the result does not depend on where Spark drew
+    the ranges. Rows equal in all of `order` share their key.
     """
-    key = F.struct(*order).alias("key")
-    keys = df.select(key)
-    ranges = (
-        keys.repartitionByRange("key")
-        .withColumn("part", F.spark_partition_id())
-        .groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    )
-    # one row per range: as many as there are shuffle partitions
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
-    holding = ranges.where((F.col("before") < position) & (position <= F.col("before") + F.col("n")))
-    holding = holding.select(F.struct("lo", "hi", "before").alias("h"))
-
-    inside = keys.withColumn("h", holding.scalar()).where(F.col("key").between(F.col("h.lo"), F.col("h.hi")))
-    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("key")))
-    return ranked.where(F.col("rn") == position - F.col("h.before")).select(F.col("key").alias("cut"))
+    keys = df.select(*order)
+    key, size = F.struct(*order), None
+    while True:
+        ranges = (
+            keys.repartitionByRange(*order)
+            .groupBy(F.spark_partition_id().alias("part"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        )
+        # one row per range, that is per shuffle partition
+        upto = F.sum("n").over(Window.orderBy("part"))
+        found = ranges.withColumn("upto", upto).where((F.col("upto") - F.col("n") < position) & (F.col("upto") >= position)).first()
+        if found is None or found.lo == found.hi:
+            return found and found.lo
+        keys = keys.where(_between(df, order, found.lo, found.hi))
+        position -= found.upto - found.n
+        if found.n <= max_rank or found.n == size:
+            ranked = keys.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
+            return ranked.where(F.col("__rn") == position).drop("__rn").first()
+        size = found.n
+
+
+def _literal(df: DataFrame, order: Sequence[str], key: Row) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, key)])
+
+
+def _between(df: DataFrame, order: Sequence[str], lo: Row, hi: Row) -> Column:
+    key = F.struct(*order)
+    inside = (key >= _literal(df, order, lo)) & (key <= _literal(df, order, hi))
+    if lo[0] is not None:  # NULL sorts first; said once more on a bare column, this reaches the scan
+        inside = inside & F.col(order[0]).between(F.lit(lo[0]), F.lit(hi[0]))
+    return inside
 
 
 def chronological_split(df: DataFrame, frac: float = 0.8, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Label the first int(n * frac) rows by (time, entity) "train", the rest "val".
 
-    Only the date at which the cut falls needs ranking: counts per date find it, then
-    the entity at the cut is found among that date's rows. No other row is shuffled.
-    Undated rows sort last.
+    Counts per date, an action, tell the date at which the cut falls; among that date's
+    rows the entity at the cut is found. Labels then need no exchange. Undated rows sort last.
     """
-    # undated rows get the largest day number
-    day = F.coalesce(F.datediff(F.col(spec.time), F.lit("1970-01-01").cast("date")), F.lit(2**31 - 1))
-    dated = df.withColumn("__day", day)
+    day = F.col(spec.time).cast("date")
     # bounded by the calendar: a few hundred dates a year, whatever the number of rows
-    per_day = dated.groupBy("__day").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.orderBy("__day"))
-    total = F.sum("n").over(Window.partitionBy())
-    cut = (
-        per_day.select("__day", "n", running.alias("upto"), total.alias("total"))
-        .withColumn("k", (F.col("total") * F.lit(frac)).cast("bigint"))
-        .where((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto")))
-        .select(F.struct("__day", (F.col("k") - F.col("upto") + F.col("n")).alias("rest")).alias("c"))
-    )
-    # no row is returned when k is 0: then nothing is train
-    on_cut_day = dated.withColumn("__c", cut.scalar()).where(F.col("__day") == F.col("__c.__day"))
+    per_day = df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.orderBy(F.col("day").asc_nulls_last()))
+    placed = per_day.select("day", "n", running.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    k = (F.col("total") * F.lit(frac)).cast("bigint")
+    cut = placed.withColumn("k", k).where((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto"))).first()
+    if cut is None:  # int(n * frac) is 0
+        return df.withColumn("split", F.lit("val"))
+    on_day = day.isNull() if cut.day is None else day == F.lit(cut.day)
+    before = day.isNotNull() if cut.day is None else day < F.lit(cut.day)
     order = [spec.entity, "__tie"]
-    cut_key = key_at_position(on_cut_day.withColumn("__tie", spec.tie(df)), order, cut.select("c.rest").scalar())
-    key = F.struct(F.col(spec.entity), spec.tie(df).alias("__tie"))
-    label = (
-        F.when(F.col("__day") < F.col("__c.__day"), "train")
-        .when((F.col("__day") == F.col("__c.__day")) & (key <= F.col("__k")), "train")
-        .otherwise("val")
-    )
-    return (
-        dated.withColumns({"__c": cut.scalar(), "__k": cut_key.scalar()})
-        .withColumn("split", label)
-        .drop("__day", "__c", "__k")
-    )
+    tied = df.withColumn("__tie", spec.tie(df))
+    key = key_at_position(tied.where(on_day), order, cut.k - cut.upto + cut.n)
+    first = before | (on_day & (F.struct(*order) <= _literal(tied, order, key)))
+    return tied.withColumn("split", F.when(first, "train").otherwise("val")).drop("__tie")
 
 
 def head_split(df: DataFrame, order: Sequence[str], fraction: float = 0.2) -> DataFrame:
-    """Label the first max(1, int(n * fraction)) rows by `order` "val", the rest "train"."""
-    size = df.agg(F.greatest(F.lit(1), (F.count(F.lit(1)) * F.lit(fraction)).cast("bigint")).alias("k"))
-    cut = key_at_position(df, order, size.scalar())
-    labelled = df.withColumn("__k", cut.scalar())
-    return labelled.withColumn("split", F.when(F.struct(*order) <= F.col("__k"), "val").otherwise("train")).drop("__k")
+    """Label the first max(1, int(n * fraction)) rows by `order` "val", the rest "train".
+
+    `order` must tell rows apart. Finding the cut is an action; labels need no exchange.
+    """
+    n = df.agg(F.greatest(F.lit(1), (F.count(F.lit(1)) * F.lit(fraction)).cast("bigint"))).first()[0]
+    key = key_at_position(df, order, n)
+    if key is None:  # no rows
+        return df.withColumn("split", F.lit("train"))
+    return df.withColumn("split", F.when(F.struct(*order) <= _literal(df, order, key), "val").otherwise("train"))
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], below: str = FIFTH) -> DataFrame:

@@ -42,16 +42,27 @@ def test_head_split_is_exact(spark, n, fraction, val):
     assert out.count() == n
 
 
-def test_key_at_position_does_not_depend_on_ranges(spark):
-    df = spark.createDataFrame(_rows(997), SCHEMA)
+@pytest.mark.parametrize("max_rank", [1_000_000, 50, 1])
+def test_key_at_position_does_not_depend_on_ranges(spark, max_rank):
+    df = spark.createDataFrame(_rows(997), SCHEMA).repartition(5)
     ordered = sorted(r[0] for r in _rows(997))
     for parts in ("1", "3", "16"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        for k in (1, 2, 500, 996, 997):
-            assert splits.key_at_position(df, ["Company"], F.lit(k)).first().cut.Company == ordered[k - 1]
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for k in (1, 500, 997):
+            assert splits.key_at_position(df, ["Company"], k, max_rank).Company == ordered[k - 1]
+        assert splits.key_at_position(df, ["Company"], 998, max_rank) is None
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_key_at_position_with_copies_and_nulls(spark):
+    rows = [(None, None, 1.0)] * 3 + [("a", None, 1.0)] * 200 + [("b", dt.date(2000, 1, 1), 1.0)] * 50
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [splits.key_at_position(df, ["Company", "Date"], k, 1) for k in (1, 3, 4, 203, 204, 253)]
+    assert [r.Company for r in got] == [None, None, "a", "a", "b", "b"]
+
+
 def test_hash_split_ignores_partitioning(spark):
     df = spark.createDataFrame(_rows(), SCHEMA)
     one = splits.hash_split(df, ["Company"])
