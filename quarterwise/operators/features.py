@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from quarterwise.functions.numbers import growth
 from quarterwise.operators.neighbours import latest_rows, with_neighbours
-from quarterwise.spec import PanelSpec
+from quarterwise.spec import LAG_FEATURES, PanelSpec
 
-# The columns a supervised table shows, in this order.
+# The calendar columns of a supervised table, in this order.
 SUPERVISED_CALENDAR = ("year", "quarter", "month")
-SUPERVISED_LAGS = ("lag_1", "lag_2", "diff_1", "growth_1", "mean_2")
 
 
 def add_calendar(df: DataFrame, spec: PanelSpec = PanelSpec(), quarter: bool = True) -> DataFrame:
@@ -112,7 +111,7 @@ def _supervised_columns(df, spec):
         spec.entity,
         spec.time,
         *SUPERVISED_CALENDAR,
-        *SUPERVISED_LAGS,
+        *LAG_FEATURES,
         *[c for c in spec.exog if c in df.columns],
     ]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -147,3 +148,17 @@ def run_backtest(
     forecasts = predict(backtest.naive_drift(tests), fitted, complete_only=False)
     truth = backtest.actuals(sup, panel, [test_date], spec, "at_test_date" if strict else "next")
     return backtest.compare(forecasts, truth, ["arima_naive", "arima_drift", "xgb_point"], spec)
+
+
+def run_walk_forward(
+    panel: DataFrame,
+    sup: DataFrame,
+    folds: Sequence[tuple[str, str]],
+    features: Sequence[str],
+    spec: PanelSpec = PanelSpec(),
+    strict: bool = False,
+    **settings,
+) -> DataFrame:
+    """The backtest for several (train_end, test_date) folds; one model is trained after another."""
+    parts = [run_backtest(panel, sup, train_end, test_date, features, spec, strict, **settings) for train_end, test_date in folds]
+    return reduce(DataFrame.unionByName, parts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarterwise.operators import features, model, normalise, splits
-from quarterwise.operators.evaluate import prediction_interval
+from quarterwise.operators.evaluate import pooled_metrics, prediction_interval
 from quarterwise.plans import views as v
 from quarterwise.session import materialise
 
@@ -38,5 +38,14 @@ def ml_backtest_strict(spark, sf):
     return model.run_backtest(panel, sup, v.TRAIN_END, v.TEST_DATE, _FEATURES, strict=True, regular=FEW)
 
 
-QUERIES = {f.__name__: f for f in (ml_train_metrics, ml_predict_masked, ml_backtest, ml_backtest_strict)}
+def ml_walk_forward(spark, sf):
+    """Rows, MAE and RMSE per test date over several folds."""
+    panel = v.panel(spark, sf)
+    sup = materialise(features.supervised(panel), "supervised")
+    folds = [("1999-12-31", "2000-03-31"), ("2000-06-30", "2000-09-30"), (v.TRAIN_END, v.TEST_DATE)]
+    few = model.TreeParams(5, 3, 0.3)
+    return pooled_metrics(model.run_walk_forward(panel, sup, folds, _FEATURES, regular=few), by=["Date"])
+
+
+QUERIES = {f.__name__: f for f in (ml_train_metrics, ml_predict_masked, ml_backtest, ml_backtest_strict, ml_walk_forward)}
 ORACLE: dict[str, str] = {}

@@ -2,7 +2,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarterwise.operators import facts
 from quarterwise.session import new_folder, path_exists, shared_folder
