@@ -29,7 +29,7 @@ from quarterwise.spec import PanelSpec
 
 _SLICE = "__slice"
 _RN = "__rn"
-_N = "__n"
+_AFTER = "__after"
 
 
 def with_neighbours(
@@ -68,7 +68,7 @@ def with_neighbours(
 
     positioned = sliced.withColumn(_RN, F.row_number().over(in_slice))
     if ahead:
-        positioned = positioned.withColumn(_N, F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        positioned = positioned.withColumn(_AFTER, _rows_after(in_slice, ahead - 1))
     local = {
         f"__l_{name}": (F.lag(field_of[name], -o) if o < 0 else F.lead(field_of[name], o)).over(in_slice)
         for name, (_, o) in wanted.items()
@@ -84,9 +84,8 @@ def with_neighbours(
             far = F.try_element_at("__prev", F.least(F.col(_RN) - F.lit(k + 1), F.lit(-1)).cast("int"))
             out[name] = F.when(F.col(_RN) > k, F.col(f"__l_{name}")["x"]).otherwise(far[field]["x"])
         else:
-            left = F.col(_N) - F.col(_RN)
-            far = F.try_element_at("__next", F.greatest(F.lit(o) - left, F.lit(1)).cast("int"))
-            out[name] = F.when(left >= o, F.col(f"__l_{name}")["x"]).otherwise(far[field]["x"])
+            far = F.try_element_at("__next", F.greatest(F.lit(o) - F.col(_AFTER), F.lit(1)))
+            out[name] = F.when(F.col(f"__l_{name}").isNotNull(), F.col(f"__l_{name}")["x"]).otherwise(far[field]["x"])
     return joined.select(*[F.col(c) for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
@@ -98,12 +97,8 @@ def _slice_borders(narrow, keys, order_cols, values, back, ahead):
     fields = list(values)
     aggs = {}
     if back and ahead:
-        edge = narrow.withColumns(
-            {
-                "__up": F.row_number().over(Window.partitionBy(*group).orderBy(*asc)),
-                _N: F.count(F.lit(1)).over(Window.partitionBy(*group)),
-            }
-        ).withColumn("__down", F.col(_N) - F.col("__up") + 1)
+        w = Window.partitionBy(*group).orderBy(*asc)
+        edge = narrow.withColumns({"__up": F.row_number().over(w), "__down": _rows_after(w, back) + 1})
         edge = edge.where((F.col("__up") <= ahead) | (F.col("__down") <= back))
     elif back:  # a lone rank limit is applied before the exchange as well
         edge = narrow.withColumn("__down", F.row_number().over(Window.partitionBy(*group).orderBy(*desc)))
@@ -130,6 +125,12 @@ def _slice_borders(narrow, keys, order_cols, values, back, ahead):
     return summary.withColumns(cols).select(*group, *cols)
 
 
+def _rows_after(window, limit: int) -> Column:
+    """How many rows follow within the window's partition, counted up to `limit`."""
+    steps = [F.when(F.lead(F.lit(True), j).over(window), 1).otherwise(0) for j in range(1, limit + 1)]
+    return sum(steps, F.lit(0))
+
+
 def fit_slices(df: DataFrame, spec: PanelSpec = PanelSpec(), max_rows: int = 1_000_000) -> PanelSpec:
     """The spec with the coarsest slices that hold at most `max_rows` rows each.
 
