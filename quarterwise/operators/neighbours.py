@@ -131,20 +131,31 @@ def _rows_after(window, limit: int) -> Column:
     return sum(steps, F.lit(0))
 
 
+# Above this many long histories every entity is sliced instead of listing them.
+MAX_LISTED = 1000
+
+
 def fit_slices(df: DataFrame, spec: PanelSpec = PanelSpec(), max_rows: int = 1_000_000) -> PanelSpec:
-    """The spec with the coarsest slices that hold at most `max_rows` rows each.
+    """The spec with slices of at most `max_rows` rows, coarse ones, and only for entities that need them.
 
-    An action: one count per entity, and one more for every finer unit that is tried.
-    Counts are combined before the exchange, so a hot entity does no harm here.
+    An action: one count per entity and, if some history is too long, one count per unit
+    tried over the rows of those entities. Counts are combined before the exchange, so a
+    hot entity does no harm here. At most MAX_LISTED names reach the driver.
     """
     present = df.where(_all_not_null(spec.keys))
-    for unit in ("none", "year", "quarter", "month", "day"):
-        tried = replace(spec, slice_unit=unit, tie_slices=1)
-        cut = tried.slice_expr(df)
-        counted = present.groupBy(*spec.keys, *([] if cut is None else [cut.alias(_SLICE)])).count()
-        if (counted.agg(F.max("count")).first()[0] or 0) <= max_rows:
+    too_long = present.groupBy(*spec.keys).count().where(F.col("count") > max_rows)
+    listed = [r[0] for r in too_long.select(spec.entity).limit(MAX_LISTED + 1).collect()]
+    if not listed:
+        return replace(spec, slice_unit="none", tie_slices=1, long_entities=None)
+    entities = tuple(sorted(listed)) if len(listed) <= MAX_LISTED else None
+    if entities is not None:
+        present = present.where(F.col(spec.entity).isin(list(entities)))
+    for unit in ("year", "quarter", "month", "day"):
+        tried = replace(spec, slice_unit=unit, tie_slices=1, long_entities=entities)
+        counted = present.groupBy(*spec.keys, tried.slice_expr(df).alias(_SLICE)).count()
+        if counted.agg(F.max("count")).first()[0] <= max_rows:
             return tried
-    return replace(spec, slice_unit="day", tie_slices=64)
+    return replace(spec, slice_unit="day", tie_slices=64, long_entities=entities)
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, rank: str) -> DataFrame:

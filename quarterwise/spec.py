@@ -24,8 +24,9 @@ class PanelSpec:
     that one long history is spread over many tasks; "none" leaves histories whole, which
     saves a pass where all are known to be short. `tie_slices` above 1 also cuts the rows
     of one (entity, time) by a hash; use it for tables that break the one-row-per-key
-    rule with very many rows on one date. neighbours.fit_slices() measures a table and
-    picks these two.
+    rule with very many rows on one date. `long_entities` limits slicing to the entities
+    listed; the others stay whole. neighbours.fit_slices() measures a table and sets
+    all three.
     """
 
     entity: str = ENTITY
@@ -36,6 +37,7 @@ class PanelSpec:
     horizon: int = 1
     slice_unit: str = "year"
     tie_slices: int = 1
+    long_entities: tuple | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -62,7 +64,10 @@ class PanelSpec:
             dated = F.datediff(t, F.lit("1970-01-01").cast("date")).cast("bigint") * 64 + part
         else:
             dated = _unit_number(t, self.slice_unit)
-        return F.coalesce(dated, F.lit(1 << 40).cast("bigint") + bits)
+        number = F.coalesce(dated, F.lit(1 << 40).cast("bigint") + bits)
+        if self.long_entities is None:
+            return number
+        return F.when(F.col(self.entity).isin(list(self.long_entities)), number).otherwise(F.lit(0).cast("bigint"))
 
 
 def _unit_number(t: Column, unit: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterwise.operators import chat, clean, evaluate, facts, features, model, normalise, splits
+from quarterwise.operators.neighbours import fit_slices
 from quarterwise.session import materialise
 from quarterwise.sinks import files, upsert
 from quarterwise.sources import filings
@@ -41,6 +42,7 @@ def baselines(
 ) -> DataFrame:
     """Clean, build features, train, predict with intervals, finalise; returns metrics by model."""
     panel = materialise(clean.clean_panel(raw, spec), "clean-panel")
+    spec = fit_slices(panel, spec)
     feats = features.last_row_features(panel, spec) if last_rows else features.timeseries_features(panel, spec)
     prepared = f"{out}/{'prepared_last_rows' if last_rows else 'prepared_timeseries'}"
     feats = spark.read.parquet(files.write_artifact(feats, prepared))
@@ -82,6 +84,7 @@ def backtest_report(
     With `out`, the comparison is merged into the prediction table there.
     """
     panel = materialise(clean.clean_panel(raw, spec), "clean-panel")
+    spec = fit_slices(panel, spec)
     sup = features.supervised_strict(panel, spec) if strict else features.supervised(panel, spec, label_date=True)
     sup = materialise(sup, "supervised")
     train = splits.chronological_split(sup, spec=spec).where(F.col("split") == "train")

@@ -31,7 +31,7 @@ def _panel(spark, seed=1):
 
 
 @pytest.mark.parametrize(
-    "spec", [PanelSpec(), PanelSpec(slice_unit="quarter"), PanelSpec(slice_unit="month"), PanelSpec(slice_unit="day"), PanelSpec(tie_slices=8), PanelSpec(slice_unit="none")]
+    "spec", [PanelSpec(), PanelSpec(slice_unit="quarter"), PanelSpec(slice_unit="month"), PanelSpec(slice_unit="day"), PanelSpec(tie_slices=8), PanelSpec(slice_unit="none"), PanelSpec(slice_unit="month", long_entities=("hot",))]
 )
 @pytest.mark.parametrize("offsets", [(-1, -2), (1,), (-1, -2, -5, 1, 3)])
 def test_equals_plain_window(spark, spec, offsets):
@@ -61,8 +61,12 @@ def test_many_rows_on_one_date(spark):
 def test_slices_are_fitted_to_the_longest_history(spark):
     panel = _panel(spark).where("Date is not null")
     assert fit_slices(panel).slice_unit == "none"
-    units = [fit_slices(panel, max_rows=n).slice_unit for n in (400, 100, 31, 1)]
-    assert units == ["year", "quarter", "month", "day"]
+    fitted = [fit_slices(panel, max_rows=n) for n in (400, 100, 31)]
+    assert [f.slice_unit for f in fitted] == ["year", "quarter", "month"]
+    assert {f.long_entities for f in fitted} == {("hot",)}
+    assert fit_slices(panel, max_rows=1).slice_unit == "day"
+    whole = panel.where("Company != 'hot'")
+    assert whole.select(fitted[0].slice_expr(panel).alias("s")).distinct().count() == 1
     copies = spark.createDataFrame([("a", dt.date(2000, 1, 1), float(i), 0.0) for i in range(50)], SCHEMA)
     assert fit_slices(copies, max_rows=10).tie_slices == 64
     assert fit_slices(panel.limit(0)).slice_unit == "none"
