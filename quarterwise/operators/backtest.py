@@ -117,8 +117,9 @@ def leakage_report(train: DataFrame, test: DataFrame, train_end: str, test_date:
         F.count(target).alias("b"),
     )
     none = F.lit(None).cast("date")
-    left = on_train.select(F.inline(F.array(_check("train_date", "n", "a", F.col("last")), _check("label_date", "n", "b", F.col("last_label")))))
-    right = on_test.select(F.inline(F.array(_check("test_date", "n", "a", F.col("last")), _check("y_next_in_test", "n", "b", none))))
+    train_checks = F.array(_check("train_date", "n", "a", F.col("last")), _check("label_date", "n", "b", F.col("last_label")))
+    test_checks = F.array(_check("test_date", "n", "a", F.col("last")), _check("y_next_in_test", "n", "b", none))
+    left, right = on_train.select(F.inline(train_checks)), on_test.select(F.inline(test_checks))
     return left.unionByName(right)
 
 

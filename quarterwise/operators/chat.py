@@ -78,10 +78,11 @@ def with_history(df: DataFrame, length: int = 2) -> DataFrame:
     order = ["year", "quarter", F.xxhash64(*[c for c in ("actual", *BASELINES, *EXOG) if c in df.columns])]
     # year is the leading sort column, so slices by year follow the order
     out = with_neighbours(df, ["Company", "KPI"], order, F.coalesce(F.col("year").cast("bigint"), F.lit(1 << 40)), wanted)
-    history = F.filter(
-        F.array(*[F.when(F.col(f"__h{k}").isNotNull(), F.struct(F.lit(-k).alias("t"), F.col(f"__h{k}")["value"].alias("value"))) for k in range(length, 0, -1)]),
-        lambda h: h.isNotNull(),
-    )
+    entries = [
+        F.when(F.col(h).isNotNull(), F.struct(F.lit(offset).alias("t"), F.col(h)["value"].alias("value")))
+        for h, (_, offset) in wanted.items()
+    ]
+    history = F.filter(F.array(*entries), lambda h: h.isNotNull())
     return out.withColumn("history", history).drop(*wanted).where(F.size("history") > 0)
 
 
