@@ -5,25 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarterwise.llm import exact_dedup, mixing
+from quarterwise.llm import decontaminate, exact_dedup, language_id, mixing
+from quarterwise.llm.frames import free_name
 from quarterwise.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: The share of belief in the best language below which a document is rejected.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose language stays unclear, go."""
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = language_id.identify(docs, model)
+    return found.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, with their output shard and copy number."""
     return mixing.mix(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
     ("exact_dedup", exact_copies),
+    ("decontamination", without_benchmark),
     ("mixing", mix_sources),
 ]
 
