@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterwise.llm import decontaminate, exact_dedup, language_id, mixing
+from quarterwise.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup
 from quarterwise.llm.frames import free_name
 from quarterwise.session import materialise
 
@@ -31,6 +31,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies one document stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -44,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
     ("decontamination", without_benchmark),
     ("mixing", mix_sources),
 ]

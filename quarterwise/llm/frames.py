@@ -18,14 +18,19 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+#: Texts that are handled together at most.
+MOST_ROWS = 16_384
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges that cover the column, each of at most `limit` bytes of text or one row."""
+    """Row ranges that cover the column, each of at most MOST_ROWS rows and `limit` bytes of text, or one row."""
     offsets = text_buffers(column)[0]
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + MOST_ROWS)
+        yield lo, hi
+        lo = hi
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterwise.llm import decontaminate, exact_dedup, language_id, mixing, secret_scan
+from quarterwise.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents")).drop("tie")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = language_id.held_out(F.col("doc_id"))
@@ -38,6 +42,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
