@@ -8,6 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarterwise.session import materialise
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written below the shared folder; the shuffle files behind it go as soon as it is."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialise(df, label)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
 
 def free_name(df: DataFrame, base: str) -> str:
     """A column name starting with `base` that the frame does not have yet (names differ beyond case)."""
