@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterwise.llm import decontaminate, exact_dedup, html_text, language_id, mixing, near_dedup, secret_scan, substring_dedup, token_counts
+from quarterwise.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, secret_scan, substring_dedup, token_counts
 
 
 #: Folder of the public vocabulary files.
@@ -60,6 +60,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    # sums of floating numbers differ in their last digits with the order of the rows
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -70,6 +76,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE = {
@@ -107,4 +114,21 @@ ORACLE = {
         SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op10_lm_score": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT doc_id, p, w[p] AS b, CASE WHEN p > 1 THEN w[p - 1] ELSE '' END AS a
+              FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d)),
+        t AS (SELECT *, count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY doc_id, a, b) AS pair,
+                     count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY doc_id, a) AS ctx,
+                     count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY doc_id, b) AS uni,
+                     greatest(count(*) OVER () - count(*) OVER (PARTITION BY doc_id), 1) AS rest FROM g),
+        s AS (SELECT doc_id, sum(CASE WHEN pair > 0 THEN ln(pair) - ln(ctx)
+                                      ELSE ln(0.4) + ln(CASE WHEN uni > 0 THEN uni ELSE 0.5 END) - ln(rest) END) AS x,
+                     sum(CASE WHEN pair > 0 THEN 0 ELSE 1 END) AS backed, sum(CASE WHEN pair > 0 OR uni > 0 THEN 0 ELSE 1 END) AS unk
+              FROM t GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0), 4) AS log_score,
+               round(x / len(w), 4) AS mean_log_score, coalesce(backed, 0)::BIGINT AS n_backed_off, coalesce(unk, 0)::BIGINT AS n_unknown
+        FROM d LEFT JOIN s USING (doc_id)
+    """,
 }
