@@ -308,7 +308,10 @@ class Page:
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                self._pop(i)
+                if inline and any(x[0] in BLOCKS for x in self.open[i + 1 :]):
+                    self.unseen -= self.open.pop(i)[1]  # blocks within go on without it
+                else:
+                    self._pop(i)
                 return
             if name in FENCES and (inline or tag not in ("table", "tr", "thead", "tbody", "tfoot", "html", "body")):
                 return
