@@ -222,8 +222,11 @@ def candidate_clusters(signatures: DataFrame) -> DataFrame:
     """(node, root) of representatives connected by shared bands, only those with company."""
     keyed = signatures.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(buckets, "key").where("node <> least").groupBy("node", "least").agg(F.lit(1).alias("x"))
-    return connected_components(pairs.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    # a member and its leasts are connected through the least of them, so that members share edges
+    leasts = keyed.join(buckets, "key").groupBy("node").agg(F.array_sort(F.collect_set("least")).alias("leasts"))
+    hub = F.col("leasts")[0]
+    edges = leasts.select(F.explode(F.array_union(F.array("node"), "leasts")).alias("a"), hub.alias("b")).where("a <> b").distinct()
+    return connected_components(edges)
 
 
 def near_links(docs: DataFrame, representatives: DataFrame, least: float = LEAST, block: int = BLOCK, common: int = COMMON) -> DataFrame:
