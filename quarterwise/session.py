@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,30 +28,44 @@ def build_session(app: str = "quarterwise", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when Spark itself is local."""
+    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarterwise-shared"
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="quarterwise-")
+_made: list[tuple[SparkSession, str]] = []
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path nobody has used before, below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path nobody has used before, below the shared folder. It goes when the session ends, or by `forget`."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(forget)
+    _made.append((spark, path))
+    return path
+
+
+def forget() -> None:
+    """Delete every folder made so far; frames that read them cannot be used afterwards."""
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is not None:  # the session may have been stopped
+            file_system, hadoop_path = file_system_of(spark, path)
+            file_system.delete(hadoop_path, True)
+
+
+def file_system_of(spark: SparkSession, path: str):
+    """The file system that a path's scheme names, and the path as it knows it."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system its scheme names."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop_path))
+    file_system, hadoop_path = file_system_of(spark, path)
+    return bool(file_system.exists(hadoop_path))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -48,9 +48,13 @@ def write_chat(df: DataFrame, path: str, record: str = "record", split: str = "s
     return path
 
 
-def write_answers(df: DataFrame, path: str, key: str, answer: str) -> str:
-    """Keyed answers as JSON Lines {key, answer}. One file per answer would be as many files as rows."""
-    df.select(F.col(key).alias("key"), F.col(answer).alias("answer")).write.mode("overwrite").json(path)
+def write_answers(df: DataFrame, path: str, key: str, answer: str, by: Sequence[str] = ()) -> str:
+    """Keyed answers as JSON Lines {key, answer}, in one folder per value of `by`, such as company or year.
+
+    One file per answer would be as many files as rows.
+    """
+    keyed = df.select(F.col(key).alias("key"), F.col(answer).alias("answer"), *by)
+    (keyed.hint("rebalance", *by) if by else keyed).write.mode("overwrite").partitionBy(*by).json(path)
     return path
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterwise.operators.neighbours import latest_rows
-from quarterwise.session import path_exists
+from quarterwise.session import file_system_of, path_exists
 
 # The columns a saved prediction has, and those it may have.
 KEY = ("Company", "Date")
 SAVED = ("Company", "Date", "xgb_point")
 OPTIONAL = ("arima_naive", "arima_drift", "pi_lower", "pi_upper", "year", "quarter", "month", "Revenues")
+_TYPES = {"Date": "date", "year": "int", "quarter": "int", "month": "int"} | dict.fromkeys(
+    ("xgb_point", "arima_naive", "arima_drift", "pi_lower", "pi_upper", "Revenues"), "double"
+)
 _PART = "date_year"
+#: Folder below a table for years that are being replaced; Spark does not read names that start so.
+_REPLACED = "_replaced"
 
 
 def select_saved(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -22,7 +28,8 @@ def select_saved(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     missing = [c for c in KEY if c not in df.columns]
     if missing:
         raise ValueError(f"missing key columns: {missing}")
-    typed = df.withColumn("Date", F.col("Date").try_cast("date"))
+    # one type per column, so that files of different writers go together
+    typed = df.withColumns({c: F.col(c).try_cast(t) for c, t in _TYPES.items() if c in df.columns})
     return typed.select(*SAVED, *[c for c in (*OPTIONAL, *keep) if c in df.columns and c not in SAVED])
 
 
@@ -47,22 +54,26 @@ def keep_last(df: DataFrame, order: Sequence[str | Column], key: Sequence[str] =
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(_PART)
+    """The table, with the columns of all its files."""
+    _restore(spark, path)
+    return spark.read.option("mergeSchema", True).parquet(path).drop(_PART)
 
 
 def upsert_predictions(df: DataFrame, path: str, order: Sequence[str] = (), keep: Sequence[str] = ()) -> str:
     """Merge predictions into the table at `path`, keeping the last row per (Company, Date).
 
-    The table is split by year, and only the years the new rows touch are read, merged
-    and replaced; Spark stages the new files before it swaps the folders, so reading the
-    folder that is being written is safe.
+    The table is split by year, and only the years the new rows touch are read and merged. The
+    result goes to a new folder beside the table; then each year is swapped in: the old folder is
+    moved aside, the new one moved in, the old one deleted. An upsert that broke off in between is
+    put right by the next read or upsert, so no year is ever lost. Columns of either side stay.
     """
     spark = df.sparkSession
     new = df.withColumns({f"__s{i}": F.col(c) for i, c in enumerate(order)})
     new = select_saved(new, [*keep, *[f"__s{i}" for i in range(len(order))]]).withColumn(_PART, F.year("Date"))
     sort = [f"__s{i}" for i in range(len(order))]
     if path_exists(spark, path):
-        stored = spark.read.parquet(path)
+        _restore(spark, path)
+        stored = spark.read.option("mergeSchema", True).parquet(path)
         # bounded by the calendar: one entry per year
         years = [r[0] for r in new.select(_PART).distinct().collect()]
         known = [y for y in years if y is not None]
@@ -72,6 +83,45 @@ def upsert_predictions(df: DataFrame, path: str, order: Sequence[str] = (), keep
         merged = merge_keep_last(stored.where(touched), new, sort)
     else:
         merged = keep_last(new, sort)
-    writer = merged.drop(*sort).hint("rebalance", _PART).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    merged.drop(*sort).hint("rebalance", _PART).write.partitionBy(_PART).parquet(staged)
+    _swap_in(spark, staged, path)
     return path
+
+
+def _swap_in(spark: SparkSession, staged: str, path: str) -> None:
+    """Move every year folder of `staged` to its place below `path`."""
+    file_system, target = file_system_of(spark, path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    aside = at(target, _REPLACED)
+    file_system.mkdirs(aside)
+    for status in file_system.listStatus(at(staged)):
+        year = status.getPath().getName()
+        if not status.isDirectory():
+            continue
+        old = at(aside, year)
+        if file_system.exists(at(target, year)):
+            _moved(file_system, at(target, year), old)
+        _moved(file_system, status.getPath(), at(target, year))
+        file_system.delete(old, True)
+    file_system.delete(aside, True)
+    file_system.delete(at(staged), True)
+
+
+def _restore(spark: SparkSession, path: str) -> None:
+    """Put back years that were moved aside by an upsert that broke off before the new ones were in place."""
+    file_system, target = file_system_of(spark, path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    aside = at(target, _REPLACED)
+    if not file_system.exists(aside):
+        return
+    for status in file_system.listStatus(aside):
+        place = at(target, status.getPath().getName())
+        if not file_system.exists(place):
+            _moved(file_system, status.getPath(), place)
+    file_system.delete(aside, True)
+
+
+def _moved(file_system, source, target) -> None:
+    if not file_system.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")

@@ -71,7 +71,7 @@ def test_semi_join_ignores_hyphens_and_copies(frame):
 
 def test_json_array_with_mixed_types(spark, tmp_path):
     path = _doc(tmp_path, "p.json", [{"Company": "A", "Date": "2020-03-31", "Revenues": 1.5}, {"Company": "A", "Date": "2020-06-30", "Revenues": "N/A"}])
-    got = records.read_json_panel(spark, path)
+    got = records.read_json_panel(spark, path, lines=False)
     assert [r.Revenues for r in got.collect()] == ["1.5", "N/A"] and got.first().Assets is None
 
 
@@ -170,3 +170,36 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     path = new_folder(spark, "x")
     assert path.startswith(shared_folder(spark)) and not path_exists(spark, path)
+
+
+def test_upsert_keeps_columns_of_every_batch(spark, frame, tmp_path):
+    path = str(tmp_path / "table")
+    base = "Company string, Date date, xgb_point double"
+    day = dt.date
+    upsert.upsert_predictions(frame(base, ("A", day(2000, 3, 31), 1.0)), path)
+    upsert.upsert_predictions(frame(base + ", arima_naive double", ("A", day(2001, 3, 31), 2.0, 9.0)), path)
+    upsert.upsert_predictions(frame(base, ("B", day(2001, 6, 30), 3.0)), path)
+    rows = {(r.Company, r.Date.year): r.arima_naive for r in upsert.read_predictions(spark, path).collect()}
+    assert rows == {("A", 2000): None, ("A", 2001): 9.0, ("B", 2001): None}
+    assert not list(tmp_path.glob("table.staged-*")) and not (tmp_path / "table" / "_replaced").exists()
+
+
+def test_a_broken_upsert_loses_nothing(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    base = "Company string, Date date, xgb_point int"  # stored as double
+    rows = [("A", dt.date(y, 3, 31), y) for y in (2000, 2001, 2002)]
+    upsert.upsert_predictions(frame(base, *rows), path)
+    moved, calls = upsert._moved, []
+
+    def breaks(file_system, source, target):
+        calls.append(target)
+        if len(calls) == 4:
+            raise OSError("lost")
+        moved(file_system, source, target)
+
+    monkeypatch.setattr(upsert, "_moved", breaks)
+    with pytest.raises(OSError):
+        upsert.upsert_predictions(frame(base, *[(c, d, x + 1) for c, d, x in rows]), path)
+    monkeypatch.setattr(upsert, "_moved", moved)
+    got = sorted((r.Date.year, r.xgb_point) for r in upsert.read_predictions(spark, path).collect())
+    assert len(got) == 3 and all(x in (y, y + 1) for y, x in got)
