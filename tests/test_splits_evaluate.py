@@ -42,16 +42,15 @@ def test_head_split_is_exact(spark, n, fraction, val):
     assert out.count() == n
 
 
-@pytest.mark.parametrize("max_rank", [1_000_000, 50, 1])
-def test_key_at_position_does_not_depend_on_ranges(spark, max_rank):
+def test_key_at_position_does_not_depend_on_ranges(spark):
     df = spark.createDataFrame(_rows(997), SCHEMA).repartition(5)
     ordered = sorted(r[0] for r in _rows(997))
     for parts in ("1", "3", "16"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         for k in (1, 500, 997):
-            assert splits.key_at_position(df, ["Company"], k, max_rank).Company == ordered[k - 1]
-        assert splits.key_at_position(df, ["Company"], 998, max_rank) is None
+            assert splits.key_at_position(df, ["Company"], k).Company == ordered[k - 1]
+        assert splits.key_at_position(df, ["Company"], 998) is None
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
@@ -59,10 +58,57 @@ def test_key_at_position_does_not_depend_on_ranges(spark, max_rank):
 def test_key_at_position_with_copies_and_nulls(spark):
     rows = [(None, None, 1.0)] * 3 + [("a", None, 1.0)] * 200 + [("b", dt.date(2000, 1, 1), 1.0)] * 50
     df = spark.createDataFrame(rows, SCHEMA)
-    got = [splits.key_at_position(df, ["Company", "Date"], k, 1) for k in (1, 3, 4, 203, 204, 253)]
+    got = [splits.key_at_position(df, ["Company", "Date"], k) for k in (1, 3, 4, 203, 204, 253)]
     assert [r.Company for r in got] == [None, None, "a", "a", "b", "b"]
 
 
+def test_equal_rows_are_cut_at_exactly_the_share(spark):
+    df = spark.createDataFrame([("a", dt.date(2000, 1, 1), 1.0)] * 101, SCHEMA)
+    assert splits.chronological_split(df, 0.37).where("split = 'train'").count() == 37
+    assert splits.head_split(df, ["Company"], 0.5).where("split = 'val'").count() == 50
+
+
+def test_one_heavy_key_is_ranked_by_many_tasks(spark):
+    df = spark.range(40_000).selectExpr("if(id = 7, 'A', 'B') AS Company", "date'2000-01-01' AS Date", "1.0D AS Revenues")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = splits.numbered(df)
+        order = ["Company", splits._ROW]
+        spread = rows.repartitionByRange(*order).groupBy(F.spark_partition_id()).count().collect()
+        assert len(spread) == 4 and max(r["count"] for r in spread) < 20_000
+        assert splits.key_at_position(rows, order, 30_000).Company == "B"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    before = _executed(spark)
+    assert splits.chronological_split(df, 0.8).where("split = 'train'").count() == 32_000
+    # a window without partitions ranks rows per date or per range only, never the rows themselves
+    for plan in _executed(spark)[len(before):]:
+        assert "row_number" not in plan
+
+
+def _executed(spark):
+    """Texts of the physical plans of all queries so far."""
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [listed.apply(i).physicalPlanDescription() for i in range(listed.size())]
+
+
+def test_inside_a_day_time_decides(frame):
+    at = dt.datetime
+    df = frame("Company string, Date timestamp, Revenues double", ("a", at(2000, 1, 1, 9), 1.0), ("b", at(2000, 1, 1, 8), 1.0), ("c", at(2000, 1, 2), 1.0))
+    got = {r.Company: r.split for r in splits.chronological_split(df, 0.34).collect()}
+    assert got == {"a": "val", "b": "train", "c": "val"}
+
+
+def test_hash_split_tells_missing_parts_apart_and_honours_the_share(spark):
+    pairs = spark.range(4000).selectExpr("cast(id AS string) AS a", "cast(null AS string) AS b")
+    swapped = pairs.selectExpr("b AS a", "a AS b", "a AS key")
+    one = splits.hash_split(pairs.withColumn("key", F.col("a")), ["a", "b"], 0.5)
+    other = splits.hash_split(swapped, ["a", "b"], 0.5)
+    both = one.select("key", F.col("split").alias("s")).join(other.select("key", F.col("split").alias("t")), "key")
+    assert 0.4 < both.where("s = t").count() / 4000 < 0.6
+    assert 0.45 < one.where("split = 'val'").count() / 4000 < 0.55
+
+
 def test_hash_split_ignores_partitioning(spark):
     df = spark.createDataFrame(_rows(), SCHEMA)
     one = splits.hash_split(df, ["Company"])
@@ -100,10 +146,12 @@ def test_ewma_by_entity_over_many_slices(spark):
     rnd = random.Random(5)
     rows = [("a", dt.date(1990, 1, 1) + dt.timedelta(days=40 * i), rnd.gauss(0, 3)) for i in range(300)]
     rows += [("b", dt.date(2000, 1, 1), 2.0), ("b", dt.date(2001, 1, 1), None)]
-    spec = PanelSpec(exog=())
-    got = {r.Company: r for r in evaluate.ewma_volatility_by_entity(spark.createDataFrame(rows, SCHEMA), F.col("Revenues"), spec).collect()}
-    assert got["a"].sigma == pytest.approx(_recurrence([r[2] for r in rows[:300]]), rel=1e-9)
-    assert got["b"].n_residuals == 1 and got["b"].sigma == pytest.approx(_recurrence([2.0]))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for unit in ("none", "year", "quarter", "month", "day"):
+        spec = PanelSpec(exog=(), slice_unit=unit)
+        got = {r.Company: r for r in evaluate.ewma_volatility_by_entity(df, F.col("Revenues"), spec).collect()}
+        assert got["a"].sigma == pytest.approx(_recurrence([r[2] for r in rows[:300]]), rel=1e-9)
+        assert got["b"].n_residuals == 1 and got["b"].sigma == pytest.approx(_recurrence([2.0]))
 
 
 def test_metrics_keep_a_model_without_values(frame):
