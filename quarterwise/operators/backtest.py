@@ -94,20 +94,22 @@ def compare(forecasts: DataFrame, truth: DataFrame, columns: Sequence[str], spec
 
 
 def leakage_report(train: DataFrame, test: DataFrame, train_end: str, test_date: str, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """One row per check: rows looked at, rows that break it, latest date seen.
+    """One row per check: rows looked at, rows that break it, latest date seen, and whether it was made.
 
     train_date: training rows dated after train_end. label_date: training labels taken
-    at or after test_date (where the label's date is known). test_date: test rows dated
-    before test_date. y_next_in_test: test rows that carry a label.
+    at or after test_date; without a label_date column this cannot be told, and its violations
+    are NULL. test_date: test rows dated before test_date. y_next_in_test: test rows that
+    carry a label.
     """
     t = F.col(spec.time)
-    label = F.col("label_date") if "label_date" in train.columns else F.lit(None).cast("date")
+    dated = "label_date" in train.columns
+    label = F.col("label_date") if dated else F.lit(None).cast("date")
     target = F.col("y_next") if "y_next" in test.columns else F.lit(None).cast("double")
     on_train = train.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(t > _date(train_end)).alias("a"),
         F.max(t).alias("last"),
-        F.count_if(label >= _date(test_date)).alias("b"),
+        (F.count_if(label >= _date(test_date)) if dated else F.lit(None).cast("bigint")).alias("b"),
         F.max(label).alias("last_label"),
     )
     on_test = test.agg(
@@ -124,18 +126,26 @@ def leakage_report(train: DataFrame, test: DataFrame, train_end: str, test_date:
 
 
 def _check(name, n, bad, last):
-    return F.struct(F.lit(name).alias("check"), F.col(n).alias("n_rows"), F.col(bad).alias("violations"), last.alias("last_date"))
+    return F.struct(
+        F.lit(name).alias("check"),
+        F.col(n).alias("n_rows"),
+        F.col(bad).alias("violations"),
+        last.alias("last_date"),
+        F.col(bad).isNotNull().alias("evaluated"),
+    )
 
 
-# the checks that stop a backtest; the other two only inform
-BLOCKING_CHECKS = ("train_date", "test_date")
+# the checks that stop a backtest, and those that do where the label may be the value at the test date
+BLOCKING_CHECKS = ("train_date", "label_date", "test_date")
+AS_WRITTEN_CHECKS = ("train_date", "test_date")
 
 
 def require_no_leakage(report: DataFrame, checks: Sequence[str] = BLOCKING_CHECKS) -> None:
-    """Raise if one of the named checks has violations; reads at most four rows."""
-    bad = report.where(F.col("check").isin(*checks) & (F.col("violations") > 0)).collect()
+    """Raise if one of the named checks has violations or was not made; reads at most four rows."""
+    bad = report.where(F.col("check").isin(*checks) & (~F.col("evaluated") | (F.col("violations") > 0))).collect()
     if bad:
-        raise AssertionError("; ".join(f"{r['check']}: {r.violations} rows, latest {r.last_date}" for r in bad))
+        told = [f"{r.violations} rows, latest {r.last_date}" if r.evaluated else "not evaluated" for r in bad]
+        raise AssertionError("; ".join(f"{r['check']}: {x}" for r, x in zip(bad, told)))
 
 
 def history_report(

@@ -16,7 +16,7 @@ from quarterwise.operators import backtest
 from quarterwise.operators.evaluate import pooled_metrics
 from quarterwise.operators.features import present_features
 from quarterwise.operators.splits import hash_split
-from quarterwise.session import materialise
+from quarterwise.session import materialise, new_folder
 from quarterwise.spec import MODEL_FEATURES, PanelSpec
 
 _VECTOR = "__features"
@@ -33,22 +33,13 @@ class TreeParams:
     seed: int = 42
 
 
-# The regular setting, and those for training sets that are too small for it.
+# The regular setting, and those that suit sets too small for it.
 REGULAR = TreeParams(600, 4, 0.05)
 SMALL_LAST_ROW = TreeParams(100, 3, 0.1)
 SMALL = TreeParams(200, 3, 0.08)
 MIN_ROWS = 5
 
 
-def choose_params(
-    n_rows: int, n_features: int = 0, regular: TreeParams = REGULAR, small: TreeParams = SMALL
-) -> TreeParams:
-    """Regular parameters, or the small setting below max(5, n_features + 1) rows."""
-    if n_rows == 0:
-        raise ValueError("no complete rows to train on")
-    return small if n_rows < max(MIN_ROWS, n_features + 1) else regular
-
-
 def assembler(features: Sequence[str]) -> VectorAssembler:
     # "keep" turns a NULL into NaN, which a tree sends down the right branch
     return VectorAssembler(inputCols=list(features), outputCol=_VECTOR, handleInvalid="keep")
@@ -62,32 +53,29 @@ class TrainedModel:
     n_rows: int
 
 
-def train(
-    df: DataFrame,
-    target: str,
-    features: Sequence[str] = MODEL_FEATURES,
-    regular: TreeParams = REGULAR,
-    small: TreeParams = SMALL,
-    count_features: bool = False,
-    holdout: Sequence[str] = (),
-) -> TrainedModel:
-    """Fit the pooled regressor on complete rows. Validation rows are never used to stop early.
+def complete_rows(df: DataFrame, target: str, features: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Rows without a gap in target and features, as `label`, the features and further columns, stored.
 
-    With `holdout`, about a fifth of the rows, told by a hash of these key columns, is kept
-    out of the fit, unless the set is too small for the regular parameters.
+    Boosting reads its input many times: the rows are written once, so that neither the plan
+    behind them nor a lost executor makes Spark compute them again.
     """
     used = present_features(df, features)
     complete = df.na.drop("any", subset=[*used, target])
-    if holdout:
-        complete = hash_split(complete, holdout)
-    extra = ["split"] if holdout else []
-    # boosting reads its input many times: the rows are written once, so that neither the
-    # plan behind them nor a lost executor makes Spark compute them again
-    rows = materialise(complete.select(F.col(target).cast("double").alias("label"), *used, *extra), "training-rows")
+    more = [c for c in carry if c not in used]
+    return materialise(complete.select(F.col(target).cast("double").alias("label"), *used, *more), "training-rows")
+
+
+def fit(rows: DataFrame, features: Sequence[str], params: TreeParams = REGULAR, min_rows: int = MIN_ROWS) -> TrainedModel:
+    """Fit the pooled regressor on stored complete rows. Too few of them are an error; SMALL names a setting for such sets.
+
+    The session's checkpoint folder cuts the lineage that the boosting rounds build up.
+    """
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(new_folder(spark, "boosting"))
     n = rows.count()
-    params = choose_params(n, len(used) if count_features else 0, regular, small)
-    if holdout and params is regular:
-        rows = rows.where(F.col("split") == "train")
+    if n < min_rows:
+        raise ValueError(f"{n} complete rows to train on; below {min_rows} give min_rows=1 and params=SMALL or SMALL_LAST_ROW")
     learner = GBTRegressor(
         featuresCol=_VECTOR,
         labelCol="label",
@@ -99,10 +87,36 @@ def train(
         featureSubsetStrategy=str(params.column_share),
         maxBins=256,
         seed=params.seed,
+        checkpointInterval=10,
+        cacheNodeIds=True,
     )
-    assemble = assembler(used)
+    assemble = assembler(features)
     fitted = learner.fit(assemble.transform(rows))
-    return TrainedModel(PipelineModel([assemble, fitted]), tuple(used), params, n)
+    return TrainedModel(PipelineModel([assemble, fitted]), tuple(features), params, n)
+
+
+def train(
+    df: DataFrame,
+    target: str,
+    features: Sequence[str] = MODEL_FEATURES,
+    params: TreeParams = REGULAR,
+    holdout: Sequence[str] = (),
+    validation_fraction: float = 0.2,
+    min_rows: int = MIN_ROWS,
+) -> TrainedModel:
+    """Fit the pooled regressor on complete rows. Validation rows are never used to stop early.
+
+    With `holdout`, about `validation_fraction` of the rows, told by a hash of these key columns, is
+    kept out of the fit; `held_out` gives the same rows. Parameters are what the caller says.
+    """
+    used = present_features(df, features)
+    source = hash_split(df, holdout, validation_fraction).where(F.col("split") == "train") if holdout else df
+    return fit(complete_rows(source, target, used), used, params, min_rows)
+
+
+def held_out(df: DataFrame, keys: Sequence[str], validation_fraction: float = 0.2) -> DataFrame:
+    """The rows that `train` keeps out of its fit."""
+    return hash_split(df, keys, validation_fraction).where(F.col("split") == "val").drop("split")
 
 
 def predict(df: DataFrame, model: TrainedModel, output: str = "xgb_point", complete_only: bool = True) -> DataFrame:
@@ -133,19 +147,26 @@ def run_backtest(
     features: Sequence[str],
     spec: PanelSpec = PanelSpec(),
     strict: bool = False,
+    as_written: bool = False,
     **settings,
 ) -> DataFrame:
     """Train up to train_end, forecast test_date, put forecasts beside actuals.
 
     Leakage checks run before anything is trained. `strict` wants supervised rows from
-    supervised_strict and scores on the KPI at test_date itself.
+    supervised_strict and scores on the KPI at test_date itself. Otherwise the label of the last
+    training rows is the value at the test date, which the check on label dates stops, unless the caller
+    asks for the procedure `as_written`.
     """
     rows = backtest.training_rows(sup, train_end, spec, strict)
+    return _score_fold(panel, sup, rows, train_end, test_date, spec, strict, as_written, lambda: train(rows, "y_next", features, **settings))
+
+
+def _score_fold(panel, sup, rows, train_end, test_date, spec, strict, as_written, fitted) -> DataFrame:
     tests = backtest.test_rows(panel, test_date, spec)
-    backtest.require_no_leakage(backtest.leakage_report(rows, tests, train_end, test_date, spec))
-    fitted = train(rows, "y_next", features, **settings)
+    checks = backtest.AS_WRITTEN_CHECKS if as_written else backtest.BLOCKING_CHECKS
+    backtest.require_no_leakage(backtest.leakage_report(rows, tests, train_end, test_date, spec), checks)
     # every test row is forecast, as it stands
-    forecasts = predict(backtest.naive_drift(tests), fitted, complete_only=False)
+    forecasts = predict(backtest.naive_drift(tests), fitted(), complete_only=False)
     truth = backtest.actuals(sup, panel, [test_date], spec, "at_test_date" if strict else "next")
     return backtest.compare(forecasts, truth, ["arima_naive", "arima_drift", "xgb_point"], spec)
 
@@ -157,8 +178,20 @@ def run_walk_forward(
     features: Sequence[str],
     spec: PanelSpec = PanelSpec(),
     strict: bool = False,
-    **settings,
+    as_written: bool = False,
+    params: TreeParams = REGULAR,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """The backtest for several (train_end, test_date) folds; one model is trained after another."""
-    parts = [run_backtest(panel, sup, train_end, test_date, features, spec, strict, **settings) for train_end, test_date in folds]
+    """The backtest for several (train_end, test_date) folds; one model is trained after another.
+
+    The complete rows are stored once, with their dates; each fold reads those up to its end.
+    """
+    used = present_features(sup, features)
+    stored = complete_rows(sup, "y_next", used, [spec.time, *[c for c in ("label_date",) if c in sup.columns]])
+    parts = []
+    for train_end, test_date in folds:
+        rows = backtest.training_rows(stored, train_end, spec, strict)
+        parts.append(
+            _score_fold(panel, sup, rows, train_end, test_date, spec, strict, as_written, lambda rows=rows: fit(rows, used, params, min_rows))
+        )
     return reduce(DataFrame.unionByName, parts)

@@ -1,51 +1,110 @@
-"""Registered queries that train a model. No SQL can give the same values."""
+"""Registered queries that train a model.
+
+No SQL can give the forecasts themselves, so the queries return what SQL can tell: the rows that are
+scored, what they are scored on, the baselines beside them, and whether there is a forecast.
+"""
 
 from __future__ import annotations
 
-from quarterwise.operators import features, model, normalise, splits
+from pyspark.sql import functions as F
+
+from quarterwise.operators import features, model, splits
 from quarterwise.operators.evaluate import pooled_metrics, prediction_interval
 from quarterwise.plans import views as v
+from quarterwise.plans.scoring import walk_sql
+from quarterwise.plans.sql import sql
 from quarterwise.session import materialise
 
 # a few trees, so that the queries stay short; the default is 600
 FEW = model.TreeParams(10, 4, 0.3)
-_FEATURES = ["lag_1", "lag_2", "diff_1", "growth_1", "mean_2", "month", "year", "OperatingExpenses", "GrossProfit", "Assets"]
+#: The first test date of the walk-forward, as a position among the panel's dates: lags need three rows before it.
+FIRST_FOLD = 4
+
+
+def _measured(metrics):
+    """Rows, and whether the errors were measured."""
+    return metrics.withColumn("measured", F.col("mae").isNotNull() & (F.col("rmse") >= F.col("mae"))).drop("mae", "rmse")
+
+
+def _told(compared):
+    return compared.withColumn("has_forecast", F.col("xgb_point").isNotNull()).drop("xgb_point")
 
 
 def ml_train_metrics(spark, sf):
-    """Rows, MAE and RMSE on the chronologically last fifth."""
-    split = materialise(splits.chronological_split(features.supervised(v.panel(spark, sf))), "split")
+    """The chronologically last fifth, scored by a model of the rows before."""
+    split = materialise(splits.chronological_split(features.supervised(v.fin_series(spark, sf))), "split")
     train, val = split.where("split = 'train'"), split.where("split = 'val'")
-    return model.train_and_validate(train, val, _FEATURES, regular=FEW)[1]
+    return _measured(model.train_and_validate(train, val, features.gated_features(train), params=FEW)[1])
 
 
 def ml_predict_masked(spark, sf):
     """Forecasts with intervals; rows with a missing feature keep NULL."""
-    feats = materialise(features.timeseries_features(v.panel(spark, sf)), "features")
-    fitted = model.train(feats, "Revenues", _FEATURES, regular=FEW, count_features=True, holdout=["Company", "Date"])
-    out = prediction_interval(model.predict(feats, fitted), "Revenues", ["Company", "Date"])
-    return normalise.finalise(out, "Revenues")
+    feats = materialise(features.timeseries_features(v.fin_series(spark, sf)), "features")
+    fitted = model.train(feats, "Revenues", features.gated_features(feats), FEW, holdout=["Company", "Date"])
+    # an interval reads the forecasts twice
+    scored = materialise(model.predict(feats, fitted), "scored")
+    out = prediction_interval(scored, "Revenues", ["Company", "Date"])
+    width = F.col("pi_upper") - F.col("xgb_point")
+    return out.select(
+        "Company",
+        "Date",
+        "Revenues",
+        F.col("xgb_point").isNotNull().alias("has_forecast"),
+        ((width > 0) & (F.col("pi_lower") < F.col("xgb_point"))).alias("has_interval"),
+    )
 
 
 def ml_backtest(spark, sf):
     panel = v.panel(spark, sf)
-    return model.run_backtest(panel, features.supervised(panel), v.TRAIN_END, v.TEST_DATE, _FEATURES, regular=FEW)
+    sup = materialise(features.supervised(panel, label_date=True), "supervised")
+    chosen = features.gated_features(sup.where(F.col("Date") <= v.TRAIN_END))
+    return _told(model.run_backtest(panel, sup, v.TRAIN_END, v.TEST_DATE, chosen, as_written=True, params=FEW))
 
 
 def ml_backtest_strict(spark, sf):
     panel = v.panel(spark, sf)
-    sup = features.supervised_strict(panel)
-    return model.run_backtest(panel, sup, v.TRAIN_END, v.TEST_DATE, _FEATURES, strict=True, regular=FEW)
+    sup = materialise(features.supervised_strict(panel), "supervised")
+    chosen = features.gated_features(sup.where(F.col("Date") <= v.TRAIN_END))
+    return _told(model.run_backtest(panel, sup, v.TRAIN_END, v.TEST_DATE, chosen, strict=True, params=FEW))
 
 
 def ml_walk_forward(spark, sf):
-    """Rows, MAE and RMSE per test date over several folds."""
+    """Every date of the panel from the fifth on, scored by a model of the rows up to the date before."""
     panel = v.panel(spark, sf)
-    sup = materialise(features.supervised(panel), "supervised")
-    folds = [("1999-12-31", "2000-03-31"), ("2000-06-30", "2000-09-30"), (v.TRAIN_END, v.TEST_DATE)]
-    few = model.TreeParams(5, 3, 0.3)
-    return pooled_metrics(model.run_walk_forward(panel, sup, folds, _FEATURES, regular=few), by=["Date"])
+    sup = materialise(features.supervised(panel, label_date=True), "supervised")
+    dates = v.panel_dates(panel)
+    folds = list(zip(dates[FIRST_FOLD - 1 :], dates[FIRST_FOLD:]))
+    chosen = features.gated_features(sup.where(F.col("Date") <= v.TRAIN_END))
+    out = model.run_walk_forward(panel, sup, folds, chosen, as_written=True, params=FEW, min_rows=1)
+    return _measured(pooled_metrics(out, by=["Date"]))
 
 
 QUERIES = {f.__name__: f for f in (ml_train_metrics, ml_predict_masked, ml_backtest, ml_backtest_strict, ml_walk_forward)}
-ORACLE: dict[str, str] = {}
+
+# the features that pass their gates: all but StockholdersEquity, which is too sparse
+_COMPLETE = " AND ".join(
+    f"{c} IS NOT NULL" for c in ("lag_1", "lag_2", "diff_1", "growth_1", "mean_2", "OperatingExpenses", "GrossProfit", "Assets")
+)
+ORACLE = {
+    "ml_train_metrics": sql(
+        f""", s AS (SELECT *, row_number() OVER (ORDER BY "Date", Company) AS rn, count(*) OVER () AS n FROM fin_sup)
+            SELECT count(*) FILTER (WHERE rn > floor(n * 0.8) AND {_COMPLETE}) AS n_rows, TRUE AS measured FROM s""",
+        "fin_sup",
+    ),
+    "ml_predict_masked": sql(
+        f"""SELECT Company, "Date", Revenues, {_COMPLETE} AS has_forecast, CASE WHEN {_COMPLETE} THEN TRUE END AS has_interval
+            FROM fin_feat""",
+        "fin_feat",
+    ),
+    "ml_backtest": sql("SELECT *, TRUE AS has_forecast FROM fin_compare", "fin_compare"),
+    "ml_backtest_strict": sql(
+        """SELECT t.Company, t."Date", s.Revenues AS actual, t.lag_1 AS arima_naive, t.lag_1 + t.diff_1 AS arima_drift,
+             TRUE AS has_forecast
+           FROM fin_test t JOIN fin_series s ON t.Company = s.Company AND t."Date" = s."Date" WHERE s.Revenues IS NOT NULL""",
+        "fin_test",
+    ),
+    "ml_walk_forward": sql(
+        walk_sql("fin_series", "y", 'SELECT test_date AS "Date", count(*) AS n_rows, TRUE AS measured FROM c GROUP BY 1', first=FIRST_FOLD),
+        "fin_series",
+    ),
+}

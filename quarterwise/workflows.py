@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterwise.operators import chat, clean, evaluate, facts, features, model, normalise, splits
-from quarterwise.operators.neighbours import fit_slices
 from quarterwise.session import materialise
 from quarterwise.sinks import files, upsert
 from quarterwise.sources import filings
@@ -38,24 +37,33 @@ def ingest(
 
 
 def baselines(
-    spark: SparkSession, raw: DataFrame, out: str, spec: PanelSpec = PanelSpec(), last_rows: bool = False, **settings
-) -> DataFrame:
-    """Clean, build features, train, predict with intervals, finalise; returns metrics by model."""
-    panel = materialise(clean.clean_panel(raw, spec), "clean-panel")
-    spec = fit_slices(panel, spec)
+    spark: SparkSession,
+    raw: DataFrame,
+    out: str,
+    spec: PanelSpec = PanelSpec(),
+    last_rows: bool = False,
+    validation_fraction: float = 0.2,
+    **settings,
+) -> tuple[DataFrame, DataFrame]:
+    """Clean, build features, train, predict with intervals, finalise; returns metrics by model and on held-out rows.
+
+    One row per entity is a small set by nature: for `last_rows` give params=model.SMALL_LAST_ROW.
+    """
+    panel = clean.clean_panel(raw, spec)
     feats = features.last_row_features(panel, spec) if last_rows else features.timeseries_features(panel, spec)
     prepared = f"{out}/{'prepared_last_rows' if last_rows else 'prepared_timeseries'}"
     feats = spark.read.parquet(files.write_artifact(feats, prepared))
-    # one row per entity is a small set by nature and has its own small setting
-    small = {"small": model.SMALL_LAST_ROW} if last_rows else {"small": model.SMALL, "count_features": True}
-    fitted = model.train(feats, spec.kpi, MODEL_FEATURES, holdout=[spec.entity, spec.time], **{**small, **settings})
+    keys = [spec.entity, spec.time]
+    fitted = model.train(feats, spec.kpi, MODEL_FEATURES, holdout=keys, validation_fraction=validation_fraction, **settings)
     # an interval reads the forecasts twice
     scored = materialise(model.predict(feats, fitted), "scored")
     final = normalise.finalise(evaluate.prediction_interval(scored, spec.kpi, [spec.entity, spec.time]), spec.kpi)
     files.write_artifact(final, f"{out}/predictions")
     metrics = evaluate.metrics_by_model(spark.read.parquet(f"{out}/predictions"), spec.kpi)
     files.write_csv(metrics, f"{out}/metrics")
-    return metrics
+    unseen = evaluate.pooled_metrics(model.held_out(scored, keys, validation_fraction), spec.kpi)
+    files.write_csv(unseen, f"{out}/metrics_held_out")
+    return metrics, unseen
 
 
 def chat_files(spark: SparkSession, predictions_path: str, out: str, kpi: str, year_val: int) -> str:
@@ -77,6 +85,7 @@ def backtest_report(
     out: str | None = None,
     spec: PanelSpec = PanelSpec(),
     strict: bool = False,
+    as_written: bool = False,
     **settings,
 ) -> tuple[DataFrame, DataFrame]:
     """Clean, build supervised rows, pick features by coverage, backtest; returns comparison and metrics.
@@ -84,12 +93,11 @@ def backtest_report(
     With `out`, the comparison is merged into the prediction table there.
     """
     panel = materialise(clean.clean_panel(raw, spec), "clean-panel")
-    spec = fit_slices(panel, spec)
     sup = features.supervised_strict(panel, spec) if strict else features.supervised(panel, spec, label_date=True)
     sup = materialise(sup, "supervised")
     train = splits.chronological_split(sup, spec=spec).where(F.col("split") == "train")
     chosen = features.gated_features(train)
-    compared = model.run_backtest(panel, sup, train_end, test_date, chosen, spec, strict, **settings)
+    compared = model.run_backtest(panel, sup, train_end, test_date, chosen, spec, strict, as_written, **settings)
     compared = materialise(compared, "compared")
     if out:
         upsert.upsert_predictions(compared, out, keep=["actual"])

@@ -52,6 +52,10 @@ def test_leakage_report_and_guard(frame):
     report = backtest.leakage_report(strict, tests, "2000-09-30", "2000-12-31")
     assert report.where("check = 'label_date'").first().violations == 0
     backtest.require_no_leakage(report)
+    loose = backtest.leakage_report(backtest.training_rows(sup, "2000-09-30"), tests, "2000-09-30", "2000-12-31")
+    with pytest.raises(AssertionError, match="label_date: 1 rows"):
+        backtest.require_no_leakage(loose)
+    backtest.require_no_leakage(loose, backtest.AS_WRITTEN_CHECKS)
     with pytest.raises(AssertionError, match="train_date"):
         backtest.require_no_leakage(backtest.leakage_report(sup, tests, "2000-01-31", "2000-12-31"))
 
@@ -60,7 +64,18 @@ def test_leakage_report_tells_labels_in_the_test_rows(frame):
     panel = _panel(frame)
     sup = features.supervised(panel)
     got = {r["check"]: r.violations for r in backtest.leakage_report(sup, sup, "2000-12-31", "2000-06-30").collect()}
-    assert got["y_next_in_test"] == sup.count() and got["test_date"] > 0 and got["label_date"] == 0
+    assert got["y_next_in_test"] == sup.count() and got["test_date"] > 0
+    assert got["label_date"] is None  # without the labels' dates the check is not made
+
+
+def test_a_check_that_was_not_made_stops_the_backtest(frame):
+    panel = _panel(frame)
+    tests = backtest.test_rows(panel, "2000-12-31")
+    rows = backtest.training_rows(features.supervised(panel), "2000-09-30")
+    report = backtest.leakage_report(rows, tests, "2000-09-30", "2000-12-31")
+    assert {r["check"]: r.evaluated for r in report.collect()}["label_date"] is False
+    with pytest.raises(AssertionError, match="label_date: not evaluated"):
+        backtest.require_no_leakage(report)
 
 
 def test_compare_needs_both_sides(frame):

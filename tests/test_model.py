@@ -8,14 +8,9 @@ from quarterwise.spec import PanelSpec
 FEW = model.TreeParams(3, 3, 0.5)
 
 
-def test_choose_params():
-    with pytest.raises(ValueError):
-        model.choose_params(0)
-    assert model.choose_params(1) == model.SMALL and model.choose_params(4) == model.SMALL
-    assert model.choose_params(5) == model.REGULAR
-    assert model.choose_params(11, n_features=11) == model.SMALL and model.choose_params(12, n_features=11) == model.REGULAR
-    assert model.choose_params(4, small=model.SMALL_LAST_ROW).trees == 100
+def test_settings():
     assert (model.REGULAR.trees, model.REGULAR.depth, model.REGULAR.rate, model.REGULAR.seed) == (600, 4, 0.05, 42)
+    assert model.SMALL_LAST_ROW.trees == 100
 
 
 def _panel(spark, n=12, companies=6):
@@ -30,7 +25,7 @@ def _panel(spark, n=12, companies=6):
 @pytest.fixture(scope="module")
 def fitted(spark):
     feats = features.timeseries_features(_panel(spark))
-    return feats, model.train(feats, "Revenues", ["lag_1", "lag_2", "Assets", "absent"], regular=FEW)
+    return feats, model.train(feats, "Revenues", ["lag_1", "lag_2", "Assets", "absent"], FEW)
 
 
 def test_rows_without_a_feature_keep_null(fitted):
@@ -46,25 +41,49 @@ def test_incomplete_rows_are_forecast_on_request(fitted):
     assert model.predict(feats, trained, complete_only=False).where("xgb_point is null").count() == 0
 
 
-def test_holdout_keeps_rows_out_of_regular_fits(spark, fitted):
+def test_held_out_rows_are_not_trained_on(fitted):
     feats, trained = fitted
-    held = model.train(feats, "Revenues", ["lag_1", "lag_2", "Assets"], regular=FEW, holdout=["Company", "Date"])
-    assert held.n_rows == trained.n_rows == 60 and held.params == FEW
-    few = model.train(feats.limit(4).fillna(1.0), "Revenues", ["lag_1"], small=FEW, holdout=["Company", "Date"])
-    assert few.n_rows == 4 and few.params == FEW
+    assert trained.n_rows == 60
+    for fraction in (0.2, 0.5):
+        held = model.train(feats, "Revenues", ["lag_1", "lag_2", "Assets"], FEW, ["Company", "Date"], fraction)
+        out = model.held_out(feats, ["Company", "Date"], fraction).na.drop(subset=["lag_1", "lag_2", "Assets", "Revenues"])
+        assert held.n_rows + out.count() == 60 and held.params == FEW
 
 
-def test_forecasts_are_near(fitted):
-    feats, trained = fitted
-    errs = model.predict(feats, trained).where("xgb_point is not null").selectExpr("avg(abs(Revenues - xgb_point)) e").first().e
-    assert errs < 60
+def test_too_few_rows_are_an_error_that_names_another_setting(fitted):
+    feats, _ = fitted
+    four = feats.limit(4).fillna(1.0)
+    with pytest.raises(ValueError, match="SMALL"):
+        model.train(four, "Revenues", ["lag_1"], FEW)
+    assert model.train(four, "Revenues", ["lag_1"], FEW, min_rows=1).n_rows == 4
+
+
+def test_a_formula_is_learned(spark):
+    rows = [(f"c{i % 7}", float(i % 50), float((i * 7) % 13), 3.0 * (i % 50) + 10.0 * ((i * 7) % 13 > 6)) for i in range(700)]
+    df = spark.createDataFrame(rows, "Company string, lag_1 double, lag_2 double, Revenues double")
+    trained = model.train(df, "Revenues", ["lag_1", "lag_2"], model.TreeParams(40, 4, 0.3))
+    errs = model.predict(df, trained).selectExpr("avg(abs(Revenues - xgb_point)) e", "avg(abs(Revenues - 77.2)) spread").first()
+    assert errs.e < 3 < errs.spread / 10
+
+
+def test_walk_forward_equals_single_folds(spark):
+    panel = _panel(spark)
+    sup = features.supervised_strict(panel)
+    folds = [("2001-10-01", "2002-01-01"), ("2002-04-01", "2002-07-01")]
+    many = model.run_walk_forward(panel, sup, folds, ["lag_1", "lag_2"], strict=True, params=FEW)
+    assert many.groupBy("Date").count().count() == 2
+    for end, test in folds:
+        one = model.run_backtest(panel, sup, end, test, ["lag_1", "lag_2"], strict=True, params=FEW)
+        assert sorted(map(tuple, one.select("Company", "actual", "arima_naive").collect())) == sorted(
+            map(tuple, many.where(f"Date = date'{test}'").select("Company", "actual", "arima_naive").collect())
+        )
 
 
 def test_backtest_runs_and_checks_first(spark):
     panel = _panel(spark)
     sup = features.supervised_strict(panel)
-    out = model.run_backtest(panel, sup, "2002-04-01", "2002-07-01", ["lag_1", "lag_2"], PanelSpec(), strict=True, regular=FEW)
+    out = model.run_backtest(panel, sup, "2002-04-01", "2002-07-01", ["lag_1", "lag_2"], PanelSpec(), strict=True, params=FEW)
     rows = out.collect()
     assert len(rows) == 6 and all(r.actual == r.arima_drift for r in rows)
-    with pytest.raises(ValueError, match="no complete rows"):
-        model.run_backtest(panel, sup, "1999-01-01", "2002-07-01", ["lag_1"], regular=FEW)
+    with pytest.raises(ValueError, match="0 complete rows"):
+        model.run_backtest(panel, sup, "1999-01-01", "2002-07-01", ["lag_1"], as_written=True, params=FEW)

@@ -24,7 +24,9 @@ def _raw(frame):
 def test_baselines_to_chat_files(spark, frame, tmp_path):
     out = str(tmp_path / "a")
     raw = _raw(frame).replace("N/A", "3.0", subset=["StockholdersEquity"])
-    metrics = {r.model: r for r in workflows.baselines(spark, raw, out, regular=FEW, small=FEW).collect()}
+    by_model, unseen = workflows.baselines(spark, raw, out, params=FEW, validation_fraction=0.3)
+    metrics = {r.model: r for r in by_model.collect()}
+    assert 0 < unseen.first().n_rows < 60 and unseen.first().mae is not None
     assert set(metrics) == {"naive", "drift", "xgb"} and all(r.MAE is not None for r in metrics.values())
     pred = spark.read.parquet(f"{out}/predictions")
     assert pred.columns[:5] == ["Company", "KPI", "Date", "year", "quarter"] and pred.count() == 128
@@ -37,7 +39,7 @@ def test_baselines_to_chat_files(spark, frame, tmp_path):
 def test_last_rows_to_chat_files(spark, frame, tmp_path):
     out = str(tmp_path / "a")
     raw = _raw(frame).replace("N/A", "3.0", subset=["StockholdersEquity"])
-    workflows.baselines(spark, raw, out, last_rows=True, regular=FEW, small=FEW)
+    workflows.baselines(spark, raw, out, last_rows=True, params=FEW, min_rows=1)
     assert spark.read.parquet(f"{out}/predictions").count() == 8
     made = spark.read.text(workflows.last_row_chat_files(spark, f"{out}/predictions", str(tmp_path / "chat"), "Revenues"))
     assert made.where("split = 'val'").count() == 1 and made.count() == 8
@@ -46,7 +48,7 @@ def test_last_rows_to_chat_files(spark, frame, tmp_path):
 def test_backtest_merges_into_the_prediction_table(spark, frame, tmp_path):
     out = str(tmp_path / "p")
     for strict in (False, True):
-        compared, metrics = workflows.backtest_report(_raw(frame), "2002-12-31", "2003-03-30", out, strict=strict, regular=FEW)
+        compared, metrics = workflows.backtest_report(_raw(frame), "2002-12-31", "2003-03-30", out, strict=strict, as_written=not strict, params=FEW)
         assert metrics.first().n_rows == compared.count() > 0
     saved = upsert.read_predictions(spark, out)
     assert saved.count() == saved.select("Company", "Date").distinct().count() and "actual" in saved.columns
