@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,26 @@ def strict_date(col: Column) -> Column:
     return F.when(col.isNotNull() & found.isNull(), bad).otherwise(found)
 
 
-def lenient_date(col: Column) -> Column:
-    """Text to date; text that is no date becomes NULL."""
-    return col.try_cast("date")
+# Common ways to write a date, tried in this order after ISO dates and timestamps.
+DATE_FORMATS = (
+    "M/d/yyyy", "M/d/yy", "yyyy/M/d", "yyyyMMdd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d-MMM-yyyy",
+    "M-d-yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm",
+)
+
+
+def lenient_date(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Text to date, by the first form that reads it; text that is no date becomes NULL.
+
+    ISO dates and timestamps come first, then `formats`, then milliseconds since 1970 (12 or 13
+    digits). Month names are English. Columns that hold dates already are only cast.
+    """
+    text = F.trim(col.cast("string"))
+    iso = col.try_cast("date")
+    tried = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    millis = F.when(text.rlike(r"^-?\d{12,13}$"), F.timestamp_millis(text.try_cast("bigint")).cast("date"))
+    return F.coalesce(iso, millis, *tried)
+
+
+def unreadable_dates(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """How many entries hold something that is no date in any of the forms; an aggregate."""
+    return F.count_if(col.isNotNull() & lenient_date(col, formats).isNull())

@@ -27,8 +27,8 @@ SYSTEM_INFERENCE = (
 EXPLANATION_LAST_ROW = "Choosing a conservative blend of drift and XGB given rising OPEX and mixed gross profit."
 EXPLANATION_SERIES = "Ground truth for supervised SFT."
 BASELINES = ("arima_naive", "arima_drift", "xgb_point")
-FALLBACK_CHARS = 200
 FEW_RECORDS, LIMITED_RECORDS = 5, 20
+NO_TEXT = "null"
 
 MESSAGE_SCHEMA = "struct<messages: array<struct<role: string, content: string>>>"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -68,16 +68,16 @@ def last_row_records(df: DataFrame, kpi: str, entity: str = "Company") -> DataFr
     return df.withColumn("record", record)
 
 
-def with_history(df: DataFrame, length: int = 2) -> DataFrame:
+def with_history(df: DataFrame, length: int = 2, slice_by: Column | None = None) -> DataFrame:
     """Per (Company, KPI): up to `length` earlier actuals as [{t, value}], t = -length..-1.
 
     Rows with nothing before them are dropped; an earlier row without an actual stays in
-    the history with a null value.
+    the history with a null value. Quarterly histories are bounded by the calendar and stay
+    whole; `slice_by`, such as the year, cuts long ones (see neighbours).
     """
     wanted = {f"__h{k}": (F.struct(F.col("actual").cast("double").alias("value")), -k) for k in range(length, 0, -1)}
     order = ["year", "quarter", F.xxhash64(*[c for c in ("actual", *BASELINES, *EXOG) if c in df.columns])]
-    # year is the leading sort column, so slices by year follow the order
-    out = with_neighbours(df, ["Company", "KPI"], order, F.coalesce(F.col("year").cast("bigint"), F.lit(1 << 40)), wanted)
+    out = with_neighbours(df, ["Company", "KPI"], order, slice_by, wanted)
     entries = [
         F.when(F.col(h).isNotNull(), F.struct(F.lit(offset).alias("t"), F.col(h)["value"].alias("value")))
         for h, (_, offset) in wanted.items()
@@ -128,7 +128,8 @@ def split_by_year(df: DataFrame, year_val: int = 2023, year: str = "year") -> Da
 
 
 def chunk(role: Column, content: Column) -> Column:
-    """One message as tagged text."""
+    """One message as tagged text. A message without role or content stays, with NO_TEXT in its place."""
+    role, content = F.coalesce(role, F.lit(NO_TEXT)), F.coalesce(content, F.lit(NO_TEXT))
     return F.concat(F.lit("<"), role, F.lit(">\n"), content, F.lit("\n</"), role, F.lit(">"))
 
 
@@ -141,7 +142,8 @@ def _join_turns(df: DataFrame, piece: Column, separator: str, block: int) -> Dat
     """One text per conversation from one piece per turn, in turn order.
 
     Pieces are first joined in blocks of turns, so a long conversation is put together
-    by many tasks; the second step only joins finished blocks.
+    by many tasks; the second step only joins finished blocks. The result is one row, so the
+    text of one conversation has to fit into a task.
     """
     def joined(parts):
         return F.array_join(F.transform(parts, lambda m: m["piece"]), separator)
@@ -208,16 +210,17 @@ def first_user_turns(df: DataFrame) -> DataFrame:
     return users.agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("content"))
 
 
-def parse_answers(df: DataFrame, text: str = "answer") -> DataFrame:
+def parse_answers(df: DataFrame, text: str = "answer", most_chars: int | None = None) -> DataFrame:
     """Read model answers leniently; adds `how`, `final_forecast`, `explanation`.
 
     whole: the text is JSON. repaired: the outermost {...}, trailing commas removed, is
-    JSON. text: no braces, the explanation is the start of the text. error: braces, but
-    no JSON between them.
+    JSON. text: no braces, the explanation is the text, or its first `most_chars` characters.
+    error: braces, but no JSON between them.
     """
     stripped = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     found = F.nullif(F.regexp_extract(stripped, r"(?s)\{.*\}", 0), F.lit(""))
     repaired = F.regexp_replace(found, r",\s*([}\]])", "$1")
+    plain = F.col("__text") if most_chars is None else F.substring("__text", 1, most_chars)
     out = df.withColumns({"__whole": strict_json(stripped), "__part": strict_json(repaired), "__text": stripped, "__found": found})
     is_whole, is_part = F.col("__whole").isNotNull(), F.col("__part").isNotNull()
     how = F.when(is_whole, "whole").when(is_part, "repaired").when(F.col("__found").isNull(), "text").otherwise("error")
@@ -229,7 +232,7 @@ def parse_answers(df: DataFrame, text: str = "answer") -> DataFrame:
                 "final_forecast": F.try_variant_get(json, "$.final_forecast", "double"),
                 "explanation": F.coalesce(
                     F.try_variant_get(json, "$.explanation", "string"),
-                    F.when(~is_whole & ~is_part & F.col("__found").isNull(), F.substring("__text", 1, FALLBACK_CHARS)),
+                    F.when(~is_whole & ~is_part & F.col("__found").isNull(), plain),
                 ),
             }
         )

@@ -82,10 +82,11 @@ def ewma_volatility(df: DataFrame, residual: Column, order: Sequence[str], decay
 def ewma_volatility_by_entity(
     df: DataFrame, residual: Column, spec: PanelSpec = PanelSpec(), decay: float = DECAY
 ) -> DataFrame:
-    """The same volatility per entity, slice by slice, so that a long history is split."""
+    """The same volatility per entity; where `spec` declares slices, slice by slice, so that a long history is split."""
+    slices = spec.slice_expr(df)
     rows = df.where(F.col(spec.entity).isNotNull()).select(
         spec.entity,
-        spec.slice_expr(df).alias("slice"),
+        (F.lit(0) if slices is None else slices).alias("slice"),
         F.col(spec.time).alias("t"),
         spec.tie(df).alias("tie"),
         (residual * residual).alias("r2"),

@@ -1,8 +1,8 @@
 """Values from earlier and later rows of the same entity, safe for long histories.
 
 A plain window over the entity puts a whole history into one task, which fails to
-scale when one entity holds a large share of the table. Here the window runs over
-(entity, slice), and only the few rows next to a slice border travel between slices:
+scale when one entity holds a large share of the table. If the caller declares slices, the
+window runs over (entity, slice), and only the few rows next to a slice border travel between slices:
 
   rows --exchange(entity, slice)--> window: neighbours inside the slice
    |                                   |
@@ -13,20 +13,17 @@ scale when one entity holds a large share of the table. Here the window runs ove
 Every slice has at least one row, so the k slices before it always hold the k rows
 before its first row. The result equals the plain window, row for row.
 
-The input is read twice, the second time for the key, order and value columns only.
-Store it first if it is costly to compute.
+Sliced, the input is read twice, the second time for the key, order and value columns only;
+store it first if it is costly to compute. Without slices it is one exchange and one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterwise.spec import PanelSpec
-
 _SLICE = "__slice"
 _RN = "__rn"
 _AFTER = "__after"
@@ -131,33 +128,6 @@ def _rows_after(window, limit: int) -> Column:
     return sum(steps, F.lit(0))
 
 
-# Above this many long histories every entity is sliced instead of listing them.
-MAX_LISTED = 1000
-
-
-def fit_slices(df: DataFrame, spec: PanelSpec = PanelSpec(), max_rows: int = 1_000_000) -> PanelSpec:
-    """The spec with slices of at most `max_rows` rows, coarse ones, and only for entities that need them.
-
-    An action: one count per entity and, if some history is too long, one count per unit
-    tried over the rows of those entities. Counts are combined before the exchange, so a
-    hot entity does no harm here. At most MAX_LISTED names reach the driver.
-    """
-    present = df.where(_all_not_null(spec.keys))
-    too_long = present.groupBy(*spec.keys).count().where(F.col("count") > max_rows)
-    listed = [r[0] for r in too_long.select(spec.entity).limit(MAX_LISTED + 1).collect()]
-    if not listed:
-        return replace(spec, slice_unit="none", tie_slices=1, long_entities=None)
-    entities = tuple(sorted(listed)) if len(listed) <= MAX_LISTED else None
-    if entities is not None:
-        present = present.where(F.col(spec.entity).isin(list(entities)))
-    for unit in ("year", "quarter", "month", "day"):
-        tried = replace(spec, slice_unit=unit, tie_slices=1, long_entities=entities)
-        counted = present.groupBy(*spec.keys, tried.slice_expr(df).alias(_SLICE)).count()
-        if counted.agg(F.max("count")).first()[0] <= max_rows:
-            return tried
-    return replace(spec, slice_unit="day", tie_slices=64, long_entities=entities)
-
-
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, rank: str) -> DataFrame:
     """The last `n` rows per key, newest ranked 1.
 

@@ -20,13 +20,13 @@ MODEL_FEATURES = (*LAG_FEATURES, "month", "year", *EXOG)
 class PanelSpec:
     """One row per (entity, time); `kpi` is forecast, `exog` are carried along.
 
-    `slice_unit` is the calendar unit that cuts an entity's history into slices, so
-    that one long history is spread over many tasks; "none" leaves histories whole, which
-    saves a pass where all are known to be short. `tie_slices` above 1 also cuts the rows
-    of one (entity, time) by a hash; use it for tables that break the one-row-per-key
-    rule with very many rows on one date. `long_entities` limits slicing to the entities
-    listed; the others stay whole. neighbours.fit_slices() measures a table and sets
-    all three.
+    A panel with one row per entity and quarter has histories that the calendar bounds, and
+    they stay whole: one exchange. For tables with long histories the caller declares
+    `slice_unit`, the calendar unit that cuts a history into slices, so that it is spread over
+    many tasks at the cost of a second pass. `tie_slices` above 1 also cuts the rows of one
+    (entity, time) by a hash; use it for tables that break the one-row-per-key rule with
+    very many rows on one date. Rows that are equal in KPI and exogenous columns too share
+    their hash and are not cut further.
     """
 
     entity: str = ENTITY
@@ -35,9 +35,8 @@ class PanelSpec:
     exog: tuple[str, ...] = EXOG
     min_points: int = 3
     horizon: int = 1
-    slice_unit: str = "year"
+    slice_unit: str = "none"
     tie_slices: int = 1
-    long_entities: tuple | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -64,10 +63,7 @@ class PanelSpec:
             dated = F.datediff(t, F.lit("1970-01-01").cast("date")).cast("bigint") * 64 + part
         else:
             dated = _unit_number(t, self.slice_unit)
-        number = F.coalesce(dated, F.lit(1 << 40).cast("bigint") + bits)
-        if self.long_entities is None:
-            return number
-        return F.when(F.col(self.entity).isin(list(self.long_entities)), number).otherwise(F.lit(0).cast("bigint"))
+        return F.coalesce(dated, F.lit(1 << 40).cast("bigint") + bits)
 
 
 def _unit_number(t: Column, unit: str) -> Column:

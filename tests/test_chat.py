@@ -76,7 +76,7 @@ def test_first_user(spark):
         ('Sure! {"final_forecast": 2, "explanation": "ok",} bye', ("repaired", 2.0, "ok")),
         ('x {"a": [1, 2, ], "final_forecast": null} y', ("repaired", None, None)),
         ("  no json here ", ("text", None, "no json here")),
-        ("y" * 300, ("text", None, "y" * 200)),
+        ("y" * 300, ("text", None, "y" * 300)),
         ("{ broken }", ("error", None, None)),
         ('{"final_forecast": 1} trailing', ("repaired", 1.0, None)),
         ('line\n{"final_forecast":\n 3}\nend', ("repaired", 3.0, None)),
@@ -128,3 +128,14 @@ def test_size_report(frame, n, verdict):
 def test_prompt(frame):
     text = frame("p string", ('{"a":1}',)).select(chat.inference_prompt(F.col("p"))).first()[0]
     assert text.startswith("<system>\nYou are") and text.endswith('<user>\n{"a":1}\n</user>\n<assistant>\n')
+
+
+def test_length_of_a_bare_answer_is_a_parameter(frame):
+    assert chat.parse_answers(frame("answer string", ("y" * 300,)), most_chars=7).first().explanation == "y" * 7
+
+
+def test_turns_without_text_stay_in_the_packed_text(frame):
+    turns = frame("conv_id long, turn int, role string, text string", (1, 0, "user", None), (1, 1, None, "hi"), (1, 2, "user", "x"))
+    packed = chat.pack_conversations(turns).first()
+    assert packed.n_messages == 3
+    assert packed.text == "<user>\nnull\n</user>\n<null>\nhi\n</null>\n<user>\nx\n</user>"

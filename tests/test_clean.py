@@ -2,7 +2,8 @@ import datetime as dt
 
 import pytest
 
-from quarterwise.operators import clean
+from quarterwise.functions import calendar
+from quarterwise.operators import clean, normalise
 from quarterwise.operators.normalise import (
     answer_key,
     finalise,
@@ -95,11 +96,6 @@ def test_finalise_defaults_and_order(frame):
     assert out.first().quarter == 2 and out.first().Company == "Unknown"
 
 
-def test_finalise_fills_the_calendar_row_by_row(frame):
-    df = frame("Date string, year int, month int, Revenues double", ("2001-05-01", 1990, 1, 1.0), (None, 1999, 11, 1.0))
-    assert [(r.year, r.quarter) for r in finalise(df, "Revenues").collect()] == [(2001, 2), (1999, 4)]
-
-
 def test_answer_key(frame):
     key = frame("c string", ("Big Co",)).select(answer_key(F.col("c"), F.lit("Net Income"), F.lit(2023), F.lit(4))).first()[0]
     assert key == "Big_Co_Net_Income_2023Q4.json"
@@ -109,3 +105,39 @@ def test_spec_rejects_unknown_unit(frame):
     df = frame("Company string, Date date, Revenues double", ("a", dt.date(2000, 1, 1), 1.0))
     with pytest.raises(ValueError):
         PanelSpec(slice_unit="week").slice_expr(df)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("2020-03-31", dt.date(2020, 3, 31)),
+        ("2020-03-31 10:11:12", dt.date(2020, 3, 31)),
+        ("03/31/2020", dt.date(2020, 3, 31)),
+        ("3/31/20", dt.date(2020, 3, 31)),
+        ("March 31, 2020", dt.date(2020, 3, 31)),
+        ("Mar 31, 2020", dt.date(2020, 3, 31)),
+        (" 31 Mar 2020 ", dt.date(2020, 3, 31)),
+        ("20200331", dt.date(2020, 3, 31)),
+        ("1585612800000", dt.date(2020, 3, 31)),
+        ("03/31/2020 10:11", dt.date(2020, 3, 31)),
+        ("not-a-date", None),
+        ("13/45/2020", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_common_forms_of_dates(frame, text, want):
+    assert frame("d string", (text,)).select(calendar.lenient_date(F.col("d")).alias("d")).first().d == want
+
+
+def test_unreadable_dates_are_counted(frame):
+    df = frame("d string", ("2020-01-01",), ("x",), (None,), ("1/2/2020",), ("y",))
+    assert df.agg(calendar.unreadable_dates(F.col("d")).alias("n")).first().n == 2
+
+
+def test_undated_rows_have_no_year_once_there_are_dates(frame):
+    df = frame("Date string, year int, quarter int, Revenues double", ("2020-05-01", 1999, 1, 1.0), (None, 1999, 1, 1.0), ("x", 1999, 1, 1.0))
+    got = [(r.year, r.quarter) for r in normalise.finalise(df, "Revenues").collect()]
+    assert got == [(2020, 2), (None, None), (None, None)]
+    bare = frame("year int, month int, Revenues double", (1999, 5, 1.0))
+    assert (normalise.finalise(bare, "Revenues").first().year, normalise.finalise(bare, "Revenues").first().quarter) == (1999, 2)

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarterwise.operators.chat import with_history
 from quarterwise.operators.features import last_row_features, supervised, timeseries_features
-from quarterwise.operators.neighbours import fit_slices, latest_rows, with_neighbours
+from quarterwise.operators.neighbours import latest_rows, with_neighbours
 from quarterwise.spec import PanelSpec
 
 SCHEMA = "Company string, Date date, Revenues double, Assets double"
@@ -31,7 +32,7 @@ def _panel(spark, seed=1):
 
 
 @pytest.mark.parametrize(
-    "spec", [PanelSpec(), PanelSpec(slice_unit="quarter"), PanelSpec(slice_unit="month"), PanelSpec(slice_unit="day"), PanelSpec(tie_slices=8), PanelSpec(slice_unit="none"), PanelSpec(slice_unit="month", long_entities=("hot",))]
+    "spec", [PanelSpec(), *[PanelSpec(slice_unit=u) for u in ("year", "quarter", "month", "day")], PanelSpec(tie_slices=8)]
 )
 @pytest.mark.parametrize("offsets", [(-1, -2), (1,), (-1, -2, -5, 1, 3)])
 def test_equals_plain_window(spark, spec, offsets):
@@ -58,24 +59,10 @@ def test_many_rows_on_one_date(spark):
     assert out.select("lag_1").distinct().count() == 3000  # each value is the lag of one row
 
 
-def test_slices_are_fitted_to_the_longest_history(spark):
-    panel = _panel(spark).where("Date is not null")
-    assert fit_slices(panel).slice_unit == "none"
-    fitted = [fit_slices(panel, max_rows=n) for n in (400, 100, 31)]
-    assert [f.slice_unit for f in fitted] == ["year", "quarter", "month"]
-    assert {f.long_entities for f in fitted} == {("hot",)}
-    assert fit_slices(panel, max_rows=1).slice_unit == "day"
-    whole = panel.where("Company != 'hot'")
-    assert whole.select(fitted[0].slice_expr(panel).alias("s")).distinct().count() == 1
-    copies = spark.createDataFrame([("a", dt.date(2000, 1, 1), float(i), 0.0) for i in range(50)], SCHEMA)
-    assert fit_slices(copies, max_rows=10).tie_slices == 64
-    assert fit_slices(panel.limit(0)).slice_unit == "none"
-
-
 def test_undated_rows_are_spread(spark):
     rows = [("a", None, float(i), 0.0) for i in range(1000)]
     panel = spark.createDataFrame(rows, SCHEMA)
-    assert panel.groupBy(PanelSpec().slice_expr(panel)).count().count() > 32
+    assert panel.groupBy(PanelSpec(slice_unit="year").slice_expr(panel)).count().count() > 32
 
 
 def test_features_do_not_see_later_rows(spark):
@@ -86,12 +73,24 @@ def test_features_do_not_see_later_rows(spark):
     assert whole.exceptAll(early).count() == 0 and early.exceptAll(whole).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_window_has_a_slice_in_its_partitioning(spark):
-    panel = _panel(spark)
-    plan = supervised(panel)._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(supervised(_panel(spark), PanelSpec(slice_unit="year")))
     assert "hashpartitioning(Company" in plan and "__slice" in plan
 
 
+def test_whole_histories_take_one_exchange_and_one_scan(spark, tmp_path):
+    _panel(spark).write.parquet(str(tmp_path / "panel"))
+    panel = spark.read.parquet(str(tmp_path / "panel"))
+    predictions = panel.selectExpr("Company", "'Revenues' AS KPI", "year(Date) AS year", "quarter(Date) AS quarter", "Revenues AS actual")
+    for made in (timeseries_features(panel), supervised(panel, label_date=True), with_history(predictions)):
+        plan = _plan(made)
+        assert plan.count("Exchange") == 1 == plan.count("Scan parquet") and "Join" not in plan
+
+
 def test_latest_rows_limit_runs_before_the_exchange(spark):
     plan = latest_rows(_panel(spark), ["Company"], ["Date"], 2, "rn")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
