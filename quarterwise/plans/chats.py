@@ -12,6 +12,8 @@ from quarterwise.sinks import files
 from quarterwise.sources import records as readers
 
 YEAR_VAL = 2000
+#: The last year of the predictions, for the files that hold every record.
+LAST_YEAR = 2001
 _USER = """struct<company: string, kpi: string, target: struct<year: int, quarter: int>,
     history: array<struct<t: int, value: double>>, baselines: map<string, double>, exog: map<string, double>>"""
 _ANSWER = "struct<final_forecast: double, explanation: string>"
@@ -75,19 +77,35 @@ def chat_examples(spark, sf):
 
 
 def chat_split_year(spark, sf):
-    made = chat.split_by_year(chat.series_records(_normal(spark, sf)), YEAR_VAL)
+    # a history looks back only, so later years need no records
+    past = _normal(spark, sf).where(F.col("year") <= YEAR_VAL)
+    made = chat.split_by_year(chat.series_records(past), YEAR_VAL)
     return made.select("Company", "year", "quarter", "split")
 
 
 def chat_prompt(spark, sf):
+    """The prompt's fixed parts, and the fields of the payload between them."""
     rows = chat.series_records(_normal(spark, sf))
-    prompt = chat.inference_prompt(F.col("payload"))
-    return rows.select("Company", "year", "quarter", F.replace(prompt, F.col("payload"), F.lit("PAYLOAD")).alias("prompt"))
+    parts = rows.select("year", "quarter", F.split(chat.inference_prompt(F.col("payload")), r"<user>\n|\n</user>").alias("parts"))
+    read = parts.withColumns({"m": F.col("parts"), "u": F.from_json(F.get("parts", 1), _USER)})
+    fields = {c: F.col(f"u.{c}") for c in ("company", "kpi")} | {
+        "target_year": F.col("u.target.year"),
+        "target_quarter": F.col("u.target.quarter"),
+        "history_t": F.array_join(F.transform("u.history", lambda h: h["t"].cast("string")), ","),
+        "history_first": F.get("u.history", 0)["value"],
+        "history_last": F.try_element_at("u.history", F.lit(-1))["value"],
+        **{c: F.try_element_at("u.baselines", F.lit(c)) for c in _BASE},
+        **{c: F.try_element_at("u.exog", F.lit(c)) for c in _EXOG},
+    }
+    return read.select(
+        F.get("parts", 0).alias("before"), F.get("parts", 2).alias("after"), F.size("parts").alias("n_parts"),
+        *[c.alias(n) for n, c in fields.items()],
+    )
 
 
 def sink_chat_jsonl(spark, sf):
     path = new_folder(spark, "chat")
-    files.write_chat(chat.split_by_year(chat.series_records(_normal(spark, sf)), YEAR_VAL), path)
+    files.write_chat(chat.split_by_year(chat.series_records(_normal(spark, sf)), LAST_YEAR), path)
     back = spark.read.schema("value string, split string").text(path)
     return _opened(back, "value").select("split", *_fields(target=True))
 
@@ -115,6 +133,25 @@ def src_chat_jsonl(spark, sf):
     return chat.explode_messages(lines).select("position", "role", "content")
 
 
+def chat_pack_series(spark, sf):
+    """Packing of series records, whose user and assistant contents are objects."""
+    made = chat.series_records(_normal(spark, sf)).select("record")
+    path = new_folder(spark, "series-lines")
+    made.write.text(path)
+    m = F.col("parsed")["messages"]
+    lines = readers.read_chat_lines(spark, path).select(m.alias("m"), chat.pack_messages(m).alias("text"))
+    packed = lines.withColumns({"u": F.from_json(F.get("m", 1)["content"], _USER), "pieces": F.split("text", r"</?(?:system|user|assistant)>")})
+    return packed.select(
+        F.col("u.company").alias("company"),
+        F.col("u.target.year").alias("target_year"),
+        F.col("u.target.quarter").alias("target_quarter"),
+        F.size("pieces").alias("n_pieces"),
+        F.get("pieces", 1).alias("system_text"),
+        F.from_json(F.trim(F.get("pieces", 3)), _USER)["target"]["year"].alias("packed_year"),
+        F.from_json(F.trim(F.get("pieces", 5)), _ANSWER)["final_forecast"].alias("packed_forecast"),
+    )
+
+
 def chat_pack_records(spark, sf):
     """Packing of records that were read from a file, message arrays included."""
     lines = readers.read_chat_lines(spark, _written_lines(spark, sf))
@@ -178,6 +215,7 @@ QUERIES = {
         sink_chat_jsonl,
         chat_pack_text,
         chat_pack_records,
+        chat_pack_series,
         chat_role_counts,
         chat_first_user,
         src_chat_jsonl,
@@ -238,17 +276,31 @@ ORACLE = {
     ),
     "chat_prompt": sql(
         _EX
-        + f""" SELECT Company, "year", "quarter", concat('<system>', chr(10), '{_PROMPT}', chr(10), '</system>', chr(10), '<user>',
-               chr(10), 'PAYLOAD', chr(10), '</user>', chr(10), '<assistant>', chr(10)) AS prompt FROM e""",
+        + f""" SELECT concat('<system>', chr(10), '{_PROMPT}', chr(10), '</system>', chr(10)) AS "before",
+               concat(chr(10), '<assistant>', chr(10)) AS "after", CAST(3 AS INTEGER) AS n_parts, Company AS company, 'Revenues' AS kpi,
+               CAST("year" AS INTEGER) AS target_year, CAST("quarter" AS INTEGER) AS target_quarter,
+               CASE WHEN n_prior = 1 THEN '-1' ELSE '-2,-1' END AS history_t,
+               CASE WHEN n_prior = 1 THEN h1 ELSE h2 END AS history_first, h1 AS history_last,
+               {', '.join(_BASE)}, {', '.join(_EXOG)} FROM e""",
         "fin_pred",
     ),
-    "sink_chat_jsonl": sql(_EX + f""" SELECT {_SPLIT}, {_EXAMPLE} FROM e WHERE "year" <= {YEAR_VAL}""", "fin_pred"),
+    "sink_chat_jsonl": sql(
+        _EX + f""" SELECT CASE WHEN "year" < {LAST_YEAR} THEN 'train' ELSE 'val' END AS split, {_EXAMPLE} FROM e""", "fin_pred"
+    ),
     "chat_pack_text": """SELECT conv_id, count(*) AS n_messages,
         string_agg('<' || role || '>' || chr(10) || text || chr(10) || '</' || role || '>', chr(10) ORDER BY turn) AS text
         FROM conversations GROUP BY conv_id""",
     "chat_pack_records": """SELECT string_agg('<' || role || '>' || chr(10) || text || chr(10) || '</' || role || '>', chr(10) ORDER BY turn)
           AS text, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_user
         FROM conversations GROUP BY conv_id""",
+    "chat_pack_series": sql(
+        _EX
+        + f""" SELECT Company AS company, CAST("year" AS INTEGER) AS target_year, CAST("quarter" AS INTEGER) AS target_quarter,
+               CAST(CASE WHEN Revenues IS NULL THEN 5 ELSE 7 END AS INTEGER) AS n_pieces,
+               concat(chr(10), {_quote(chat.SYSTEM_SERIES)}, chr(10)) AS system_text, CAST("year" AS INTEGER) AS packed_year,
+               Revenues AS packed_forecast FROM e""",
+        "fin_pred",
+    ),
     "chat_role_counts": "SELECT role, count(*) AS n_messages FROM conversations GROUP BY role",
     "chat_first_user": """SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS content FROM conversations
         WHERE role = 'user' GROUP BY conv_id""",
@@ -276,5 +328,5 @@ ORACLE = {
             WHEN found = '' THEN 'text' ELSE 'error' END AS how FROM p),
         c AS (SELECT *, CASE how WHEN 'whole' THEN t WHEN 'repaired' THEN part END AS js FROM j)
         SELECT conv_id, turn, how, CAST(json_extract_string(js, '$.final_forecast') AS DOUBLE) AS final_forecast,
-          CASE WHEN how = 'text' THEN substring(t, 1, 200) ELSE json_extract_string(js, '$.explanation') END AS explanation FROM c""",
+          CASE WHEN how = 'text' THEN t ELSE json_extract_string(js, '$.explanation') END AS explanation FROM c""",
 }

@@ -31,7 +31,7 @@ def src_json_panel(spark, sf):
     text = F.regexp_replace(F.to_json("rows"), r':"(-?[0-9][0-9.E]*)"', ":$1")
     path = new_folder(spark, "json-panel")
     arrays.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return clean.clean_panel(records.read_json_panel(spark, path))
+    return clean.clean_panel(records.read_json_panel(spark, path, lines=False))
 
 
 def src_tagged_files(spark, sf):
@@ -96,14 +96,12 @@ def facts_latest_periods(spark, sf):
 
 
 def facts_pivot_last(spark, sf):
-    recent = facts.facts_in_latest_periods(_kept(spark, sf), 20)
-    return facts.pivot_last(recent, v.FACT_TAGS, ["Company"])
+    return facts.pivot_last(_kept(spark, sf), v.FACT_TAGS, ["Company"])
 
 
 def sink_raw_facts(spark, sf):
     path = new_folder(spark, "raw-facts")
-    chosen = facts.facts_of_filings(_kept(spark, sf), _allowed(spark, sf))
-    files.write_raw_facts(chosen, path)
+    files.write_raw_facts(_kept(spark, sf), path)
     return records.read_artifact(spark, path).withColumnRenamed("end", "end_dt")
 
 
@@ -120,12 +118,18 @@ def sink_two_targets(spark, sf):
 
 
 def sink_upsert_dedupe(spark, sf):
-    """Quarters 1-3, then quarters 2-4 with every row twice: the second of the later pair stays."""
+    """Quarters 1-3, then quarters 2-4 with every row twice: the second of the later pair stays.
+
+    The later batch brings interval columns that the table lacks so far; a third batch, of one
+    year, lacks them again.
+    """
     pred = v.predictions(spark, sf)
     path = new_folder(spark, "predictions")
     upsert.upsert_predictions(pred.where(F.col("quarter") <= 3), path)
     twice = pred.where(F.col("quarter") >= 2).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
-    upsert.upsert_predictions(twice.withColumn("xgb_point", F.col("xgb_point") + F.col("seq") * 10), path, order=["seq"])
+    point = F.col("xgb_point") + F.col("seq") * 10
+    upsert.upsert_predictions(twice.withColumns({"xgb_point": point, "pi_lower": point - 5, "pi_upper": point + 5}), path, order=["seq"])
+    upsert.upsert_predictions(pred.where("year = 1996 AND quarter = 1"), path)
     return upsert.read_predictions(spark, path)
 
 
@@ -139,7 +143,7 @@ def sink_csv_na_roundtrip(spark, sf):
 def sink_json_na_roundtrip(spark, sf):
     path = new_folder(spark, "json")
     files.write_json_records(v.fin_series(spark, sf), path)
-    return clean.clean_panel(records.read_json_panel(spark, path, lines=True), lenient_dates=False)
+    return clean.clean_panel(records.read_json_panel(spark, path), lenient_dates=False)
 
 
 def sink_partitioned(spark, sf):
@@ -200,15 +204,16 @@ ORACLE = {
     "facts_pivot_last": sql(
         "SELECT Company, strftime(end_dt, '%Y-%m-%d') AS \"Date\", "
         + ", ".join(f"arg_max(\"value\", ord) FILTER (WHERE tag = '{t}') AS \"{t}\"" for t in v.FACT_TAGS)
-        + f" FROM ({_LATEST}) GROUP BY 1, 2",
+        + " FROM fin_kept GROUP BY 1, 2",
         "fin_kept",
     ),
-    "sink_raw_facts": sql('SELECT tag, form, end_dt, "value", uom, accn FROM fin_allowed_facts', "fin_allowed_facts"),
+    "sink_raw_facts": sql('SELECT tag, form, end_dt, "value", uom, accn FROM fin_kept', "fin_kept"),
     "sink_parquet_roundtrip": sql(f"SELECT {_SUP} FROM fin_sup", "fin_sup"),
     "sink_two_targets": sql("SELECT * FROM fin_series", "fin_series"),
     "sink_upsert_dedupe": sql(
         """SELECT Company, "Date", CASE WHEN "quarter" = 1 THEN xgb_point ELSE xgb_point + 20 END AS xgb_point, arima_naive,
-             arima_drift, "year", "quarter", "month", Revenues FROM fin_pred""",
+             arima_drift, "year", "quarter", "month", Revenues, CASE WHEN "quarter" > 1 THEN xgb_point + 20 - 5 END AS pi_lower,
+             CASE WHEN "quarter" > 1 THEN xgb_point + 20 + 5 END AS pi_upper FROM fin_pred""",
         "fin_pred",
     ),
     "sink_csv_na_roundtrip": sql("SELECT * FROM fin_series", "fin_series"),

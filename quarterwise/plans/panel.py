@@ -49,20 +49,20 @@ def profile_nonnull(spark, sf):
 
 
 def feat_timeseries(spark, sf):
-    return features.timeseries_features(v.panel(spark, sf)).drop("arima_naive", "arima_drift")
+    return features.timeseries_features(v.fin_series(spark, sf)).drop("arima_naive", "arima_drift")
 
 
 def feat_baselines(spark, sf):
-    out = features.timeseries_features(v.panel(spark, sf))
+    out = features.timeseries_features(v.fin_series(spark, sf))
     return out.select("Company", "Date", "Revenues", "lag_1", "lag_2", "arima_naive", "arima_drift")
 
 
 def feat_supervised(spark, sf):
-    return features.supervised(v.panel(spark, sf))
+    return features.supervised(v.fin_series(spark, sf))
 
 
 def feat_supervised_strict(spark, sf):
-    return features.supervised_strict(v.panel(spark, sf))
+    return features.supervised_strict(v.fin_series(spark, sf))
 
 
 def feat_last_row(spark, sf):
@@ -74,11 +74,17 @@ def feat_last_row_sparse(spark, sf):
 
 
 def feat_timeseries_sparse(spark, sf):
-    return features.timeseries_features(v.sparse_panel(spark, sf), v.SPARSE)
+    return features.timeseries_features(v.fin_sparse(spark, sf), v.SPARSE)
+
+
+def feat_timeseries_sliced(spark, sf):
+    """The same features where histories are declared long: slices by year."""
+    spec = PanelSpec(exog=(), slice_unit="year")
+    return features.timeseries_features(v.sparse_panel(spark, sf), spec)
 
 
 def feat_leakage_contrast(spark, sf):
-    return features.leakage_contrast(v.panel(spark, sf))
+    return features.leakage_contrast(v.fin_series(spark, sf))
 
 
 def feat_calendar(spark, sf):
@@ -89,7 +95,7 @@ def feat_calendar(spark, sf):
 
 
 def feature_coverage(spark, sf):
-    sup = features.supervised(v.panel(spark, sf))
+    sup = features.supervised(v.fin_series(spark, sf))
     return features.feature_coverage(sup)
 
 
@@ -102,17 +108,16 @@ def preview_head(spark, sf):
 
 
 def split_chronological(spark, sf):
-    sup = materialise(features.supervised(v.panel(spark, sf)), "supervised")
-    return splits.chronological_split(sup).select("Company", "Date", "y_next", "split")
+    return splits.chronological_split(features.supervised(v.fin_series(spark, sf))).select("Company", "Date", "y_next", "split")
 
 
 def split_chronological_sparse(spark, sf):
-    return splits.chronological_split(v.sparse_panel(spark, sf), 0.8, v.SPARSE)
+    return splits.chronological_split(v.fin_sparse(spark, sf), 0.8, v.SPARSE)
 
 
 def split_head(spark, sf):
     rows = features.last_row_features(v.fin_sparse(spark, sf), v.SPARSE).select("Company", "Date", "Revenues")
-    return splits.head_split(materialise(rows, "last-rows"), ["Company"], 0.2)
+    return splits.head_split(rows, ["Company"], 0.2)
 
 
 def split_hash(spark, sf):
@@ -130,6 +135,7 @@ QUERIES = {
         profile_nonnull,
         feat_timeseries,
         feat_timeseries_sparse,
+        feat_timeseries_sliced,
         feat_baselines,
         feat_supervised,
         feat_supervised_strict,
@@ -258,3 +264,4 @@ ORACLE = {
         "fin_series",
     ),
 }
+ORACLE["feat_timeseries_sliced"] = ORACLE["feat_timeseries_sparse"]

@@ -62,7 +62,12 @@ def bt_asof_exog(spark, sf):
 def bt_leakage_report(spark, sf):
     panel = v.panel(spark, sf)
     train = backtest.training_rows(features.supervised(panel, label_date=True), v.TRAIN_END)
-    return backtest.leakage_report(train, backtest.test_rows(panel, v.TEST_DATE), v.TRAIN_END, v.TEST_DATE)
+    tests = backtest.test_rows(panel, v.TEST_DATE)
+    both = [
+        backtest.leakage_report(rows, tests, v.TRAIN_END, v.TEST_DATE).withColumn("labels", F.lit(name))
+        for name, rows in (("dated", train), ("undated", train.drop("label_date")))
+    ]
+    return both[0].unionByName(both[1])
 
 
 def _compared(spark, sf, actual):
@@ -91,7 +96,7 @@ def bt_history_report(spark, sf):
 
 def _walk(panel, spec, actual="next"):
     sup = features.supervised(panel, spec)
-    out = backtest.walk_forward_scores(panel, sup, v.WALK_DATES, spec, actual)
+    out = backtest.walk_forward_scores(panel, sup, v.panel_dates(panel)[v.FIRST_WALK :], spec, actual)
     # whole units: means of two-digit amounts often end on a half at one or two digits,
     # where the order of summation would decide the rounding
     return _rounded(out, 0, "naive_mae", "naive_rmse", "drift_mae", "drift_rmse")
@@ -110,7 +115,8 @@ def bt_walk_forward_sparse(spark, sf):
 
 
 def bt_walk_forward_rows(spark, sf):
-    return backtest.walk_forward_rows(v.fin_sparse(spark, sf), v.WALK_DATES, v.SPARSE)
+    panel = v.sparse_panel(spark, sf)
+    return backtest.walk_forward_rows(panel, v.panel_dates(panel)[v.FIRST_WALK :], v.SPARSE)
 
 
 def norm_aliases(spark, sf):
@@ -126,7 +132,9 @@ def norm_aliases(spark, sf):
 
 
 def norm_finalize(spark, sf):
-    bare = v.fin_pred(spark, sf).drop("Company", "arima_drift", "quarter", "year").withColumn("extra", F.month("Date"))
+    """Rows of the second quarter lose their date, and with it the year they carry."""
+    bare = v.fin_pred(spark, sf).drop("Company", "arima_drift").withColumn("extra", F.month("Date"))
+    bare = bare.withColumn("Date", F.when(F.col("quarter") != 2, F.col("Date")))
     return normalise.finalise(bare, "Revenues")
 
 
@@ -193,20 +201,24 @@ _RESID = """, res AS (SELECT Company, "Date", (Revenues - xgb_point) * (Revenues
       WHERE Revenues IS NOT NULL AND xgb_point IS NOT NULL),
     pooled AS (SELECT sqrt(sum((1 - CAST(0.94 AS DOUBLE)) * pow(CAST(0.94 AS DOUBLE), rn - 1) * r2) + 1e-12) AS sigma
       FROM (SELECT r2, row_number() OVER (ORDER BY Company DESC, "Date" DESC) AS rn FROM res))"""
-_FOLDS = "(VALUES " + ", ".join(f"(DATE '{d}')" for d in v.WALK_DATES) + ") AS f(test_date)"
 
 
-def _walk_sql(panel: str, actual: str, body: str, exog: str = "") -> str:
+def _walk_rows_sql(panel: str, exog: str = "", first: int = v.FIRST_WALK) -> str:
     carried = "".join(f", {c}" for c in exog.split())
     kept = "".join(f", a.{c}" for c in exog.split())
     return f"""
-    , l AS (SELECT *, lead(Revenues) OVER (PARTITION BY Company ORDER BY "Date") AS y FROM {panel}),
-    p AS (SELECT test_date, Company, Revenues{carried},
+    , f AS (SELECT DISTINCT "Date" AS test_date FROM {panel} ORDER BY 1 OFFSET {first}),
+    p AS (SELECT * FROM (SELECT test_date, Company, Revenues{carried},
         row_number() OVER (PARTITION BY test_date, Company ORDER BY "Date" DESC) AS rn
-      FROM {panel} JOIN {_FOLDS} ON "Date" < test_date),
+      FROM {panel} JOIN f ON "Date" < test_date) WHERE rn <= 2),
     t AS (SELECT a.test_date, a.Company, a.Revenues AS lag_1, b.Revenues AS lag_2{kept}
       FROM p a JOIN p b ON a.test_date = b.test_date AND a.Company = b.Company AND a.rn = 1 AND b.rn = 2
-      WHERE a.Revenues IS NOT NULL AND b.Revenues IS NOT NULL),
+      WHERE a.Revenues IS NOT NULL AND b.Revenues IS NOT NULL)"""
+
+
+def walk_sql(panel: str, actual: str, body: str, first: int = v.FIRST_WALK) -> str:
+    return f"""{_walk_rows_sql(panel, first=first)},
+    l AS (SELECT *, lead(Revenues) OVER (PARTITION BY Company ORDER BY "Date") AS y FROM {panel}),
     c AS (SELECT t.*, {actual} AS actual, lag_1 + (lag_1 - lag_2) AS drift
       FROM t JOIN l ON t.Company = l.Company AND t.test_date = l."Date" WHERE {actual} IS NOT NULL)
     {body}"""
@@ -216,7 +228,7 @@ _WALK = """SELECT test_date, count(*) AS n_entities, round(avg(abs(actual - lag_
       round(sqrt(avg((actual - lag_1) * (actual - lag_1))), 0) AS naive_rmse,
       round(avg(abs(actual - drift)), 0) AS drift_mae,
       round(sqrt(avg((actual - drift) * (actual - drift))), 0) AS drift_rmse FROM c GROUP BY test_date"""
-_WALK_ROWS = """SELECT Company, test_date AS "Date", lag_1, lag_2, lag_1 - lag_2 AS diff_1,
+_WALK_ROWS = """ SELECT Company, test_date AS "Date", lag_1, lag_2, lag_1 - lag_2 AS diff_1,
       lag_1 / nullif(lag_2, 0) - 1 AS growth_1, (lag_1 + lag_2) / 2 AS mean_2, CAST(year(test_date) AS INTEGER) AS "year",
       CAST(quarter(test_date) AS INTEGER) AS "quarter", CAST(month(test_date) AS INTEGER) AS "month" FROM t"""
 
@@ -264,12 +276,15 @@ ORACLE = {
         "past_two",
     ),
     "bt_leakage_report": sql(
-        """, tr AS (SELECT * FROM fin_sup WHERE "Date" <= DATE '2000-12-31')
+        """, tr AS (SELECT * FROM fin_sup WHERE "Date" <= DATE '2000-12-31'),
+           k AS (SELECT unnest(['dated', 'undated']) AS labels)
            SELECT 'train_date' AS "check", count(*) AS n_rows, count(*) FILTER (WHERE "Date" > DATE '2000-12-31') AS violations,
-             max("Date") AS last_date FROM tr
-           UNION ALL SELECT 'label_date', count(*), count(*) FILTER (WHERE label_date >= DATE '2001-03-31'), max(label_date) FROM tr
-           UNION ALL SELECT 'test_date', count(*), count(*) FILTER (WHERE "Date" < DATE '2001-03-31'), max("Date") FROM fin_test
-           UNION ALL SELECT 'y_next_in_test', count(*), 0, NULL FROM fin_test""",
+             max("Date") AS last_date, TRUE AS evaluated, labels FROM tr, k GROUP BY labels
+           UNION ALL SELECT 'label_date', count(*), CASE WHEN labels = 'dated' THEN count(*) FILTER (WHERE label_date >= DATE '2001-03-31') END,
+             CASE WHEN labels = 'dated' THEN max(label_date) END, labels = 'dated', labels FROM tr, k GROUP BY labels
+           UNION ALL SELECT 'test_date', count(*), count(*) FILTER (WHERE "Date" < DATE '2001-03-31'), max("Date"), TRUE, labels
+             FROM fin_test, k GROUP BY labels
+           UNION ALL SELECT 'y_next_in_test', count(*), 0, NULL, TRUE, labels FROM fin_test, k GROUP BY labels""",
         "fin_sup",
         "fin_test",
     ),
@@ -293,17 +308,19 @@ ORACLE = {
         "fin_sup",
         "fin_series",
     ),
-    "bt_walk_forward": sql(_walk_sql("fin_series", "y", _WALK), "fin_series"),
-    "bt_walk_forward_strict": sql(_walk_sql("fin_series", "l.Revenues", _WALK), "fin_series"),
-    "bt_walk_forward_sparse": sql(_walk_sql("fin_sparse", "y", _WALK), "fin_sparse"),
-    "bt_walk_forward_rows": sql(_walk_sql("fin_sparse", "y", _WALK_ROWS), "fin_sparse"),
+    "bt_walk_forward": sql(walk_sql("fin_series", "y", _WALK), "fin_series"),
+    "bt_walk_forward_strict": sql(walk_sql("fin_series", "l.Revenues", _WALK), "fin_series"),
+    "bt_walk_forward_sparse": sql(walk_sql("fin_sparse", "y", _WALK), "fin_sparse"),
+    "bt_walk_forward_rows": sql(_walk_rows_sql("fin_sparse") + _WALK_ROWS, "fin_sparse"),
     "norm_aliases": sql(
         """SELECT Company, 'Revenues' AS "KPI", Revenues AS actual, arima_naive, xgb_point, "Date" AS target_date,
              "year", "quarter", NULL::DOUBLE AS arima_drift FROM fin_pred""",
         "fin_pred",
     ),
     "norm_finalize": sql(
-        """SELECT 'Unknown' AS Company, 'Revenues' AS "KPI", "Date", "year", "quarter", "month", Revenues, xgb_point,
+        """SELECT 'Unknown' AS Company, 'Revenues' AS "KPI", CASE WHEN "quarter" <> 2 THEN "Date" END AS "Date",
+             CASE WHEN "quarter" <> 2 THEN "year" END AS "year", CASE WHEN "quarter" <> 2 THEN "quarter" END AS "quarter", "month",
+             Revenues, xgb_point,
              arima_naive, NULL::DOUBLE AS arima_drift, OperatingExpenses, GrossProfit, Assets, StockholdersEquity,
              lag_1, lag_2, diff_1, growth_1, mean_2, "month" AS extra FROM fin_pred""",
         "fin_pred",

@@ -11,12 +11,11 @@ from quarterwise.operators.features import timeseries_features
 from quarterwise.session import materialise
 from quarterwise.spec import PanelSpec
 
-# The dates of the one-fold backtest and of the walk-forward.
+# The dates of the one-fold backtest, and the first test date of the walk-forward as a
+# position among the panel's dates: two rows have to come before it.
 TRAIN_END = "2000-12-31"
 TEST_DATE = "2001-03-31"
-WALK_DATES = tuple(
-    f"{y}-{md}" for y in (1997, 1998, 1999, 2000) for md in ("03-31", "06-30", "09-30", "12-31")
-) + ("2001-03-31", "2001-06-30")
+FIRST_WALK = 2
 
 SPARSE = PanelSpec(exog=())
 
@@ -77,6 +76,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(fin_series(spark, sf_dir), "panel")
 
 
+def panel_dates(rows: DataFrame) -> list[str]:
+    """The dates of a panel in order; bounded by the calendar, a quarter each."""
+    return [str(r.Date) for r in rows.select("Date").where("Date IS NOT NULL").distinct().orderBy("Date").collect()]
+
+
 def sparse_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(fin_sparse(spark, sf_dir), "sparse-panel")
 
@@ -140,7 +144,7 @@ def fin_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fin_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, baselines and a formula in place of the model's forecast."""
-    feats = timeseries_features(panel(spark, sf_dir))
+    feats = timeseries_features(fin_series(spark, sf_dir))
     return feats.withColumns(
         {
             "quarter": F.quarter("Date"),

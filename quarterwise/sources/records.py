@@ -17,11 +17,10 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_json_panel(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec(), lines: bool = False) -> DataFrame:
+def read_json_panel(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec(), lines: bool = True) -> DataFrame:
     """Record file to all-text columns; numbers and 'N/A' may be mixed in a column.
 
-    A JSON array file is one unit of work, so give many files, or JSON Lines, for
-    large tables.
+    JSON Lines by default. Without `lines` each file is one JSON array, which one task reads whole.
     """
     schema = text_schema([spec.entity, spec.time, spec.kpi, *spec.exog])
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
