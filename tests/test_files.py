@@ -203,3 +203,10 @@ def test_a_broken_upsert_loses_nothing(spark, frame, tmp_path, monkeypatch):
     monkeypatch.setattr(upsert, "_moved", moved)
     got = sorted((r.Date.year, r.xgb_point) for r in upsert.read_predictions(spark, path).collect())
     assert len(got) == 3 and all(x in (y, y + 1) for y, x in got)
+
+
+def test_answers_by_group(spark, frame, tmp_path):
+    rows = frame("Company string, k string, a string", ("A", "A_1", "x"), ("A", "A_2", "y"), ("B", "B_1", "z"))
+    path = files.write_answers(rows, str(tmp_path / "answers"), "k", "a", by=["Company"])
+    assert {p.name for p in (tmp_path / "answers").glob("Company=*")} == {"Company=A", "Company=B"}
+    assert {(r.Company, r.key, r.answer) for r in spark.read.json(path).collect()} == {("A", "A_1", "x"), ("A", "A_2", "y"), ("B", "B_1", "z")}
