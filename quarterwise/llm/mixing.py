@@ -170,8 +170,9 @@ def mix(
 ) -> DataFrame:
     """The mix itself: documents, repeated as often as they are taken, with `shard` and `copy`.
 
-    Rows are laid out by shard, and within a shard in a hash order. A shard is spread over
-    several partitions only by Spark's own rebalancing of large ones.
+    A shard is dealt over several partitions by a hash of document and copy, so many that the session's number of
+    shuffle partitions is used, and shuffled within each by another hash. So no task holds a whole shard
+    when there are fewer shards than partitions.
     """
     size, tie, passes = (free_name(docs, x) for x in ("mix_size", "mix_tie", "mix_passes"))
     plan = materialise(plan_mix(docs, weights, share, most, blocks, seed), "mix-plan")
@@ -191,5 +192,7 @@ def mix(
     out = joined.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns], F.explode(f"t.{passes}").alias("unit")).select(
         *docs.columns, F.col("unit.shard").alias(shard), F.col("unit.copy").alias(copy)
     )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards + 1
+    part = F.pmod(F.xxhash64(F.lit(f"{seed}:part"), F.col("doc_id"), F.col(copy)), F.lit(parts))
     order = F.xxhash64(F.lit(f"{seed}:row"), F.col("doc_id"), F.col(copy))
-    return out.repartition(shard).sortWithinPartitions(shard, order)
+    return out.repartition(F.col(shard), part).sortWithinPartitions(shard, order)
