@@ -167,12 +167,13 @@ class Scorer:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred and score added, under those names where they are free."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: executors need not know the class
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.logs))
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(free_name(docs, "lang_pred"), T.StringType()), T.StructField(free_name(docs, "score"), T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in rows_of(batches, columns):
             found = [scorer(text) for text in batch.column("text").to_pylist()]
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
