@@ -259,26 +259,30 @@ def near_links(docs: DataFrame, representatives: DataFrame, least: float = LEAST
 def _links_across(texts: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
     """Links between different classes of the same large cluster: who is not in its largest class meets every block."""
     inside = links.join(texts.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    roots = connected_components(inside) if not inside.isEmpty() else inside.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = connected_components(inside)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     known = materialise(
-        texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text", "cluster", "blocks"), "large-clusters"
+        texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text", "cluster", "blocks", own.alias("part")),
+        "large-clusters",
     )
-    ranks = known.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    largest = ranks.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    probes = known.join(largest, "cluster").where("root <> main").drop("main")
-    counted = probes.groupBy("cluster").agg(F.count("*").alias("probes"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    turns = F.ceil(F.col("probes") / block).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    ranks = known.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
+    totals = ranks.groupBy("cluster").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), (F.sum("n") - F.max("n")).alias("probes"), F.max("blocks").alias("blocks")
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    # a row per block, so that the members of a large cluster meet their totals in many tasks
+    totals = totals.where("probes > 0").select("cluster", "main", "probes", every(F.col("blocks")).alias("part"))
+    turns = F.ceil(F.col("probes") / block)
+    members = known.join(totals, ["cluster", "part"])
     side = (
-        probes.join(counted, "cluster")
+        members.where("root <> main")
         .withColumn("turn", F.pmod(F.xxhash64(F.lit("turn"), "node"), turns).cast("int"))
         .withColumn("part", every(F.col("blocks")))
         .withColumn("probe", F.lit(True))
     )
-    members = known.join(counted, "cluster").withColumn("turn", every(turns)).withColumn("part", own).withColumn("probe", F.lit(False))
+    met = members.withColumn("turn", every(turns)).withColumn("probe", F.lit(False))
     columns = ["node", "root", "text", "cluster", "part", "turn", "probe"]
-    meet = side.select(*columns).unionByName(members.select(*columns))
+    meet = side.select(*columns).unionByName(met.select(*columns))
     return materialise(meet.groupBy("cluster", "part", "turn").applyInArrow(_reach(least), "a long, b long").distinct(), "far-links")
 
 
