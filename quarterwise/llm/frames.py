@@ -6,22 +6,44 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from quarterwise.session import materialise
+from quarterwise.session import file_system_of, new_folder
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """The frame written below the shared folder; the shuffle files behind it go as soon as it is."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    spark = df.sparkSession
+    path = path or new_folder(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return materialise(df, label)
+        df.write.parquet(path)
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored frames that go when the block ends, for steps whose results are stored in turn."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        spark = df.sparkSession
+        self.made.append((spark, new_folder(spark, label)))
+        return stored(df, label, self.made[-1][1])
+
+    def __exit__(self, *_: object) -> None:
+        for spark, path in self.made:
+            file_system, hadoop_path = file_system_of(spark, path)
+            file_system.delete(hadoop_path, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -6,11 +6,13 @@ its n-gram of the highest order that occurs in another document, times `BACKOFF`
 given up; at the lowest order that is its share of all words, and a word found nowhere else
 counts as half an occurrence. Logarithms are summed per document.
 
-Documents are exploded into distinct n-grams with their counts. Tables of n-gram and context
-counts are sums over all documents, partitioned by hash, and joined to the rows; what is not found
-at one order goes on to the next. Work is done in passes over the hash of the last context word: every count that a row
-of a pass needs above the unigrams belongs to that pass, so disk holds the rows of one pass at a time. Frequent
-n-grams are pre-aggregated before each exchange; rows of a hot key are split by adaptive joins.
+Documents are exploded into distinct n-grams with their counts, dealt by hash, and each n-gram's
+rows are summed over all documents beside each row. Two bounded tables are broadcast and travel with
+the rows: counts of the `KNOWN` most frequent words, and exact counts of up to `COMMON` frequent pairs. Rows of common pairs
+need no sum, so they are dealt at random, and no other pair has very many rows. Only rows with a rarer
+word are joined to the table of words. Work is done in passes over the hash of the last context
+word: every count that a row of a pass needs above the words belongs to that pass, so disk holds the
+rows of one pass at a time.
 
 Words are runs of letters, digits and code points above ASCII, A-Z in lower case, known by
 64-bit hashes. Defined results: NULL and empty texts have no words, a sum of 0 and a NULL mean. A
@@ -25,15 +27,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterwise.llm.frames import rows_of, stored
+from quarterwise.llm.frames import Scratch, rows_of, stored
 from quarterwise.llm.words import ALNUM, Words, hash_words, mixed, split_words
 
 ORDER = 2
 BACKOFF = 0.4
-PASSES = 6
+PASSES = 5
+#: Words whose counts are broadcast at most.
+KNOWN = 200_000
+#: Pairs whose counts are broadcast at most, and how often one occurs in a slice to be counted as a candidate.
+COMMON = 65_536
+CANDIDATE = 16
+#: Parts over which the rows of a common pair are dealt.
+SALTS = 1024
 _U = np.uint64
 #: The hash that stands before the first word of a text.
 START = 0x5B8F1D2A3C4E6F71
@@ -64,18 +73,38 @@ def _times(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _names(order: int) -> tuple[list[str], list[str], list[str]]:
-    """Columns of the n-gram's words, of own n-gram counts below the highest order, of own context counts."""
+    """Columns of the n-gram's words, of own counts of n-grams between pair and highest order, of own longer contexts."""
     return (
         [f"h{i}" for i in range(1, order + 1)],
-        [f"own{k}" for k in range(1, order)],
-        [f"ctx{k}" for k in range(2, order + 1)],
+        [f"own{k}" for k in range(2, order)],
+        [f"ctx{k}" for k in range(3, order + 1)],
     )
 
 
-def _explode(id_type: str, order: int, passes: int, turn: int):
+def _looked_up(known: tuple[np.ndarray, ...], keys: np.ndarray, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key, and which keys are there; `known` is sorted by its first array."""
+    if not len(known[0]):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+    return known[which][place], known[0][place] == keys
+
+
+def _left(known: tuple[np.ndarray, ...], keys: np.ndarray, which: int, own: np.ndarray) -> pa.Array:
+    """What is left of a known word's count without the document's own; of other words the own count, as -1 - own."""
+    count, there = _looked_up(known, keys, which)
+    return pa.array(np.where(there, count - own, -1 - own))
+
+
+def _pairs(columns: list[np.ndarray]) -> np.ndarray:
+    """One number per pair of neighbouring words."""
+    return mixed(mixed(columns[-2]) * _STEP + columns[-1]).view(np.int64)
+
+
+def _explode(id_type: str, order: int, passes: int, turn: int, words_known, pairs_known, leave_out: bool):
     hashes_, owns, contexts = _names(order)
-    names = ["doc_id", "tie", *hashes_, "n", *owns, *contexts]
-    schema = f"doc_id {id_type}, tie long, " + ", ".join(f"{h} long" for h in hashes_) + ", n int" + "".join(f", {c} int" for c in [*owns, *contexts])
+    names = ["doc_id", "tie", *hashes_, "n", *owns, *contexts, "context_left", "word_left", "pair_times"]
+    schema = f"doc_id {id_type}, tie long, " + ", ".join(f"{h} long" for h in hashes_) + ", n int"
+    schema += "".join(f", {c} int" for c in [*owns, *contexts]) + ", context_left long, word_left long, pair_times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, ["doc_id", "tie", "text"]):
@@ -88,28 +117,32 @@ def _explode(id_type: str, order: int, passes: int, turn: int):
             texts_here = texts[here]
             _, first, n = np.unique(_key(own, texts_here), return_index=True, return_counts=True)
             row, row_texts = [c[first] for c in own], texts_here[first]
-            counts = []
-            for k in range(1, order):  # a shorter n-gram that holds the last context word lies in this pass, a unigram may not
-                source = (columns, texts) if k == 1 else (own, texts_here)
-                counts.append(_times(_key(source[0][-k:], source[1]), _key(row[-k:], row_texts)))
-            for k in range(2, order + 1):
-                counts.append(_times(_key(own[-k:-1], texts_here), _key(row[-k:-1], row_texts)))
+            # an n-gram or context that holds the last context word lies in this pass, a word alone may not
+            times = lambda source, cut, where: _times(_key(source[cut], where), _key(row[cut], row_texts))
+            counts = [times(own, slice(-k, None), texts_here) for k in range(2, order)]
+            counts += [times(own, slice(-k, -1), texts_here) for k in range(3, order + 1)]
+            in_word = times(columns, slice(-1, None), texts) * leave_out
+            in_context = times(own, slice(-2, -1), texts_here) * leave_out
+            common, is_common = _looked_up(pairs_known.value, _pairs(row))
             at = pa.array(row_texts)
             arrays = [
                 batch.column("doc_id").take(at),
                 batch.column("tie").take(at),
                 *[pa.array(c.view(np.int64)) for c in row],
                 *[pa.array(c.astype(np.int32)) for c in (n, *counts)],
+                _left(words_known.value, row[-2].view(np.int64), 2, in_context),
+                _left(words_known.value, row[-1].view(np.int64), 1, in_word),
+                pa.array(common, mask=~is_common),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run, schema
 
 
-def _survey(id_type: str):
-    """Documents with their number of words, and words with their counts per slice."""
-    schema = f"doc_id {id_type}, tie long, n_words long, word long, n long"
-    names = ["doc_id", "tie", "n_words", "word", "n"]
+def _survey(id_type: str, candidate: int):
+    """Per slice: documents with their number of words, words with their counts as words and as contexts, frequent pairs."""
+    schema = f"doc_id {id_type}, tie long, n_words long, word long, times long, contexts long, pair long"
+    names = ["doc_id", "tie", "n_words", "word", "times", "contexts", "pair"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, ["doc_id", "tie", "text"]):
@@ -117,23 +150,117 @@ def _survey(id_type: str):
             long = lambda n: pa.nulls(n, pa.int64())
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), pa.array(words.counts()), long(rows), long(rows)], names=names
+                [batch.column("doc_id"), batch.column("tie"), pa.array(words.counts()), *[long(rows)] * 4], names=names
             )
-            keys, n = np.unique(hash_words(words), return_counts=True)
+            before, hashes = _grams(words, hash_words(words), 2)
+            keys, place = np.unique(np.concatenate([hashes, before]), return_inverse=True)
+            times = np.bincount(place[: len(hashes)], minlength=len(keys))
+            contexts = np.bincount(place[len(hashes) :], minlength=len(keys))
             nothing = pa.nulls(len(keys), batch.column("doc_id").type)
-            yield pa.RecordBatch.from_arrays(
-                [nothing, long(len(keys)), long(len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=names
-            )
+            counts = [pa.array(c.astype(np.int64)) for c in (keys.view(np.int64), times, contexts)]
+            yield pa.RecordBatch.from_arrays([nothing, *[long(len(keys))] * 2, *counts, long(len(keys))], names=names)
+            pairs, n = np.unique(_pairs([before, hashes]), return_counts=True)
+            pairs, n = pairs[n >= candidate], n[n >= candidate].astype(np.int64)
+            nothing, empty = pa.nulls(len(pairs), batch.column("doc_id").type), long(len(pairs))
+            yield pa.RecordBatch.from_arrays([nothing, empty, empty, empty, pa.array(n), empty, pa.array(pairs)], names=names)
 
     return run, schema
 
 
+def _count_pairs(wanted):
+    """Counts of the wanted pairs per slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, ["text"]):
+            words = split_words(batch.column("text"), ALNUM, lower=True)
+            pairs = _pairs(_grams(words, hash_words(words), 2))
+            place = np.minimum(np.searchsorted(wanted.value, pairs), max(0, len(wanted.value) - 1))
+            place = place[wanted.value[place] == pairs] if len(wanted.value) else place[:0]
+            n = np.bincount(place, minlength=len(wanted.value))
+            found = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted.value[found]), pa.array(n[found].astype(np.int64))], names=["pair", "n"])
+
+    return run
+
+
 def _log_share(count: Column, total: Column, given_up: int, backoff: float) -> Column:
     return F.log(count) - F.log(total) + F.lit(given_up * math.log(backoff))
 
 
+def _sums(rows: DataFrame, words: DataFrame, order: int, backoff: float, leave_out: bool, scratch: Scratch) -> DataFrame:
+    """(doc_id, tie, s, backed, unknown, lowest) sums over the rows of a pass.
+
+    The words scored at the lowest order (`lowest` of them) have yet to be divided by the words of the
+    other documents.
+    """
+    hashes, _, _ = _names(order)
+    own = (lambda c: F.col(c)) if leave_out else (lambda c: F.lit(0))
+    # rows of a common pair go anywhere, but rows of one longer n-gram still go together
+    spread = F.xxhash64("doc_id", "tie") if order == 2 else F.xxhash64(hashes[-3])
+    salted = rows.withColumn("salt", F.when(F.col("pair_times").isNotNull(), F.pmod(spread, F.lit(SALTS))).otherwise(0))
+    summed = salted.withColumn(f"own{order}", F.col("n"))
+    for k in range(2, order + 1):
+        times = F.sum("n").over(Window.partitionBy(*hashes[-k:], "salt"))
+        summed = summed.withColumn(f"others{k}", (F.coalesce("pair_times", times) if k == 2 else times) - own(f"own{k}"))
+    level, others = F.lit(1), F.lit(None).cast("long")
+    for k in range(2, order + 1):
+        there = F.col(f"others{k}") > 0
+        level, others = F.when(there, k).otherwise(level), F.when(there, F.col(f"others{k}")).otherwise(others)
+    # pairs need the count of their first word as a context, words alone that of the word itself
+    pair = F.col("level") >= 2
+    last = scratch.stored(
+        summed.withColumns({"level": level, "others": others}).select(
+            "doc_id",
+            "tie",
+            "n",
+            "level",
+            "others",
+            F.when(pair, F.col("context_left")).otherwise(F.col("word_left")).alias("left"),
+            F.when(pair, F.col(hashes[-2])).otherwise(F.col(hashes[-1])).alias("word"),
+            *(hashes if order > 2 else []),
+            *[own(f"ctx{k}").alias(f"ctx{k}") for k in range(3, order + 1)],
+        ),
+        "last",
+    )
+    found = []
+    for k in range(3, order + 1):
+        context = hashes[-k:-1]
+        contexts = last.groupBy(*context).agg(F.sum("n").alias("context_times"))
+        hit = last.where(F.col("level") == k).join(contexts, context)
+        share = _log_share(F.col("others"), F.col("context_times") - F.col(f"ctx{k}"), order - k, backoff)
+        backed = F.lit(0) if k == order else F.col("n")
+        found.append(hit.select("doc_id", "tie", (share * F.col("n")).alias("s"), backed.alias("backed"), F.lit(0).alias("unknown"), F.lit(0).alias("lowest")))
+    # rarer words carry -1 - own instead
+    short = last.where("level <= 2").select("doc_id", "tie", "n", "level", "others", "left", "word")
+    count = F.coalesce(F.when(pair, F.col("contexts")).otherwise(F.col("times")), F.lit(0))
+    rare = short.where("left < 0").join(words, "word", "left").withColumn("left", count + F.col("left") + 1)
+    both = short.where("left >= 0").drop("word").unionByName(rare.select("doc_id", "tie", "n", "level", "others", "left"))
+    left = F.col("left")
+    as_pair = _log_share(F.col("others"), left, order - 2, backoff)
+    alone = F.log(F.when(left > 0, left).otherwise(0.5)) + F.lit((order - 1) * math.log(backoff))
+    found.append(
+        both.select(
+            "doc_id",
+            "tie",
+            (F.when(pair, as_pair).otherwise(alone) * F.col("n")).alias("s"),
+            (F.col("n") if order > 2 else F.when(pair, 0).otherwise(F.col("n"))).alias("backed"),
+            F.when(pair | (left > 0), 0).otherwise(F.col("n")).alias("unknown"),
+            F.when(pair, 0).otherwise(F.col("n")).alias("lowest"),
+        )
+    )
+    sums = [F.sum(c).alias(c) for c in ("s", "backed", "unknown", "lowest")]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "tie").agg(*sums)
+
+
 def score_documents(
-    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, passes: int = PASSES, leave_out: bool = True
+    docs: DataFrame,
+    order: int = ORDER,
+    backoff: float = BACKOFF,
+    passes: int = PASSES,
+    known: int = KNOWN,
+    common: int = COMMON,
+    candidate: int = CANDIDATE,
+    leave_out: bool = True,
 ) -> DataFrame:
     """Per document: doc_id, n_words, log_score (natural), mean_log_score, n_backed_off, n_unknown.
 
@@ -144,44 +271,27 @@ def score_documents(
         raise ValueError("order is at least 2")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    survey, survey_schema = _survey(id_type)
-    surveyed = stored(plain.mapInArrow(survey, survey_schema), "survey")
-    sizes = surveyed.where(F.col("n_words").isNotNull()).select("doc_id", "tie", "n_words")
+    survey, survey_schema = _survey(id_type, candidate)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    with Scratch() as scratch:
+        surveyed = scratch.stored(plain.mapInArrow(survey, survey_schema), "survey")
+        sizes = stored(surveyed.where(F.col("n_words").isNotNull()).select("doc_id", "tie", "n_words"), "sizes")
+        counted = surveyed.where(F.col("word").isNotNull()).groupBy("word")
+        words = stored(counted.agg(F.sum("times").alias("times"), F.sum("contexts").alias("contexts")), "words")
+        candidates = surveyed.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("times").alias("times"))
+        # this table and the next are bounded by their limits
+        chosen = candidates.orderBy(F.desc("times"), "pair").limit(common).select("pair").toPandas()["pair"].to_numpy(np.int64)
     total = sizes.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    unigrams = stored(
-        surveyed.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("times")), "unigrams"
-    )
-    hashes, _, _ = _names(order)
-    own = (lambda c: F.col(c)) if leave_out else (lambda c: F.lit(0))
+    top = words.orderBy(F.desc("times"), "word").limit(known).toPandas().sort_values("word")
+    words_known = broadcast(tuple(top[c].to_numpy(np.int64) for c in ("word", "times", "contexts")))
+    counts = plain.select("text").mapInArrow(_count_pairs(broadcast(np.sort(chosen))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    exact = counts.toPandas().sort_values("pair")
+    pairs_known = broadcast((exact["pair"].to_numpy(np.int64), exact["n"].to_numpy(np.int64)))
     parts = []
     for turn in range(passes):
-        explode, schema = _explode(id_type, order, passes, turn)
-        rows = stored(plain.mapInArrow(explode, schema), "ngrams")
-        found, pending = [], rows.withColumn(f"own{order}", F.col("n"))
-        for k in range(order, 1, -1):
-            gram, context = hashes[-k:], hashes[-k:-1]
-            table = rows.groupBy(*gram).agg(F.sum("n").alias("times"))
-            contexts = rows.groupBy(*context).agg(F.sum("n").alias("context_times"))
-            matched = stored(pending.join(table, gram).withColumn("others", F.col("times") - own(f"own{k}")).drop("times"), "matched")
-            hit = matched.where("others > 0").join(contexts, context)
-            share = _log_share(F.col("others"), F.col("context_times") - own(f"ctx{k}"), order - k, backoff)
-            found.append(hit.select("doc_id", "tie", (share * F.col("n")).alias("s"), F.lit(0 if k == order else 1) * F.col("n"), F.lit(0)))
-            pending = matched.where("others <= 0").drop("others")
-        last = pending.select("doc_id", "tie", "n", "own1", F.col(hashes[-1]).alias("word")).join(unigrams, "word", "left")
-        others = F.coalesce("times", F.lit(0)) - own("own1")
-        left = last.withColumn("others", others).select(
-            "doc_id",
-            "tie",
-            (F.log(F.when(F.col("others") > 0, F.col("others")).otherwise(0.5)) + F.lit((order - 1) * math.log(backoff))).alias("s"),
-            "n",
-            (F.col("others") <= 0).alias("unknown"),
-        )
-        # the share of all words is divided by the words of the other documents, which the final step knows
-        found.append(left.select("doc_id", "tie", F.col("s") * F.col("n"), "n", F.when(F.col("unknown"), F.col("n")).otherwise(0)))
-        lowest = [F.lit(0).alias("lowest")] * (len(found) - 1) + [F.col("backed").alias("lowest")]
-        named = [f.toDF("doc_id", "tie", "s", "backed", "unknown").select("*", low) for f, low in zip(found, lowest)]
-        sums = [F.sum(c).alias(c) for c in ("s", "backed", "unknown", "lowest")]
-        parts.append(stored(reduce(DataFrame.unionByName, named).groupBy("doc_id", "tie").agg(*sums), "pass-sums"))
+        explode, schema = _explode(id_type, order, passes, turn, words_known, pairs_known, leave_out)
+        with Scratch() as scratch:
+            parts.append(stored(_sums(plain.mapInArrow(explode, schema), words, order, backoff, leave_out, scratch), "pass-sums"))
     sums = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tie").agg(*[F.sum(c).alias(c) for c in ("s", "backed", "unknown", "lowest")])
     copies = sizes.groupBy("doc_id", "tie").agg(F.first("n_words").alias("n_words"), F.count("*").alias("copies"))
     same = F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.tie") == F.col("t.tie"))
