@@ -17,11 +17,12 @@ columns are carried along untouched, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterwise.llm.frames import free_name
+from quarterwise.llm.frames import free_name, stored
 from quarterwise.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -30,6 +31,8 @@ MOST = 2
 #: Blocks of a source, and fine blocks of the block that is cut.
 BLOCKS = 256
 SHARDS = 32
+#: Parts in which `dealt_mix` writes a mix, one after another.
+GROUPS = 4
 SEED = 17
 
 
@@ -174,10 +177,19 @@ def mix(
     shuffle partitions is used, and shuffled within each by another hash. So no task holds a whole shard
     when there are fewer shards than partitions.
     """
-    size, tie, passes = (free_name(docs, x) for x in ("mix_size", "mix_tie", "mix_passes"))
     plan = materialise(plan_mix(docs, weights, share, most, blocks, seed), "mix-plan")
+    return _dealt(docs, plan, _units(plan, shards, seed), shards, seed)
+
+
+def _units(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The drawn units of a plan with their shards."""
     copies = plan.where("passes > 0").select("sid", "block", F.explode(F.sequence(F.lit(1), "passes")).alias("pass"))
-    units = materialise(split_units(copies.distinct(), shards, seed), "mix-units")
+    return materialise(split_units(copies.distinct(), shards, seed), "mix-units")
+
+
+def _dealt(docs: DataFrame, plan: DataFrame, units: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Documents of a plan as often as they are taken, each copy in its unit's shard."""
+    size, tie, passes = (free_name(docs, x) for x in ("mix_size", "mix_tie", "mix_passes"))
     taken = (
         plan.where("passes > 0")
         .withColumn("pass", F.explode(F.sequence(F.lit(1), "passes")))
@@ -196,3 +208,37 @@ def mix(
     part = F.pmod(F.xxhash64(F.lit(f"{seed}:part"), F.col("doc_id"), F.col(copy)), F.lit(parts))
     order = F.xxhash64(F.lit(f"{seed}:row"), F.col("doc_id"), F.col(copy))
     return out.repartition(F.col(shard), part).sortWithinPartitions(shard, order)
+
+
+def dealt_mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    blocks: int = BLOCKS,
+    shards: int = SHARDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Per document what the mix holds of it: doc_id, size, source_size, target, taken (words), passes, shards (by copy).
+
+    The mix is dealt, shuffled and written, texts and all, and `taken` and `shards` are read from what was written.
+    It is written in `GROUPS` parts by a hash of the document, so that only one part's texts are in an exchange at a time.
+    """
+    plan = materialise(plan_mix(docs, weights, share, most, blocks, seed), "mix-plan")
+    units = _units(plan, shards, seed)
+    group = F.pmod(F.xxhash64(F.lit(f"{seed}:group"), F.col("doc_id")), F.lit(GROUPS))
+    rows = docs.select("doc_id", "text", "source")
+    parts = [stored(_dealt(rows.where(group == g), plan.where(group == g), units, shards, seed), "mix") for g in range(GROUPS)]
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(
+        F.sum(word_count(F.col("text"))).alias("taken"), F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("dealt")
+    )
+    joined = plan.alias("p").join(found.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    return joined.select(
+        "p.doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "passes",
+        F.coalesce("dealt.shard", F.array().cast("array<int>")).alias("shards"),
+    )

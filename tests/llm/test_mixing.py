@@ -80,6 +80,21 @@ def test_mix_holds_each_document_as_often_as_taken(documents):
     assert got == {k: v for k, v in plan.items() if v}
 
 
+def test_taken_words_and_shards_are_those_of_the_mix(documents):
+    docs = corpus(documents)
+    rows = {r.doc_id: r for r in mixing.dealt_mix(docs, blocks=8, shards=4).collect()}
+    want = {}
+    for r in mixing.mix(docs, blocks=8, shards=4).collect():
+        want.setdefault(r.doc_id, {})[r.copy] = r.shard
+    plan = {r.doc_id: r for r in mixing.plan_mix(docs, blocks=8).collect()}
+    assert rows.keys() == plan.keys()
+    for i, r in rows.items():
+        assert r.shards == [shard for _, shard in sorted(want.get(i, {}).items())]
+        assert r.taken == r["size"] * len(r.shards) and r.passes == len(r.shards) == plan[i].passes
+        assert (r["size"], r.source_size, r.target) == (plan[i]["size"], plan[i].source_size, plan[i].target)
+    assert {s for r in rows.values() for s in r.shards} == set(range(4))
+
+
 def test_degenerate_tables(documents):
     assert mixing.plan_mix(documents().limit(0)).count() == 0
     assert mixing.mix(documents().limit(0)).count() == 0

@@ -32,6 +32,12 @@ def test_a_row_for_each_input_row(spark, name):
     assert got == sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
 
 
+def test_mixing_returns_the_shards_of_each_copy(spark):
+    rows = QUERIES["op4_mixing"](spark, SF).collect()
+    assert all(len(r.shards) == r.passes and r.taken == r["size"] * r.passes for r in rows)
+    assert len({s for r in rows for s in r.shards}) > 1
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     found = QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id")
