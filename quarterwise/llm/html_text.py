@@ -5,6 +5,7 @@ elements, implied end tags (paragraphs, list items, table parts), implied rows,
 that match nothing. Closing an element hands its lines to what encloses it, so no tree
 outlives its elements and nothing recurses. Visibility: head, script, style, template,
 noscript, embedded content and anything `hidden`, `display:none` or `visibility:hidden` adds no text.
+Formulas show their text without annotations; of a drawing, `text` and `foreignObject` show theirs.
 
 Layout: white space collapses except in `pre` and `textarea`; paragraphs, headings, lists,
 tables, quotations and preformatted text are set off by a blank line, other blocks by a line end;
@@ -32,10 +33,14 @@ from quarterwise.llm.frames import rows_of
 # Element names by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "head title script style template noscript iframe object video audio canvas svg math datalist noframes".split()
+    "head title script style template noscript iframe object video audio canvas datalist noframes".split()
 )
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr".split())
+# in formulas and drawings: what is not shown, what shows in a drawing, what stands apart from its neighbours
+UNDRAWN = frozenset("annotation annotation-xml mphantom defs symbol clippath mask marker pattern desc metadata".split())
+DRAWN = frozenset("text foreignobject".split())
+APART = frozenset("text foreignobject mtd".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre xmp blockquote figure hr".split())
 BLOCKS = SPACED | frozenset(
     "html body div section article aside header footer nav main address li dt dd form fieldset legend figcaption "
     "details summary caption tr td th thead tbody tfoot option optgroup select center search hgroup dialog".split()
@@ -63,6 +68,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+#: The end of a tag that closes itself: a slash that is no part of a value without quotes.
+_CLOSED = re.compile(r"(?<![^\s\"'])/\Z|\A[^=]*/\Z|[\s\"'][^\s=\"']+/\Z")
 DEEPEST = 512
 MOST_PAD = 40
 
@@ -194,9 +201,11 @@ class Page:
 
     def __init__(self) -> None:
         self.flow = Flow()
-        #: (tag, whether it hides its content, what to restore when it closes)
-        self.open: list[tuple[str, bool, object]] = []
+        #: (tag, how much it adds to `unseen` and to `undrawn`, what to restore when it closes)
+        self.open: list[tuple[str, int, int, object]] = []
         self.unseen = 0
+        #: Drawings open around here without a part that shows text; formulas and drawings open around here.
+        self.undrawn = self.foreign = 0
         self.tables: list[Table] = []
         self.lists: list[list[int | None]] = []
         self.kept = 0
@@ -211,13 +220,26 @@ class Page:
         else:
             self.flow.text(text)
 
+    def _in_foreign(self) -> bool:
+        """Whether the innermost of drawing, formula and HTML in a drawing is not HTML."""
+        if not self.foreign:
+            return False
+        return next(x[0] for x in reversed(self.open) if x[0] in ("svg", "math", "foreignobject")) != "foreignobject"
+
     def start(self, tag: str, written: str) -> None:
         if tag in ENDS:
             self._imply(*ENDS[tag])
         if tag in BLOCKS:
             self._imply(frozenset({"p"}), FENCES)
-        attributes = _attributes(written) if written and not written.isspace() else {}
-        unseen = tag in HIDDEN or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", "")))
+        named = written.rstrip("/")
+        attributes = _attributes(named) if named and not named.isspace() else {}
+        unseen = int(tag in HIDDEN or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", ""))))
+        undrawn = 0
+        if self.foreign or tag in ("svg", "math"):
+            if _CLOSED.search(written) and (tag in ("svg", "math") or self._in_foreign()):
+                return
+            undrawn = int(tag == "svg") - int(tag in DRAWN and self.undrawn > 0)
+            unseen += undrawn + (tag in UNDRAWN)
         if tag in VOID:
             if not self.unseen and not unseen:
                 if tag == "br":
@@ -230,13 +252,17 @@ class Page:
                 self.flow.rest()
             return
         before: object = None
-        if not self.unseen and not unseen:
-            before = self._enter(tag, attributes)
         self.unseen += unseen
-        self.open.append((tag, unseen, before))
+        self.undrawn += undrawn
+        self.foreign += tag in ("svg", "math")
+        if not self.unseen:
+            before = self._enter(tag, attributes)
+        self.open.append((tag, unseen, undrawn, before))
 
     def _enter(self, tag: str, attributes: dict[str, str]) -> object:
         flow = self.flow
+        if tag in APART and self.foreign:
+            self.text(" ")
         if tag in ("td", "th") and self.tables:
             across, down = (min(1000, max(1, _number(attributes.get(x), 1))) for x in ("colspan", "rowspan"))
             self.flow = self.tables[-1].cell(across, down)
@@ -274,6 +300,8 @@ class Page:
         return flow
 
     def _leave(self, tag: str, before: object) -> None:
+        if tag in APART and self.foreign:
+            self.text(" ")
         if tag in ("td", "th", "caption"):
             if before is not None and before is not self.flow:
                 self.flow.rest()
@@ -309,7 +337,7 @@ class Page:
             name = self.open[i][0]
             if name == tag:
                 if inline and any(x[0] in BLOCKS for x in self.open[i + 1 :]):
-                    self.unseen -= self.open.pop(i)[1]  # blocks within go on without it
+                    self._forget(*self.open.pop(i)[:3])  # blocks within go on without it
                 else:
                     self._pop(i)
                 return
@@ -332,10 +360,15 @@ class Page:
 
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
-            tag, unseen, before = self.open.pop()
-            self.unseen -= unseen
+            tag, unseen, undrawn, before = self.open.pop()
             if before is not None:
                 self._leave(tag, before)
+            self._forget(tag, unseen, undrawn)
+
+    def _forget(self, tag: str, unseen: int, undrawn: int) -> None:
+        self.unseen -= unseen
+        self.undrawn -= undrawn
+        self.foreign -= tag in ("svg", "math")
 
     def result(self) -> str:
         self._pop(0)
@@ -371,12 +404,12 @@ def render(source: str | None) -> Page:
         if m[1]:
             page.end(tag)
             continue
-        page.start(tag, m[3].rstrip("/") if m[3] else "")
+        page.start(tag, m[3] or "")
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
             stop = close.start() if close else n
-            if tag == "textarea":
-                page.text(source[at:stop])
+            if tag in ("textarea", "xmp"):
+                page.text(source[at:stop], plain=tag == "xmp")
             at = stop
     return page
 

@@ -38,6 +38,14 @@ CASES = [
     ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
     ("<h1>H</h1><blockquote>q</blockquote>z", "H\n\n  q\n\nz"),
     ("<b><p>x</b>y", "xy"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+    ("<math><semantics><mi>y</mi><annotation>no</annotation><annotation-xml>no</annotation-xml></semantics></math>z", "yz"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable><mspace/>.</math>", "1 0 ."),
+    ("a<svg><title>no</title><g>no<path d='M0'/><text x=1>Sales <tspan>2020</tspan></text><text/>no<text>Costs</text></g></svg>b", "a Sales 2020 Costs b"),
+    ("<svg><defs><text>no</text></defs><text hidden>no</text><g style='display:none'><text>no</text></g></svg>x", "x"),
+    ("<svg><rect/><foreignObject><p>html</p></foreignObject>no</svg>x<text>y</text>", "html\n\nx" + "y"),
+    ("<svg/>a<div hidden><svg><text>no</text></svg></div>", "a"),
+    ("a<xmp><b>&amp;\n  c</b></xmp>d", "a\n\n<b>&amp;\n  c</b>\n\nd"),
     ("", ""),
     (None, ""),
 ]
