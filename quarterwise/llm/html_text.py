@@ -10,18 +10,19 @@ Formulas show their text without annotations; of a drawing, `text` and `foreignO
 Layout: white space collapses except in `pre` and `textarea`; paragraphs, headings, lists,
 tables, quotations and preformatted text are set off by a blank line, other blocks by a line end;
 list items have "- " or their number and are indented by their depth; table cells are padded to
-the width of their column, with two spaces between columns. A cell wider than `MOST_PAD`
-characters does not widen its column, so padding stays in proportion to the text.
+the width of their column, with two spaces between columns. A cell with others to its right is
+wrapped into lines of at most `WRAP` characters, so padding is bounded and no text is lost.
 
 Defined results: NULL and empty pages give an empty text; unclosed tags, comments and quotes
-run to the end or are taken as text. Elements nested deeper than 512 are laid out as if
-their parent held their content. Extra columns are left alone.
+run to the end or are taken as text. Elements nested deeper than 512 are kept track of, hide
+what they hide and end lines, but nest no further layout. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,7 +72,20 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 #: The end of a tag that closes itself: a slash that is no part of a value without quotes.
 _CLOSED = re.compile(r"(?<![^\s\"'])/\Z|\A[^=]*/\Z|[\s\"'][^\s=\"']+/\Z")
 DEEPEST = 512
-MOST_PAD = 40
+WRAP = 80
+
+
+def wrapped(line: str) -> list[str]:
+    """The line in parts of at most `WRAP` characters, cut at blanks where there are any."""
+    parts, at = [], 0
+    lead = len(line) - len(line.lstrip(" "))
+    while len(line) - at > WRAP:
+        cut = line.rfind(" ", max(at, lead) + 1, at + WRAP + 1)
+        while cut > 0 and line.startswith("- ", cut + 1):  # would look like a list item
+            cut = line.rfind(" ", max(at, lead) + 1, cut)
+        parts.append(line[at : cut if cut > 0 else at + WRAP].rstrip(" "))
+        at = cut + 1 if cut > 0 else at + WRAP
+    return [*parts, line[at:]]
 
 
 class Flow:
@@ -162,40 +176,51 @@ class Table:
 
     def laid_out(self) -> list[str]:
         """Lines with cells in columns; spanned places stay empty."""
-        grid: list[list[tuple[int, list[str]]]] = []
+        grid: list[list[tuple[int, int, list[str]]]] = []
         taken: dict[int, int] = {}
-        widths: dict[int, int] = {}
         for row in self.rows:
             column, placed, below = 0, [], {}
             for flow, across, down in row:
                 while taken.get(column, 0) > 0:
                     column += 1
                 lines = flow.done()
-                placed.append((column, lines))
-                if across == 1:
-                    widths[column] = max([widths.get(column, 0), *(len(x) for x in lines if len(x) <= MOST_PAD)])
+                placed.append((column, across, lines))
                 if down > 1:
                     below.update({column + k: down for k in range(across)})
                 column += across
             taken = {k: v - 1 for k, v in taken.items() if v > 1} | {k: v - 1 for k, v in below.items()}
             grid.append(placed)
-        columns = sorted({c for row in grid for c, _ in row} | set(widths))
+        last = max((c for row in grid for c, _, _ in row), default=0)
+        widths: dict[int, int] = {}
+        for row in grid:
+            for k, (column, across, lines) in enumerate(row):
+                if column + across <= last and max(map(len, lines), default=0) > WRAP:
+                    lines = [part for line in lines for part in wrapped(line)]
+                    row[k] = (column, across, lines)
+                if across == 1 and column < last:
+                    widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
+        columns = sorted({c for row in grid for c, _, _ in row} | set(widths))
         start, at = {}, 0
         for c in columns:
             start[c] = at
             at += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
         out = self.caption.done() if self.caption else []
         for placed in grid:
-            for k in range(max((len(lines) for _, lines in placed), default=0)):
+            for k in range(max((len(lines) for _, _, lines in placed), default=0)):
                 line = ""
-                for column, lines in placed:
-                    if k < len(lines) and lines[k]:
+                placed = [x for x in placed if k < len(x[2])]
+                for column, _, lines in placed:
+                    if lines[k]:
                         line = line.ljust(start[column]) if len(line) <= start[column] else line + "  "
                         line += lines[k]
                 out.append(line)
         return out
 
 
+#: What an element too deep for layout restores when it closes.
+_FLAT = object()
+
+
 class Page:
     """Builds and lays out one page."""
 
@@ -203,6 +228,9 @@ class Page:
         self.flow = Flow()
         #: (tag, how much it adds to `unseen` and to `undrawn`, what to restore when it closes)
         self.open: list[tuple[str, int, int, object]] = []
+        #: Places of the open elements by tag, and of the blocks among them, in rising order.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.unseen = 0
         #: Drawings open around here without a part that shows text; formulas and drawings open around here.
         self.undrawn = self.foreign = 0
@@ -224,7 +252,11 @@ class Page:
         """Whether the innermost of drawing, formula and HTML in a drawing is not HTML."""
         if not self.foreign:
             return False
-        return next(x[0] for x in reversed(self.open) if x[0] in ("svg", "math", "foreignobject")) != "foreignobject"
+        return max(self._last("svg"), self._last("math")) > self._last("foreignobject")
+
+    def _last(self, *tags: str) -> int:
+        """The place of the innermost open element of these kinds, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
 
     def start(self, tag: str, written: str) -> None:
         if tag in ENDS:
@@ -247,18 +279,30 @@ class Page:
                 elif tag == "hr":
                     self.flow.rest(True)
             return
-        if len(self.open) >= DEEPEST:
-            if tag in BLOCKS and not self.unseen:
-                self.flow.rest()
-            return
         before: object = None
         self.unseen += unseen
         self.undrawn += undrawn
         self.foreign += tag in ("svg", "math")
         if not self.unseen:
-            before = self._enter(tag, attributes)
+            if len(self.open) < DEEPEST:
+                before = self._enter(tag, attributes)
+            else:
+                before = self._pass(tag)
+                self.n_tables += tag == "table"
+                self.n_items += tag == "li"
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, unseen, undrawn, before))
 
+    def _pass(self, tag: str) -> object:
+        """Enter or leave an element without layout of its own."""
+        if tag in BLOCKS:
+            self.flow.rest()
+        elif tag in APART and self.foreign:
+            self.text(" ")
+        return _FLAT
+
     def _enter(self, tag: str, attributes: dict[str, str]) -> object:
         flow = self.flow
         if tag in APART and self.foreign:
@@ -332,40 +376,48 @@ class Page:
             return
         if tag in VOID:
             return
-        inline = tag not in BLOCKS
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                if inline and any(x[0] in BLOCKS for x in self.open[i + 1 :]):
-                    self._forget(*self.open.pop(i)[:3])  # blocks within go on without it
-                else:
-                    self._pop(i)
-                return
-            if name in FENCES and (inline or tag not in ("table", "tr", "thead", "tbody", "tfoot", "html", "body")):
-                return
-            if name == "table" and tag != "table":
-                return
+        at, inline = self._last(tag), tag not in BLOCKS
+        if at < 0:
+            return
+        if at == len(self.open) - 1:
+            self._pop(at)
+            return
+        if inline or tag not in ("table", "tr", "thead", "tbody", "tfoot", "html", "body"):
+            fences = FENCES
+        else:
+            fences = frozenset({"table"})
+        if self._last(*fences - {tag}) > at:
+            return
+        if inline and self.blocks and self.blocks[-1] > at:
+            # blocks within go on without it
+            self._forget(*self.open[at][:3])
+            self.open[at] = ("", 0, 0, None)
+        else:
+            self._pop(at)
 
     def _imply(self, closed: frozenset[str], fence: frozenset[str]) -> None:
         """Close the open elements of these kinds, and all within, up to the fence."""
-        at = None
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in closed:
-                at = i
-            elif name in fence:
-                break
-        if at is not None:
-            self._pop(at)
+        if not any(self.places.get(t) for t in closed):
+            return
+        edge = self._last(*fence - closed)
+        found = [p[k] for t in closed if (p := self.places.get(t)) and (k := bisect_right(p, edge)) < len(p)]
+        if found:
+            self._pop(min(found))
 
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
             tag, unseen, undrawn, before = self.open.pop()
-            if before is not None:
+            if before is _FLAT:
+                self._pass(tag)
+            elif before is not None:
                 self._leave(tag, before)
-            self._forget(tag, unseen, undrawn)
+            if tag:
+                self._forget(tag, unseen, undrawn)
 
     def _forget(self, tag: str, unseen: int, undrawn: int) -> None:
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
         self.unseen -= unseen
         self.undrawn -= undrawn
         self.foreign -= tag in ("svg", "math")

@@ -99,6 +99,34 @@ def test_deep_nesting_and_long_input():
     assert len(shown(wide)) < 5100 * 300
 
 
+def test_columns_beside_long_cells_are_aligned():
+    prose = " ".join(["some words - of a description"] * 7)
+    rows = [("a", prose, "10"), ("bbb", "short", "200"), ("c", "x" * 60, "3"), ("d", "y" * 200, "4")]
+    got = shown("<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in row) for row in rows) + "</table>")
+    lines = got.split("\n")
+    prices = [re.search(r"  (\d+)$", line) for line in lines]
+    assert [m[1] for m in prices if m] == ["10", "200", "3", "4"] and len({m.start(1) for m in prices if m}) == 1
+    assert max(map(len, lines)) <= 5 + ht.WRAP + 5
+    assert "y" * 200 in squeezed(got).replace("4", "") and not any(x.lstrip().startswith("- ") for x in lines)
+    middle = " ".join(x[5 : 5 + ht.WRAP].strip() for x in lines)
+    assert prose in middle
+    # nothing stands to the right of it, so nothing is wrapped
+    assert shown(f"<table><tr><td>a<td>{prose}</table>") == f"a  {prose}"
+
+
+@pytest.mark.parametrize("depth", [3, 700, 50_000])
+def test_visibility_and_end_tags_hold_at_any_depth(depth):
+    inner = "<p>seen</p><div hidden>no<div>no</div>no</div><span style='display:none'>no</span><b>bold</b>"
+    got = shown("<div>" * depth + inner + "</div>" * depth + "after")
+    assert got.split() == ["seen", "bold", "after"]
+    hidden = "<div hidden>" + "<div>" * depth + "no" + "</div>" * depth + "no</div>yes"
+    assert shown(hidden) == "yes"
+
+
+def test_many_items_below_deep_elements_take_linear_time():
+    assert shown("<ul>" + "<div>" * 30_000 + "<li>x" * 30_000).count("x") == 30_000
+
+
 def test_frame(spark):
     schema = "page_id long, url string, html string, text string"
     pages = spark.createDataFrame([(1, "u", "<p>a<p>b", "mine"), (2, None, None, None), (2, None, None, None)], schema)
