@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterwise.llm.frames import free_name, rows_of
+from quarterwise.llm.frames import free_name, rows_of, stored
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 4000
@@ -58,7 +58,10 @@ class Model:
 
 
 def _counted(sample: DataFrame, max_words: int, max_grams: int) -> DataFrame:
-    """(kind, item, lang, n): kind 0 for words, else the n-gram length; the most frequent of each."""
+    """(kind, item, lang, n): kind 0 for words, else the n-gram length.
+
+    The most frequent of each language are chosen; what is chosen has its count in every language.
+    """
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     words = sample.select("lang", F.explode(found).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
     parts = []
@@ -71,8 +74,10 @@ def _counted(sample: DataFrame, max_words: int, max_grams: int) -> DataFrame:
     both = words.withColumn("kind", F.lit(0))
     for part in parts:
         both = both.unionByName(part)
+    both = stored(both, "language-counts")
     limit = F.when(F.col("kind") == 0, max_words).otherwise(max_grams)
-    return both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("kind", "item", "lang", "n")
+    chosen = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("kind", "item").distinct()
+    return both.join(chosen, ["kind", "item"], "left_semi").select("kind", "item", "lang", "n")
 
 
 def fit(

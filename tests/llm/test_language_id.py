@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -64,6 +65,12 @@ def test_bounds_and_empty_tables(documents):
     assert len(small.words) == 2 and len(small.languages) == 2
 
 
+def test_chosen_items_have_their_count_in_every_language(documents):
+    small = li.fit(documents((1, "x x x y", "a"), (2, "p p p q q q x x", "b")), max_words=1)
+    assert set(small.words) == {"p", "x"} and small.languages == ["a", "b"]
+    assert small.logs[small.words["x"]] == pytest.approx([math.log(3.5 / 4), math.log(2.5 / 6)])
+
+
 def test_extra_columns_stay(documents, model):
     docs = documents((1, "the dog")).withColumns({"score": F.lit("mine"), "LANG_PRED": F.lit(7)})
     out = li.identify(docs, model)
