@@ -4,10 +4,10 @@ Three patterns give the base spans: assignments, access keys and long hexadecima
 leftmost and non-overlapping per kind. On top, candidate strings (long runs of token
 characters) are scanned with a window of fixed width. Character counts are kept up to date
 as the window moves, and with them the sum of n log n, so the Shannon entropy costs one
-step per character. A window counts if all its characters belong to a class, its entropy reaches
-that class's threshold, and it mixes digits and letters; neighbouring windows join to one
-span of kind `entropy`. Candidates on the allow-list (UUIDs, digits only, repeated or counting
-placeholders, words joined by hyphens or underscores) are suppressed. Base spans always stay.
+step per character. A window counts if all its characters belong to a class and its entropy reaches
+that class's threshold, or the higher `letters_bits` where the candidate as a whole does not mix digits and
+letters; neighbouring windows join to one span of kind `entropy`. Candidates on the allow-list (UUIDs, digits
+only, repeated or counting placeholders, words, identifiers) are suppressed. Base spans always stay.
 
 A narrow map over whole texts. NULL and empty texts have no spans; other columns are left alone.
 """
@@ -56,12 +56,18 @@ CLASSES = (
     CharacterClass(frozenset("0123456789ABCDEF"), 3.0),
     CharacterClass(frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"), 3.7),
 )
+#: The least entropy where a candidate has fewer than two digits or letters.
+LETTERS_BITS = 3.8
+_CONSONANTS = "[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]"
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9+/_=-]+",
     r"(.)\1+",
     r"(?:0123456789)?(?:abcdef(?:ghijklmnopqrstuvwxyz)?|ABCDEF(?:GHIJKLMNOPQRSTUVWXYZ)?)+[0-9]*",
     r"(?:[A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}",
+    # words in one case, with at most four consonants on end, and identifiers of capitalised parts
+    rf"(?=[A-Za-z][a-z]*\Z|[A-Z]*\Z)(?:{_CONSONANTS}{{0,4}}[aeiouyAEIOUY])+{_CONSONANTS}{{0,4}}",
+    r"[a-z]*(?:[A-Z]{1,5}[a-z]{2,})+[A-Z]{0,5}[0-9]{0,1}",
 )
 
 
@@ -88,8 +94,8 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def dense_runs(text: str, of: CharacterClass, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Ranges covered by windows of the class whose entropy reaches the threshold."""
+def dense_runs(text: str, of: CharacterClass, window: int = WINDOW, mixed: bool = True) -> list[tuple[int, int]]:
+    """Ranges covered by windows of the class whose entropy reaches the threshold and, if asked, that mix digits and letters."""
     table = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
     whole = math.log2(window)
     counts: dict[str, int] = {}
@@ -112,7 +118,7 @@ def dense_runs(text: str, of: CharacterClass, window: int = WINDOW) -> list[tupl
             counts[old] = n - 1
             digits -= old.isdigit()
             letters -= old.isalpha()
-        if inside >= window and digits >= 2 and letters >= 2 and whole - weight / window >= of.least_bits:
+        if inside >= window and whole - weight / window >= of.least_bits and (not mixed or digits >= 2 and letters >= 2):
             start = i - window + 1
             if runs and start <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], i + 1)
@@ -121,14 +127,19 @@ def dense_runs(text: str, of: CharacterClass, window: int = WINDOW) -> list[tupl
     return runs
 
 
-def entropy_spans(text: str, classes: Sequence[CharacterClass], allowed: AnyOf, window: int = WINDOW) -> list[Span]:
+def entropy_spans(
+    text: str, classes: Sequence[CharacterClass], allowed: AnyOf, window: int = WINDOW, letters_bits: float = LETTERS_BITS
+) -> list[Span]:
     """Spans of dense windows in candidate strings that are not on the allow-list."""
     found = []
+    higher = [CharacterClass(k.characters, max(k.least_bits, letters_bits)) for k in classes]
     for m in _CANDIDATE.finditer(text):
         candidate = m.group()
-        if len(candidate) < window or candidate.isalpha() or allowed.fullmatch(candidate):
+        if len(candidate) < window or allowed.fullmatch(candidate):
             continue
-        ranges = sorted({r for k in classes for r in dense_runs(candidate, k, window)})
+        n_digits, n_letters = (sum(map(f, candidate)) for f in (str.isdigit, str.isalpha))
+        wanted = classes if n_digits >= 2 and n_letters >= 2 else higher
+        ranges = sorted({r for k in wanted for r in dense_runs(candidate, k, window, mixed=False)})
         joined: list[list[int]] = []
         for lo, hi in ranges:
             if joined and lo <= joined[-1][1]:

@@ -72,6 +72,30 @@ def test_spans_of_documents(documents):
     assert got[7].spans == "assign:200001:200025"
 
 
+def entropy_count(text):
+    return len(ss.entropy_spans(text, ss.CLASSES, ss.AnyOf([re.compile(a) for a in ss.ALLOWED])))
+
+
+def test_random_tokens_are_found_whatever_their_digits():
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tokens = ["".join(rng.choices(letters + "0123456789", k=20)) for _ in range(6000)]
+    few = [t for t in tokens if sum(map(str.isdigit, t)) < 2]
+    assert len(few) > 400
+    high = [t for t in few if entropy(t) >= ss.LETTERS_BITS + 1e-9]
+    assert len(high) > 0.75 * len(few) and sum(map(entropy_count, high)) > 0.95 * len(high)
+    only = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
+    assert sum(entropy_count(t) == 1 for t in only) > 190
+    # digits at one end only: the whole candidate mixes, its middle windows do not
+    assert ss.entropy_spans("12kJsLqZxVbNmTwRyUpQhGfDcXa", ss.CLASSES, ss.AnyOf([])) == [(0, "entropy", 27)]
+
+
+def test_words_and_identifiers_are_no_secrets():
+    for text in ("internationalizationandlocalization", "Donaudampfschiffahrtsgesellschaft", "UNCHARACTERISTICALLYLONG", "getUserAuthenticationProvider",
+                 "parseHTTPResponseHeadersFromBytes", "AbstractSingletonProxyFactoryBean", "some/long/path/with/many/words", "a_very_long_variable_name_1"):
+        assert entropy_count(text) == 0, text
+
+
 def test_allow_list_is_a_parameter_and_empty_tables(documents):
     key = "kJ8s2Lq0ZxV7bN3mT5wRyU1p"
     docs = documents((1, key), (1, key), (None, key))
