@@ -139,3 +139,12 @@ def test_turns_without_text_stay_in_the_packed_text(frame):
     packed = chat.pack_conversations(turns).first()
     assert packed.n_messages == 3
     assert packed.text == "<user>\nnull\n</user>\n<null>\nhi\n</null>\n<user>\nx\n</user>"
+
+
+def test_split_query_leaves_later_years_to_the_operator(spark, monkeypatch):
+    from quarterwise.plans import chats
+
+    given, split = [], chat.split_by_year
+    monkeypatch.setattr(chats.chat, "split_by_year", lambda df, year: given.append(df) or split(df, year))
+    chats.chat_split_year(spark, "/root/testdata/sf0.001")
+    assert given[0].where(F.col("year") > chats.YEAR_VAL).limit(1).count() == 1
