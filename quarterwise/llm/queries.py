@@ -7,7 +7,20 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterwise.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, secret_scan, substring_dedup, token_counts
+from quarterwise.llm import (
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_id,
+    lm_score,
+    mixing,
+    near_dedup,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    whitening,
+)
 
 
 #: Folder of the public vocabulary files.
@@ -65,6 +78,15 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -76,6 +98,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_score": op10_lm_score,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE = {
