@@ -16,6 +16,7 @@ from quarterwise.llm import (
     lm_score,
     mixing,
     near_dedup,
+    quality,
     secret_scan,
     substring_dedup,
     token_counts,
@@ -78,6 +79,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs.where(~held), _table(spark, sf_dir, "labels").where(~held))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -98,6 +106,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
