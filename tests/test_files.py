@@ -143,12 +143,71 @@ def test_upsert_keeps_the_last_and_is_repeatable(spark, frame, tmp_path):
         assert _saved(spark, path) == {("a", D1): 7.0, ("b", D2): 2.0, ("c", D1): 8.0, ("n", None): 4.0}
 
 
-def test_upsert_replaces_touched_years_only(spark, frame, tmp_path):
+def test_upsert_rewrites_only_files_with_touched_keys(spark, frame, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(6):  # six files of one year, and one of another
+        upsert.upsert_predictions(frame(PRED, *[(f"c{i}-{k}", D1, 1.0, 5.0, 0.0, 1) for k in range(5)]).coalesce(1), path)
+    upsert.upsert_predictions(frame(PRED, ("b", D2, 2.0, 5.0, 0.0, 1)), path)
+    before = upsert.current_version(spark, path)
+    assert len(before.files["2000"]) == 6
+    upsert.upsert_predictions(frame(PRED, ("c2-3", D1, 3.0, 5.0, 0.0, 1), ("c4-0", D1, 4.0, 5.0, 0.0, 1), ("new", D1, 9.0, 5.0, 0.0, 1)), path)
+    after = upsert.current_version(spark, path)
+    assert after.number == before.number + 1 and after.files["2001"] == before.files["2001"]
+    assert len(set(before.files["2000"]) - set(after.files["2000"])) == 2
+    saved = _saved(spark, path)
+    assert len(saved) == 32 and (saved["c2-3", D1], saved["c4-0", D1], saved["c4-1", D1], saved["new", D1]) == (3.0, 4.0, 1.0, 9.0)
+
+
+def test_upsert_gathers_many_small_files(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(upsert, "MOST_FILES", 3)
+    for i in range(4):
+        upsert.upsert_predictions(frame(PRED, (f"c{i}", D1, float(i), 5.0, 0.0, 1)), path)
+    assert len(upsert.current_version(spark, path).files["2000"]) == 1 and len(_saved(spark, path)) == 4
+
+
+def test_a_reader_in_the_middle_of_an_upsert_sees_the_old_version(spark, frame, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     upsert.upsert_predictions(frame(PRED, ("a", D1, 1.0, 5.0, 0.0, 1), ("b", D2, 2.0, 5.0, 0.0, 1)), path)
-    before = {p.name for p in (tmp_path / "t" / "date_year=2001").glob("*.parquet")}
-    upsert.upsert_predictions(frame(PRED, ("a", D1, 3.0, 5.0, 0.0, 1)), path)
-    assert {p.name for p in (tmp_path / "t" / "date_year=2001").glob("*.parquet")} == before
+    opened = upsert.read_predictions(spark, path)
+    publish, seen = upsert._publish, []
+
+    def reads_first(session, table, version):
+        seen.append(_saved(spark, path))
+        publish(session, table, version)
+
+    monkeypatch.setattr(upsert, "_publish", reads_first)
+    upsert.upsert_predictions(frame(PRED, ("a", D1, 7.0, 5.0, 0.0, 1)), path)
+    assert seen == [{("a", D1): 1.0, ("b", D2): 2.0}] and _saved(spark, path) == {("a", D1): 7.0, ("b", D2): 2.0}
+    # a reader that opened the table before goes on with its version
+    assert {r.Company: r.xgb_point for r in opened.collect()} == {"a": 1.0, "b": 2.0}
+
+
+def test_two_writers_at_once_lose_nothing(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    upsert.upsert_predictions(frame(PRED, ("a", D1, 1.0, 5.0, 0.0, 1)), path)
+    publish, others = upsert._publish, [frame(PRED, ("b", D1, 2.0, 5.0, 0.0, 1), ("a", D1, 5.0, 5.0, 0.0, 1))]
+
+    def overtaken(session, table, version):
+        if others:
+            upsert.upsert_predictions(others.pop(), path)
+        publish(session, table, version)
+
+    monkeypatch.setattr(upsert, "_publish", overtaken)
+    upsert.upsert_predictions(frame(PRED, ("c", D1, 3.0, 5.0, 0.0, 1)), path)
+    assert _saved(spark, path) == {("a", D1): 5.0, ("b", D1): 2.0, ("c", D1): 3.0}
+    others.append(frame(PRED, ("d", D1, 4.0, 5.0, 0.0, 1)))
+    with pytest.raises(upsert.ConcurrentWrite):
+        upsert.upsert_predictions(frame(PRED, ("e", D1, 6.0, 5.0, 0.0, 1)), path, attempts=1)
+    assert ("e", D1) not in _saved(spark, path) and upsert.current_version(spark, path).number == 4
+
+
+def test_vacuum_keeps_what_versions_name(spark, frame, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(4):
+        upsert.upsert_predictions(frame(PRED, ("a", D1, float(i), 5.0, 0.0, 1)), path)
+    assert upsert.vacuum(spark, path, versions=1) == 3
+    assert _saved(spark, path) == {("a", D1): 3.0} and len(list((tmp_path / "t" / "data").iterdir())) == 1
 
 
 def test_saved_columns(frame):
@@ -181,7 +240,6 @@ def test_upsert_keeps_columns_of_every_batch(spark, frame, tmp_path):
     upsert.upsert_predictions(frame(base, ("B", day(2001, 6, 30), 3.0)), path)
     rows = {(r.Company, r.Date.year): r.arima_naive for r in upsert.read_predictions(spark, path).collect()}
     assert rows == {("A", 2000): None, ("A", 2001): 9.0, ("B", 2001): None}
-    assert not list(tmp_path.glob("table.staged-*")) and not (tmp_path / "table" / "_replaced").exists()
 
 
 def test_a_broken_upsert_loses_nothing(spark, frame, tmp_path, monkeypatch):
@@ -189,20 +247,17 @@ def test_a_broken_upsert_loses_nothing(spark, frame, tmp_path, monkeypatch):
     base = "Company string, Date date, xgb_point int"  # stored as double
     rows = [("A", dt.date(y, 3, 31), y) for y in (2000, 2001, 2002)]
     upsert.upsert_predictions(frame(base, *rows), path)
-    moved, calls = upsert._moved, []
-
-    def breaks(file_system, source, target):
-        calls.append(target)
-        if len(calls) == 4:
-            raise OSError("lost")
-        moved(file_system, source, target)
-
-    monkeypatch.setattr(upsert, "_moved", breaks)
-    with pytest.raises(OSError):
-        upsert.upsert_predictions(frame(base, *[(c, d, x + 1) for c, d, x in rows]), path)
-    monkeypatch.setattr(upsert, "_moved", moved)
-    got = sorted((r.Date.year, r.xgb_point) for r in upsert.read_predictions(spark, path).collect())
-    assert len(got) == 3 and all(x in (y, y + 1) for y, x in got)
+
+    def breaks(session, table, version):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(upsert, "_publish", breaks)
+        with pytest.raises(OSError):
+            upsert.upsert_predictions(frame(base, *[(c, d, x + 1) for c, d, x in rows]), path)
+    assert sorted((r.Date.year, r.xgb_point) for r in upsert.read_predictions(spark, path).collect()) == [(y, float(y)) for y in (2000, 2001, 2002)]
+    upsert.upsert_predictions(frame(base, *[(c, d, x + 2) for c, d, x in rows]), path)
+    assert sorted(r.xgb_point for r in upsert.read_predictions(spark, path).collect()) == [2002.0, 2003.0, 2004.0]
 
 
 def test_answers_by_group(spark, frame, tmp_path):
