@@ -5,10 +5,10 @@ runs of up to three word shapes (kinds of characters in the word, kind of its la
 before). An indicator is scaled by the log ratio of its counts in the two classes, r = log((1 + p) / |p|) - log((1 + q) / |q|);
 scaled vectors have length one. A linear model with hinge loss is then fitted by dual coordinate descent.
 
-Class counts cover every labelled row and are added up by Spark. The fit itself uses a bounded sample: about
-`per_class` rows of either class, chosen by a hash of id and text, and of these as many as hold about `most_features`
-indicators together; a row's loss weighs what its class has lost by the sample. Model and counts have a fixed size
-of `2**BITS` entries. Scoring is a narrow map over whole texts.
+The model is learned from a bounded sample: about `per_class` labelled ids of either class, chosen by a hash of the id. They
+are few enough to be broadcast, so that no text is shuffled; class counts cover all of their texts and are added up by Spark. The
+descent uses as many of these as hold about `most_features` indicators together; a row's loss weighs
+what its class has lost by the sample. Model and counts have a fixed size of `2**BITS` entries. Scoring is a narrow map over whole texts.
 
 Defined results: NULL and empty texts have no n-grams and score by the intercept. Labels other than 0 and 1 are ignored; an id
 with several labels counts as the largest. Documents that share an id are separate rows. Without labels every score is 0.5; with labels of one class
@@ -31,7 +31,7 @@ from quarterwise.llm.frames import Scratch, rows_of, text_buffers
 from quarterwise.llm.words import hash_windows, hash_words, mixed, split_words, window_rows
 
 BITS = 18
-PER_CLASS = 5000
+PER_CLASS = 20_000
 MOST_FEATURES = 20_000_000
 #: Upper bound of the dual variables, passes over the sample, and the violation at which they end.
 PENALTY, PASSES, TOLERANCE = 1.0, 30, 0.02
@@ -131,8 +131,8 @@ def descend(
     return weights, intercept, dual
 
 
-def _surveyed(labelled: DataFrame, shares: dict[int, float], bits: int) -> DataFrame:
-    """Counts of places by class, summed per task, and the features of the sampled rows."""
+def _surveyed(labelled: DataFrame, bits: int) -> DataFrame:
+    """Counts of places by class, summed per task, and the features of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << bits), np.int64)
@@ -141,11 +141,8 @@ def _surveyed(labelled: DataFrame, shares: dict[int, float], bits: int) -> DataF
             labels = batch.column("label").to_numpy()
             for k in (0, 1):
                 counts[k] += np.bincount(places[np.repeat(labels, np.diff(offsets)) == k], minlength=1 << bits)
-            chance = batch.column("chance").to_numpy()
-            taken = np.flatnonzero(chance < np.array([shares[0], shares[1]])[labels])
-            yield packed(
-                label=labels[taken].tolist(), chance=chance[taken].tolist(), places=[places[offsets[i] : offsets[i + 1]].tobytes() for i in taken]
-            )
+            sets = [places[lo:hi].tobytes() for lo, hi in zip(offsets, offsets[1:])]
+            yield packed(label=labels.tolist(), chance=batch.column("chance").to_pylist(), places=sets)
         there = np.flatnonzero(counts.any(axis=0))
         yield packed(place=there.tolist(), ones=counts[1][there].tolist(), zeros=counts[0][there].tolist())
 
@@ -157,6 +154,11 @@ def _surveyed(labelled: DataFrame, shares: dict[int, float], bits: int) -> DataF
     return labelled.mapInArrow(run, "label int, chance double, places binary, place long, ones long, zeros long")
 
 
+def _chance(mark: str, *columns: str) -> Column:
+    """A number from 0 to 1 by a hash of the columns."""
+    return F.pmod(F.xxhash64(F.lit(mark), *columns), F.lit(1 << 30)) / F.lit(1 << 30)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -168,21 +170,19 @@ def fit(
 ) -> Model:
     """Learn from the texts of `docs` that `labels` (doc_id and `label`, 0 or 1) marks."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chance = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    labelled = docs.select("doc_id", "text").join(marked, "doc_id").select("text", "label", chance.alias("chance"))
-    size = 1 << bits
-    # labelled ids bound the labelled rows closely enough to set the shares
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     shares = {k: min(1.0, per_class / sizes[k]) if sizes.get(k) else 0.0 for k in (0, 1)}
+    drawn = marked.where(_chance("quality sample", "doc_id") < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0]))
+    # about twice per_class ids at most
+    labelled = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     with Scratch() as scratch:
-        surveyed = scratch.stored(_surveyed(labelled, shares, bits), "quality-survey")
+        surveyed = scratch.stored(_surveyed(labelled.select("text", "label", _chance("descent", "doc_id", "text").alias("chance")), bits), "quality-survey")
         counted = surveyed.where(F.col("place").isNotNull()).groupBy("place").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toPandas()
         sample = surveyed.where(F.col("label").isNotNull())
         held = sample.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 0
-        # rows of the sample go by chance where they hold more than the bound
         thinned = min(1.0, most_features / held) if held else 1.0
-        limit = F.when(F.col("label") == 1, shares[1] * thinned).otherwise(shares[0] * thinned)
-        taken = sample.where(F.col("chance") < limit).select("label", "chance", "places").orderBy("chance", "places").toPandas()
+        taken = sample.where(F.col("chance") < thinned).select("label", "chance", "places").orderBy("chance", "places").toPandas()
+    size = 1 << bits
     truth = np.where(taken["label"].to_numpy() == 1, 1.0, -1.0)
     if len(set(truth.tolist())) < 2:
         # one class, or none: there is nothing to tell apart

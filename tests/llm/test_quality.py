@@ -86,11 +86,17 @@ def test_defined_results(spark, documents):
     assert {r.score for r in quality.score(docs, quality.fit(docs, none)).collect()} == {0.5}
     assert {r.predicted for r in quality.score(docs, quality.fit(docs, spark.createDataFrame([(1, 0)], LABELS))).collect()} == {0}
     assert quality.score(documents(), quality.fit(documents(), none)).count() == 0
-    # a bound on the sample keeps both classes' counts whole
+
+
+def test_bounds_of_the_sample(spark, documents):
     many = documents(*[(i, f"w{i} x" if i % 2 else f"v{i} Y!") for i in range(400)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], LABELS)
-    small, whole = quality.fit(many, labels, per_class=40), quality.fit(many, labels)
-    assert np.array_equal(small.ratios, whole.ratios) and not np.array_equal(small.weights, whole.weights)
+    whole, fewer, thinner = quality.fit(many, labels), quality.fit(many, labels, per_class=40), quality.fit(many, labels, most_features=600)
+    # fewer ids count less; fewer rows of the descent keep the counts whole
+    assert not np.array_equal(fewer.ratios, whole.ratios)
+    assert np.array_equal(thinner.ratios, whole.ratios) and not np.array_equal(thinner.weights, whole.weights)
+    for model in (whole, fewer, thinner):
+        assert all(r.predicted == r.doc_id % 2 for r in quality.score(many, model).collect())
 
 
 def test_held_out_accuracy(spark):
