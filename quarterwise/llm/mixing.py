@@ -10,7 +10,7 @@ a multivariate hypergeometric draw. Documents get their block's shard and are sh
 within it. Everything follows from hashes of doc_id, so reruns agree.
 
 Defined results: a NULL or blank text has size 0 and takes nothing. NULL is a source of its own,
-ordered last. Rows that share a doc_id share a block. An empty table gives an empty mix. Other
+ordered last. Rows that share a doc_id share a block; equal rows are taken equally often and reported each by its own words. An empty table gives an empty mix. Other
 columns are carried along untouched, whatever their names.
 """
 
@@ -125,12 +125,12 @@ def plan_mix(
     )
     single = F.col("is_cut").isNotNull() & F.col("room").isNotNull() & (F.col("size") > 0)
     in_pass = F.col("drawn").isNotNull() | (F.col("is_cut").isNotNull() & F.col("drawn_fine").isNotNull())
-    one_by_one = Window.partitionBy("sid").orderBy(
-        F.xxhash64(F.lit(f"{seed}:last"), F.col("doc_id")), "doc_id", "size", "tie"
-    ).rowsBetween(Window.unboundedPreceding, 0)
+    # equal rows come in one step, so that they are taken alike
+    one_by_one = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(f"{seed}:last"), F.col("doc_id")), "doc_id", "size", "tie")
+    alike = Window.partitionBy("sid", "doc_id", "size", "tie")
     settled = marked.where(~single).withColumn("extra", F.when(in_pass & (F.col("size") > 0), 1).otherwise(0))
     # the document that crosses the target is taken if that ends nearer to it
-    nearer = F.sum("size").over(one_by_one) - F.col("size") / 2 <= F.col("room")
+    nearer = F.sum("size").over(one_by_one) - F.sum("size").over(alike) / 2 <= F.col("room")
     singles = marked.where(single).withColumn("extra", F.when(nearer, 1).otherwise(0))
     return (
         settled.unionByName(singles)
@@ -229,13 +229,18 @@ def dealt_mix(
     group = F.pmod(F.xxhash64(F.lit(f"{seed}:group"), F.col("doc_id")), F.lit(GROUPS))
     rows = docs.select("doc_id", "text", "source")
     parts = [stored(_dealt(rows.where(group == g), plan.where(group == g), units, shards, seed), "mix") for g in range(GROUPS)]
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(
-        F.sum(word_count(F.col("text"))).alias("taken"), F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("dealt")
+    written = reduce(DataFrame.unionByName, parts)
+    found = (
+        written.groupBy("doc_id", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), "source")
+        .agg(F.count("*").alias("rows"), F.sort_array(F.collect_set(F.struct("copy", "shard"))).alias("dealt"))
+        # equal rows are dealt alike: what is written of them together is divided among them
+        .withColumn("taken", (F.col("rows") * F.col("size") / (F.col("rows") / F.size("dealt"))).cast("long"))
     )
-    joined = plan.alias("p").join(found.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    same = reduce(lambda x, y: x & y, [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "size", "tie", "source")])
+    joined = plan.alias("p").join(found.alias("f"), same, "left")
     return joined.select(
         "p.doc_id",
-        "size",
+        "p.size",
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
