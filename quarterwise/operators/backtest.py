@@ -148,6 +148,41 @@ def require_no_leakage(report: DataFrame, checks: Sequence[str] = BLOCKING_CHECK
         raise AssertionError("; ".join(f"{r['check']}: {x}" for r, x in zip(bad, told)))
 
 
+def require_no_leakage_in_folds(
+    train: DataFrame,
+    tests: DataFrame,
+    folds: Sequence[tuple[str, str]],
+    checks: Sequence[str] = BLOCKING_CHECKS,
+    spec: PanelSpec = PanelSpec(),
+    strict: bool = False,
+) -> None:
+    """`require_no_leakage` for many (train_end, test_date) folds, from one pass over each table.
+
+    A fold trains on the rows up to its end, so rows after it cannot be among them; what is left to check is the
+    latest label of those rows and that there is no test row at another date than the folds'.
+    """
+    t, dated = F.col(spec.time), "label_date" in train.columns
+    if "label_date" in checks and not dated:
+        raise AssertionError("label_date: not evaluated")
+    late = []
+    for i, (end, test) in enumerate(folds):
+        inside = t <= _date(end)
+        if strict:
+            inside = inside & (F.col("label_date") <= _date(end))
+        label = F.count_if(inside & (F.col("label_date") >= _date(test))) if dated else F.lit(0)
+        late += [label.alias(f"label_{i}"), F.max(F.when(inside, t)).alias(f"last_{i}")]
+    found = train.agg(*late).first()
+    other = tests.where(~t.isin([F.lit(test).cast("date") for _, test in folds])).limit(1).count()
+    bad = ["test_date: rows at other dates than the folds'"] if other and "test_date" in checks else []
+    for i, (end, test) in enumerate(folds):
+        if "label_date" in checks and found[f"label_{i}"]:
+            bad.append(f"label_date: {found[f'label_{i}']} rows for {test}")
+        if "test_date" in checks and not str(end) < str(test):
+            bad.append(f"test_date: {test} is not after the training end {end}")
+    if bad:
+        raise AssertionError("; ".join(bad))
+
+
 def history_report(
     panel: DataFrame, sup: DataFrame, train_end: str, test_date: str, spec: PanelSpec = PanelSpec()
 ) -> DataFrame:
@@ -237,6 +272,7 @@ __all__ = [
     "naive_drift",
     "pooled_metrics",
     "require_no_leakage",
+    "require_no_leakage_in_folds",
     "test_rows",
     "training_rows",
     "walk_forward_rows",

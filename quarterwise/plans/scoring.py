@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarterwise.operators import backtest, evaluate, features, normalise
+from quarterwise.operators import asof, backtest, evaluate, features, normalise
 from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
 from quarterwise.session import materialise
@@ -59,6 +59,23 @@ def bt_asof_exog(spark, sf):
     return backtest.asof_rows(panel, v.TEST_DATE, ["OperatingExpenses", "GrossProfit", "Assets", "StockholdersEquity"])
 
 
+def bt_asof_join(spark, sf):
+    """Every row of the irregular panel with its company's last row before it."""
+    rows = v.sparse_panel(spark, sf)
+    take = {"asof_date": "Date", "asof_revenues": "Revenues"}
+    return asof.asof_join(rows, rows, ["Company"], "Date", "Date", take)
+
+
+def bt_asof_events(spark, sf):
+    """Every purchase with the user's last view at or before it; a view may come at the same time."""
+    events = v.table(spark, sf, "events").select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("who"), "event_type", F.col("event_id").alias("ord"), "value", "ts"
+    )
+    views, bought = events.where("event_type = 'view'"), events.where("event_type = 'purchase'").drop("event_type")
+    take = {"view_ord": "ord", "view_value": "value"}
+    return asof.asof_join(bought, views, ["who"], "ts", "ts", take, strict=False, order=["ord"]).drop("ts")
+
+
 def bt_leakage_report(spark, sf):
     panel = v.panel(spark, sf)
     train = backtest.training_rows(features.supervised(panel, label_date=True), v.TRAIN_END)
@@ -177,6 +194,8 @@ QUERIES = {
         bt_train_rows_strict,
         bt_test_rows,
         bt_asof_exog,
+        bt_asof_join,
+        bt_asof_events,
         bt_leakage_report,
         bt_compare,
         bt_compare_strict,
@@ -205,15 +224,12 @@ _RESID = """, res AS (SELECT Company, "Date", (Revenues - xgb_point) * (Revenues
 
 def _walk_rows_sql(panel: str, exog: str = "", first: int = v.FIRST_WALK) -> str:
     carried = "".join(f", {c}" for c in exog.split())
-    kept = "".join(f", a.{c}" for c in exog.split())
     return f"""
     , f AS (SELECT DISTINCT "Date" AS test_date FROM {panel} ORDER BY 1 OFFSET {first}),
-    p AS (SELECT * FROM (SELECT test_date, Company, Revenues{carried},
-        row_number() OVER (PARTITION BY test_date, Company ORDER BY "Date" DESC) AS rn
-      FROM {panel} JOIN f ON "Date" < test_date) WHERE rn <= 2),
-    t AS (SELECT a.test_date, a.Company, a.Revenues AS lag_1, b.Revenues AS lag_2{kept}
-      FROM p a JOIN p b ON a.test_date = b.test_date AND a.Company = b.Company AND a.rn = 1 AND b.rn = 2
-      WHERE a.Revenues IS NOT NULL AND b.Revenues IS NOT NULL)"""
+    p AS (SELECT "Date", Company, Revenues AS lag_1, lag(Revenues) OVER (PARTITION BY Company ORDER BY "Date") AS lag_2{carried} FROM {panel}),
+    g AS (SELECT test_date, Company FROM f, (SELECT DISTINCT Company FROM {panel})),
+    t AS (SELECT g.test_date, p.* EXCLUDE ("Date") FROM g ASOF JOIN p ON g.Company = p.Company AND g.test_date > p."Date"
+      WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL)"""
 
 
 def walk_sql(panel: str, actual: str, body: str, first: int = v.FIRST_WALK) -> str:
@@ -275,6 +291,17 @@ ORACLE = {
            FROM past_two WHERE rn = 1""",
         "past_two",
     ),
+    "bt_asof_join": sql(
+        """SELECT l.*, r."Date" AS asof_date, r.Revenues AS asof_revenues
+           FROM fin_sparse l ASOF LEFT JOIN fin_sparse r ON l.Company = r.Company AND r."Date" < l."Date"  """,
+        "fin_sparse",
+    ),
+    "bt_asof_events": """
+        WITH v AS (SELECT user_id, ts, max(event_id) AS view_ord, arg_max(value, event_id) AS view_value
+                   FROM events WHERE event_type = 'view' GROUP BY user_id, ts)
+        SELECT concat('U', b.user_id) AS who, b.event_id AS "ord", b.value, view_ord, view_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ts >= v.ts
+    """,
     "bt_leakage_report": sql(
         """, tr AS (SELECT * FROM fin_sup WHERE "Date" <= DATE '2000-12-31'),
            k AS (SELECT unnest(['dated', 'undated']) AS labels)

@@ -20,6 +20,8 @@ def build_session(app: str = "quarterwise", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split skewed join sides even where that costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # models of several folds train at the same time
+        "spark.scheduler.mode": "FAIR",
         **conf,
     }
     for key, value in settings.items():
