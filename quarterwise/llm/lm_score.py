@@ -6,15 +6,16 @@ its n-gram of the highest order that occurs in another document, times `BACKOFF`
 given up; at the lowest order that is its share of all words, and a word found nowhere else
 counts as half an occurrence. Logarithms are summed per document.
 
-Documents are exploded into distinct n-grams with their counts, dealt by hash, and each n-gram's
-rows are summed over all documents beside each row. Two bounded tables are broadcast and travel with
-the rows: counts of the `KNOWN` most frequent words, and exact counts of up to `COMMON` frequent pairs. Rows of common pairs
-need no sum, so they are dealt at random, and no other pair has very many rows. Only rows with a rarer
-word are joined to the table of words. Work is done in passes over the hash of the last context
-word: every count that a row of a pass needs above the words belongs to that pass, so disk holds the
-rows of one pass at a time.
-
-Words are runs of letters, digits and code points above ASCII, A-Z in lower case, known by
+Counts of words, of words as contexts and of pairs are gathered per slice of text and added up, each in a table
+dealt by hash. N-grams are exploded to one row per document and distinct n-gram and joined to the count table of pairs by a hash
+join, without a sort; the table lacks pairs of one document only, which nobody else has. Two bounded tables are
+broadcast and spare most rows a join: counts of the `KNOWN` most frequent words, and of up to `COMMON` frequent pairs. Pairs in
+the latter, if both words are known, are scored where they are read and not shuffled, so no pair gathers very many rows in
+one task. Rows with a rarer word are joined to the table of words. Documents are scored in a few passes, so that
+disk holds the rows of one part of them at a time. Orders above 2 take passes over the last context word and add up the counts of
+longer n-grams by windows over the rows of a pass.
+
+Words are runs of letters, digits and code points above ASCII, A-Z in lower case. Words and pairs are known by
 64-bit hashes. Defined results: NULL and empty texts have no words, a sum of 0 and a NULL mean. A
 single document is scored against nothing. Rows that share id and text are separate documents.
 """
@@ -35,12 +36,15 @@ from quarterwise.llm.words import ALNUM, Words, hash_words, mixed, split_words
 
 ORDER = 2
 BACKOFF = 0.4
-PASSES = 5
+PASSES = 3
+#: Passes of orders above 2, whose rows are wider.
+WIDE_PASSES = 5
 #: Words whose counts are broadcast at most.
 KNOWN = 200_000
-#: Pairs whose counts are broadcast at most, and how often one occurs in a slice to be counted as a candidate.
+#: Pairs whose counts are broadcast at most.
 COMMON = 65_536
-CANDIDATE = 16
+#: Bytes of text whose pairs are added up before they are dealt.
+SLICE = 8_000_000
 #: Parts over which the rows of a common pair are dealt.
 SALTS = 1024
 _U = np.uint64
@@ -100,6 +104,144 @@ def _pairs(columns: list[np.ndarray]) -> np.ndarray:
     return mixed(mixed(columns[-2]) * _STEP + columns[-1]).view(np.int64)
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first of each group in it, size of each group) of equal keys."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]]))
+    return order, first, np.diff(np.append(first, len(keys)))
+
+
+def _own_counts(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs among the keys."""
+    order, _, sizes = _grouped(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
+
+
+def _explode_pairs(id_type: str, words_known, pairs_known, backoff: float, leave_out: bool):
+    """A row per document and distinct pair that needs more counts, and one per document with the sums over its other pairs.
+
+    Words are there where their counts are not known; `context_left` and `word_left` are what other documents leave of known
+    counts, -1 - own otherwise. Rows of sums have `s`, n 0, and in these columns the words backed off and the unknown ones.
+    """
+    schema = f"doc_id {id_type}, tie long, pair long, n int, context_left long, word_left long, context long, word long, s double"
+    names = ["doc_id", "tie", "pair", "n", "context_left", "word_left", "context", "word", "s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, ["doc_id", "tie", "text"]):
+            words = split_words(batch.column("text"), ALNUM, lower=True)
+            before, hashes = _grams(words, hash_words(words), 2)
+            texts = np.repeat(np.arange(batch.num_rows), words.counts())
+            own_word, own_context = (_own_counts(_key([x], texts)) * leave_out for x in (hashes, before))
+            order, first, n = _grouped(_key([before, hashes], texts))
+            row = order[first]
+            text, pair = texts[row], _pairs([before, hashes])[row]
+            common, is_common = _looked_up(pairs_known.value, pair)
+            contexts, context_there = _looked_up(words_known.value, before[row].view(np.int64), 2)
+            times, word_there = _looked_up(words_known.value, hashes[row].view(np.int64), 1)
+            context_left = np.where(context_there, contexts - own_context[row], -1 - own_context[row])
+            word_left = np.where(word_there, times - own_word[row], -1 - own_word[row])
+            direct = is_common & context_there & word_there
+
+            x = np.flatnonzero(direct)
+            others = common[x] - n[x] * leave_out
+            hit = others > 0
+            as_pair = np.log(np.maximum(others, 1)) - np.log(np.maximum(context_left[x], 1))
+            score = np.where(hit, as_pair, math.log(backoff) + np.log(np.maximum(word_left[x], 0.5))) * n[x]
+            per_text = lambda w: np.bincount(text[x], w, batch.num_rows).astype(float)
+            backed, unknown = (per_text(k * n[x]).astype(np.int64) for k in (~hit, ~hit & (word_left[x] <= 0)))
+            rest, sums = np.flatnonzero(~direct), np.zeros(batch.num_rows, np.int32)
+            none = np.ones(len(rest), bool)
+            arrays = [
+                batch.column("doc_id"),
+                batch.column("tie"),
+                batch.column("tie"),  # deals the sums like any other row
+                pa.array(sums),
+                pa.array(backed),
+                pa.array(unknown),
+                *[pa.nulls(batch.num_rows, pa.int64())] * 2,
+                pa.array(per_text(score)),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            at = pa.array(text[rest])
+            rare = lambda source, there: pa.array(source[row[rest]].view(np.int64), mask=there[rest])
+            arrays = [
+                batch.column("doc_id").take(at),
+                batch.column("tie").take(at),
+                pa.array(pair[rest]),
+                pa.array(n[rest].astype(np.int32)),
+                pa.array(context_left[rest]),
+                pa.array(word_left[rest]),
+                rare(before, context_there),
+                rare(hashes, word_there),
+                pa.array(np.zeros(len(rest)), mask=none),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run, schema
+
+
+def _pair_sums(rows: DataFrame, pairs: DataFrame, words: DataFrame, backoff: float, leave_out: bool, scratch: Scratch) -> DataFrame:
+    """(doc_id, tie, s, backed, unknown, lowest) sums over the pairs of a pass; see `_sums` for the words scored at the lowest order."""
+    n = F.col("n")
+    others = F.coalesce(F.col("total") - (n if leave_out else F.lit(0)), F.lit(0))
+    joined = rows.join(pairs.hint("shuffle_hash"), "pair", "left").withColumn("others", others)
+    hit = F.col("others") > 0
+    left = F.when(hit, F.col("context_left")).otherwise(F.col("word_left"))
+    known, summed = left >= 0, F.col("s").isNotNull()
+    open_ = ~summed & ~known
+    alone = F.log(F.greatest(left.cast("double"), F.lit(0.5))) + F.lit(math.log(backoff))
+    score = n * F.when(hit, F.log(F.col("others")) - F.log(left)).otherwise(alone)
+    zero = F.lit(0)
+    # rows whose words are known add up to one per document, the others stay apart by their rare word
+    last = scratch.stored(
+        joined.select(
+            "doc_id",
+            "tie",
+            F.when(open_, F.when(hit, F.col("context")).otherwise(F.col("word"))).alias("word"),
+            F.when(open_, left).alias("left"),
+            F.when(open_ & hit, F.col("others")).alias("others"),
+            F.coalesce("s", F.when(known, score), F.lit(0.0)).alias("s"),
+            F.when(open_, n).otherwise(zero).alias("rare"),
+            F.when(summed, F.col("context_left")).when(hit, zero).otherwise(n).alias("backed"),
+            F.when(summed, F.col("word_left")).when(known & ~hit & (left <= 0), n).otherwise(zero).alias("unknown"),
+        )
+        .groupBy("doc_id", "tie", "word", "left", "others")
+        .agg(*[F.sum(c).alias(c) for c in ("s", "rare", "backed", "unknown")]),
+        "last",
+    )
+    plain = last.where(F.col("word").isNull()).select("doc_id", "tie", "s", "backed", "unknown", F.col("backed").alias("lowest"))
+    hit = F.col("others").isNotNull()
+    rare = last.where(F.col("word").isNotNull()).join(words, "word")
+    rest = F.when(hit, F.col("contexts")).otherwise(F.col("times")) + F.col("left") + 1
+    alone = F.log(F.greatest(rest.cast("double"), F.lit(0.5))) + F.lit(math.log(backoff))
+    looked_up = rare.select(
+        "doc_id",
+        "tie",
+        (F.col("rare") * F.when(hit, F.log(F.col("others")) - F.log(rest)).otherwise(alone)).alias("s"),
+        "backed",
+        F.when(~hit & (rest <= 0), F.col("rare")).otherwise(0).alias("unknown"),
+        F.col("backed").alias("lowest"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("s", "backed", "unknown", "lowest")]
+    return plain.unionByName(looked_up).groupBy("doc_id", "tie").agg(*sums)
+
+
+def _most_frequent(table: DataFrame, most: int, *times: str) -> DataFrame:
+    """The rows with the highest count (of several the greatest), no more than `most`, cut at a count and not by a sort of all rows."""
+    step = F.floor(F.log2(F.greatest(*times, F.lit(1))) * 16).cast("int")
+    # a histogram of at most a thousand steps
+    steps = sorted(((r["step"], r["n"]) for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    lowest, held = None, 0
+    for at, n in steps:
+        if held + n > most:
+            break
+        lowest, held = at, held + n
+    return table.where(F.lit(False) if lowest is None else step >= lowest)
+
+
 def _explode(id_type: str, order: int, passes: int, turn: int, words_known, pairs_known, leave_out: bool):
     hashes_, owns, contexts = _names(order)
     names = ["doc_id", "tie", *hashes_, "n", *owns, *contexts, "context_left", "word_left", "pair_times"]
@@ -139,48 +281,46 @@ def _explode(id_type: str, order: int, passes: int, turn: int, words_known, pair
     return run, schema
 
 
-def _survey(id_type: str, candidate: int):
-    """Per slice: documents with their number of words, words with their counts as words and as contexts, frequent pairs."""
-    schema = f"doc_id {id_type}, tie long, n_words long, word long, times long, contexts long, pair long"
-    names = ["doc_id", "tie", "n_words", "word", "times", "contexts", "pair"]
+def _survey(id_type: str):
+    """Per slice: documents with their number of words, words with their counts as words and as contexts."""
+    schema = f"doc_id {id_type}, tie long, n_words long, word long, times long, contexts long"
+    names = ["doc_id", "tie", "n_words", "word", "times", "contexts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, ["doc_id", "tie", "text"]):
+        for batch in rows_of(batches, ["doc_id", "tie", "text"], SLICE):
             words = split_words(batch.column("text"), ALNUM, lower=True)
             long = lambda n: pa.nulls(n, pa.int64())
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), pa.array(words.counts()), *[long(rows)] * 4], names=names
+                [batch.column("doc_id"), batch.column("tie"), pa.array(words.counts()), *[long(rows)] * 3], names=names
             )
             before, hashes = _grams(words, hash_words(words), 2)
-            keys, place = np.unique(np.concatenate([hashes, before]), return_inverse=True)
-            times = np.bincount(place[: len(hashes)], minlength=len(keys))
-            contexts = np.bincount(place[len(hashes) :], minlength=len(keys))
+            both = np.concatenate([hashes, before])
+            order, first, _ = _grouped(both)
+            keys = both[order[first]]
+            as_word = np.concatenate([[0], np.cumsum(order < len(hashes))])
+            ends = np.append(first[1:], len(both)) if len(first) else first
+            times = as_word[ends] - as_word[first]
+            contexts = ends - first - times
             nothing = pa.nulls(len(keys), batch.column("doc_id").type)
             counts = [pa.array(c.astype(np.int64)) for c in (keys.view(np.int64), times, contexts)]
-            yield pa.RecordBatch.from_arrays([nothing, *[long(len(keys))] * 2, *counts, long(len(keys))], names=names)
-            pairs, n = np.unique(_pairs([before, hashes]), return_counts=True)
-            pairs, n = pairs[n >= candidate], n[n >= candidate].astype(np.int64)
-            nothing, empty = pa.nulls(len(pairs), batch.column("doc_id").type), long(len(pairs))
-            yield pa.RecordBatch.from_arrays([nothing, empty, empty, empty, pa.array(n), empty, pa.array(pairs)], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, *[long(len(keys))] * 2, *counts], names=names)
 
     return run, schema
 
 
-def _count_pairs(wanted):
-    """Counts of the wanted pairs per slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, ["text"]):
-            words = split_words(batch.column("text"), ALNUM, lower=True)
-            pairs = _pairs(_grams(words, hash_words(words), 2))
-            place = np.minimum(np.searchsorted(wanted.value, pairs), max(0, len(wanted.value) - 1))
-            place = place[wanted.value[place] == pairs] if len(wanted.value) else place[:0]
-            n = np.bincount(place, minlength=len(wanted.value))
-            found = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted.value[found]), pa.array(n[found].astype(np.int64))], names=["pair", "n"])
-
-    return run
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice: every pair, how often it occurs and in how many documents."""
+    for batch in rows_of(batches, ["text"], SLICE):
+        words = split_words(batch.column("text"), ALNUM, lower=True)
+        texts = np.repeat(np.arange(batch.num_rows), words.counts())
+        pairs = _pairs(_grams(words, hash_words(words), 2))
+        order, first, times = _grouped(_key([pairs.view(_U)], texts))
+        each = pairs[order[first]]
+        order, first, docs = _grouped(each)
+        n = np.add.reduceat(times[order], first) if len(first) else docs
+        arrays = [pa.array(x.astype(np.int64)) for x in (each[order[first]], n, docs)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["pair", "n", "docs"])
 
 
 def _log_share(count: Column, total: Column, given_up: int, backoff: float) -> Column:
@@ -256,10 +396,9 @@ def score_documents(
     docs: DataFrame,
     order: int = ORDER,
     backoff: float = BACKOFF,
-    passes: int = PASSES,
+    passes: int | None = None,
     known: int = KNOWN,
     common: int = COMMON,
-    candidate: int = CANDIDATE,
     leave_out: bool = True,
 ) -> DataFrame:
     """Per document: doc_id, n_words, log_score (natural), mean_log_score, n_backed_off, n_unknown.
@@ -271,27 +410,35 @@ def score_documents(
         raise ValueError("order is at least 2")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    survey, survey_schema = _survey(id_type, candidate)
+    survey, survey_schema = _survey(id_type)
     broadcast = docs.sparkSession.sparkContext.broadcast
     with Scratch() as scratch:
         surveyed = scratch.stored(plain.mapInArrow(survey, survey_schema), "survey")
         sizes = stored(surveyed.where(F.col("n_words").isNotNull()).select("doc_id", "tie", "n_words"), "sizes")
         counted = surveyed.where(F.col("word").isNotNull()).groupBy("word")
         words = stored(counted.agg(F.sum("times").alias("times"), F.sum("contexts").alias("contexts")), "words")
-        candidates = surveyed.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("times").alias("times"))
-        # this table and the next are bounded by their limits
-        chosen = candidates.orderBy(F.desc("times"), "pair").limit(common).select("pair").toPandas()["pair"].to_numpy(np.int64)
+    counted = plain.select("text").mapInArrow(_count_pairs, "pair long, n long, docs long").groupBy("pair")
+    totals = counted.agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
+    # what is in one document only counts nothing where that document is left out
+    pairs = stored(totals.where(F.col("docs") > 1 if leave_out else F.lit(True)).select("pair", "total"), "pairs")
     total = sizes.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    top = words.orderBy(F.desc("times"), "word").limit(known).toPandas().sort_values("word")
+    # these two tables are bounded by their limits
+    top = _most_frequent(words, known, "times", "contexts").toPandas().sort_values("word")
     words_known = broadcast(tuple(top[c].to_numpy(np.int64) for c in ("word", "times", "contexts")))
-    counts = plain.select("text").mapInArrow(_count_pairs(broadcast(np.sort(chosen))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    exact = counts.toPandas().sort_values("pair")
-    pairs_known = broadcast((exact["pair"].to_numpy(np.int64), exact["n"].to_numpy(np.int64)))
+    exact = _most_frequent(pairs, common, "total").toPandas().sort_values("pair")
+    pairs_known = broadcast((exact["pair"].to_numpy(np.int64), exact["total"].to_numpy(np.int64)))
     parts = []
+    passes = passes or (PASSES if order == 2 else WIDE_PASSES)
     for turn in range(passes):
-        explode, schema = _explode(id_type, order, passes, turn, words_known, pairs_known, leave_out)
         with Scratch() as scratch:
-            parts.append(stored(_sums(plain.mapInArrow(explode, schema), words, order, backoff, leave_out, scratch), "pass-sums"))
+            if order == 2:
+                explode, schema = _explode_pairs(id_type, words_known, pairs_known, backoff, leave_out)
+                some = plain.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(passes)) == turn)
+                summed = _pair_sums(some.mapInArrow(explode, schema), pairs, words, backoff, leave_out, scratch)
+            else:
+                explode, schema = _explode(id_type, order, passes, turn, words_known, pairs_known, leave_out)
+                summed = _sums(plain.mapInArrow(explode, schema), words, order, backoff, leave_out, scratch)
+            parts.append(stored(summed, "pass-sums"))
     sums = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tie").agg(*[F.sum(c).alias(c) for c in ("s", "backed", "unknown", "lowest")])
     copies = sizes.groupBy("doc_id", "tie").agg(F.first("n_words").alias("n_words"), F.count("*").alias("copies"))
     same = F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.tie") == F.col("t.tie"))

@@ -48,7 +48,7 @@ def corpus():
 @pytest.mark.parametrize("order, passes, leave_out", [(2, 1, True), (2, 3, True), (3, 2, True), (4, 1, True), (2, 2, False)])
 def test_scores_equal_brute_force(documents, order, passes, leave_out):
     docs = corpus()
-    got = {r.doc_id: r for r in lm.score_documents(documents(*docs), order=order, passes=passes, known=3, common=9, candidate=2, leave_out=leave_out).collect()}
+    got = {r.doc_id: r for r in lm.score_documents(documents(*docs), order=order, passes=passes, known=3, common=9, leave_out=leave_out).collect()}
     assert len(got) == len(docs)
     for i, n, s, backed, unknown in brute(docs, order, leave_out=leave_out):
         r = got[i]
