@@ -79,10 +79,11 @@ def ewma_volatility(df: DataFrame, residual: Column, order: Sequence[str], decay
     return listed.select(total.alias("t")).select(_sigma(F.col("t.newer"), F.col("t.v")).alias("sigma"))
 
 
-def ewma_volatility_by_entity(
-    df: DataFrame, residual: Column, spec: PanelSpec = PanelSpec(), decay: float = DECAY
-) -> DataFrame:
-    """The same volatility per entity; where `spec` declares slices, slice by slice, so that a long history is split."""
+def ewma_state(df: DataFrame, residual: Column, spec: PanelSpec = PanelSpec(), decay: float = DECAY) -> DataFrame:
+    """Per entity what the volatility of later rows needs: n_residuals, weighted (the variance so far), first_time, last_time.
+
+    Where `spec` declares slices, the sum is made slice by slice, so that a long history is split.
+    """
     slices = spec.slice_expr(df)
     rows = df.where(F.col(spec.entity).isNotNull()).select(
         spec.entity,
@@ -99,14 +100,51 @@ def ewma_volatility_by_entity(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.lit(1 - decay) * F.pow(F.lit(decay), F.col("pos")) * F.col("r2")).alias("v"),
+            F.min("t").alias("first_time"),
+            F.max("t").alias("last_time"),
         )
     )
     newer = Window.partitionBy(spec.entity).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     scaled = slices.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-    out = scaled.groupBy(spec.entity).agg(
-        F.sum("n").alias("n_residuals"), F.sum(F.pow(F.lit(decay), F.col("newer")) * F.col("v")).alias("v")
+    return scaled.groupBy(spec.entity).agg(
+        F.sum("n").alias("n_residuals"),
+        F.sum(F.pow(F.lit(decay), F.col("newer")) * F.col("v")).alias("weighted"),
+        F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"),
+    )
+
+
+def merge_ewma_states(older: DataFrame, newer: DataFrame, spec: PanelSpec = PanelSpec(), decay: float = DECAY) -> DataFrame:
+    """The state of both batches of rows, whose sizes do not matter any more; the job stops where a newer row is not later.
+
+    One row per entity on either side. Merging is associative: states of many batches may be merged in any grouping that keeps
+    their order.
+    """
+    a, b = older.alias("a"), newer.alias("b")
+    both = a.join(b, spec.entity, "full_outer")
+    late = F.col("b.first_time") <= F.col("a.last_time")
+    n = F.coalesce("b.n_residuals", F.lit(0))
+    merged = F.coalesce("a.weighted", F.lit(0.0)) * F.pow(F.lit(decay), n) + F.coalesce("b.weighted", F.lit(0.0))
+    told = F.concat(F.lit("rows that are not later than the state of "), F.col(spec.entity).cast("string"))
+    return both.select(
+        spec.entity,
+        (F.coalesce("a.n_residuals", F.lit(0)) + n).alias("n_residuals"),
+        F.when(F.coalesce(late, F.lit(False)), F.raise_error(told).cast("double")).otherwise(merged).alias("weighted"),
+        F.coalesce("a.first_time", "b.first_time").alias("first_time"),
+        F.coalesce("b.last_time", "a.last_time").alias("last_time"),
     )
-    return out.select(spec.entity, "n_residuals", _sigma(F.col("n_residuals"), F.col("v")).alias("sigma"))
+
+
+def volatility_of_state(state: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """entity, n_residuals, sigma of a state."""
+    return state.select(spec.entity, "n_residuals", _sigma(F.col("n_residuals"), F.col("weighted")).alias("sigma"))
+
+
+def ewma_volatility_by_entity(
+    df: DataFrame, residual: Column, spec: PanelSpec = PanelSpec(), decay: float = DECAY
+) -> DataFrame:
+    """The same volatility per entity."""
+    return volatility_of_state(ewma_state(df, residual, spec, decay), spec)
 
 
 def _sigma(n: Column, variance: Column) -> Column:

@@ -122,7 +122,8 @@ def fit(rows: DataFrame, features: Sequence[str], params: Params = REGULAR, min_
         maxBins=BINS,
         seed=chosen.seed,
         checkpointInterval=10,
-        cacheNodeIds=True,
+        # a row finds its node in at most `depth` steps, which is cheaper than carrying node ids from job to job
+        cacheNodeIds=False,
     )
     assemble = assembler([_BIN + c for c in features] if bins else features)
     fitted = learner.fit(assemble.transform(rows))

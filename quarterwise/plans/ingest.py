@@ -12,7 +12,7 @@ from quarterwise.operators import chat, clean, facts, features, normalise
 from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
 from quarterwise.session import new_folder
-from quarterwise.sinks import files, upsert
+from quarterwise.sinks import answers, files, upsert
 from quarterwise.sources import filings, records
 
 _RAW = ["Date", "Revenues", "OperatingExpenses", "GrossProfit", "Assets", "StockholdersEquity"]
@@ -164,6 +164,19 @@ def sink_answers(spark, sf):
     return back.select("key", "how", "final_forecast", "explanation")
 
 
+def sink_answer_store(spark, sf):
+    """Answers stored by key, and the store asked for every key of the irregular panel."""
+    pred = normalise.finalise(v.fin_pred(spark, sf), "Net Revenues")
+    key = normalise.answer_key(*[F.col(c) for c in ("Company", "KPI", "year", "quarter")])
+    path = new_folder(spark, "answer-store")
+    keyed = pred.select(key.alias("k"), F.col("Revenues").cast("string").alias("a"))
+    answers.write_answer_store(keyed, path, "k", "a", buckets=16)
+    wanted = v.fin_pred(spark, sf).select("Company", F.add_months("Date", F.when(F.month("Date") == 12, 120).otherwise(0)).alias("day"))
+    wanted = wanted.withColumn("k", normalise.answer_key(F.col("Company"), F.lit("Net Revenues"), F.year("day"), F.quarter("day")))
+    found = answers.answers_of(wanted.select("Company", "k"), path, "k")
+    return found.select("Company", F.col("k").alias("key"), F.col("answer").isNotNull().alias("found"), F.col("answer").cast("double").alias("revenues"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -179,6 +192,7 @@ QUERIES = {
         sink_raw_facts,
         sink_parquet_roundtrip,
         sink_two_targets,
+        sink_answer_store,
         sink_upsert_dedupe,
         sink_csv_na_roundtrip,
         sink_json_na_roundtrip,
@@ -210,6 +224,13 @@ ORACLE = {
     "sink_raw_facts": sql('SELECT tag, form, end_dt, "value", uom, accn FROM fin_kept', "fin_kept"),
     "sink_parquet_roundtrip": sql(f"SELECT {_SUP} FROM fin_sup", "fin_sup"),
     "sink_two_targets": sql("SELECT * FROM fin_series", "fin_series"),
+    "sink_answer_store": sql(
+        """, k AS (SELECT Company, CASE WHEN month("Date") = 12 THEN year("Date") + 10 ELSE year("Date") END AS y, quarter("Date") AS q FROM fin_pred)
+           SELECT k.Company, replace(concat(k.Company, '_Net Revenues_', y, 'Q', q, '.json'), ' ', '_') AS key,
+             p.Revenues IS NOT NULL AS found, p.Revenues AS revenues
+           FROM k LEFT JOIN fin_pred p ON k.Company = p.Company AND y = p."year" AND q = p."quarter" """,
+        "fin_pred",
+    ),
     "sink_upsert_dedupe": sql(
         """SELECT Company, "Date", CASE WHEN "quarter" = 1 THEN xgb_point ELSE xgb_point + 20 END AS xgb_point, arima_naive,
              arima_drift, "year", "quarter", "month", Revenues, CASE WHEN "quarter" > 1 THEN xgb_point + 20 - 5 END AS pi_lower,

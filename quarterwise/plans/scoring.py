@@ -30,6 +30,16 @@ def eval_ewma_vol_by_company(spark, sf):
     return _rounded(evaluate.ewma_volatility_by_entity(v.fin_pred(spark, sf), residual), 2, "sigma")
 
 
+def eval_ewma_incremental(spark, sf):
+    """The same from a stored state of the rows up to the training end and the rows after it."""
+    residual = F.col("Revenues") - F.col("xgb_point")
+    pred = v.predictions(spark, sf)
+    before = F.col("Date") <= v.TRAIN_END
+    state = materialise(evaluate.ewma_state(pred.where(before), residual), "ewma-state")
+    merged = evaluate.merge_ewma_states(state, evaluate.ewma_state(pred.where(~before), residual))
+    return _rounded(evaluate.volatility_of_state(merged), 2, "sigma")
+
+
 def eval_prediction_interval(spark, sf):
     out = evaluate.prediction_interval(v.predictions(spark, sf), "Revenues", ORDER)
     return _rounded(out, 2, "pi_lower", "pi_upper").select("Company", "Date", "xgb_point", "pi_lower", "pi_upper")
@@ -187,6 +197,7 @@ QUERIES = {
         eval_metrics_by_model,
         eval_ewma_vol,
         eval_ewma_vol_by_company,
+        eval_ewma_incremental,
         eval_prediction_interval,
         eval_backtest_metrics,
         report_actual_vs_pred,
@@ -221,6 +232,11 @@ _RESID = """, res AS (SELECT Company, "Date", (Revenues - xgb_point) * (Revenues
     pooled AS (SELECT sqrt(sum((1 - CAST(0.94 AS DOUBLE)) * pow(CAST(0.94 AS DOUBLE), rn - 1) * r2) + 1e-12) AS sigma
       FROM (SELECT r2, row_number() OVER (ORDER BY Company DESC, "Date" DESC) AS rn FROM res))"""
 
+_BY_COMPANY = """ SELECT Company, count(*) AS n_residuals,
+      round(sqrt(sum((1 - CAST(0.94 AS DOUBLE)) * pow(CAST(0.94 AS DOUBLE), rn - 1) * r2) + 1e-12), 2) AS sigma
+    FROM (SELECT Company, r2, row_number() OVER (PARTITION BY Company ORDER BY "Date" DESC) AS rn FROM res)
+    GROUP BY Company"""
+
 
 def _walk_rows_sql(panel: str, exog: str = "", first: int = v.FIRST_WALK) -> str:
     carried = "".join(f", {c}" for c in exog.split())
@@ -251,14 +267,8 @@ _WALK_ROWS = """ SELECT Company, test_date AS "Date", lag_1, lag_2, lag_1 - lag_
 ORACLE = {
     "eval_metrics_by_model": sql(_METRICS, "fin_pred"),
     "eval_ewma_vol": sql(_RESID + " SELECT round(sigma, 2) AS sigma FROM pooled", "fin_pred"),
-    "eval_ewma_vol_by_company": sql(
-        _RESID
-        + """ SELECT Company, count(*) AS n_residuals,
-               round(sqrt(sum((1 - CAST(0.94 AS DOUBLE)) * pow(CAST(0.94 AS DOUBLE), rn - 1) * r2) + 1e-12), 2) AS sigma
-             FROM (SELECT Company, r2, row_number() OVER (PARTITION BY Company ORDER BY "Date" DESC) AS rn FROM res)
-             GROUP BY Company""",
-        "fin_pred",
-    ),
+    "eval_ewma_vol_by_company": sql(_RESID + _BY_COMPANY, "fin_pred"),
+    "eval_ewma_incremental": sql(_RESID + _BY_COMPANY, "fin_pred"),
     "eval_prediction_interval": sql(
         _RESID
         + """ SELECT Company, "Date", xgb_point, round(xgb_point - 1.96::DOUBLE * sigma, 2) AS pi_lower,

@@ -70,6 +70,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(file_system.exists(hadoop_path))
 
 
+def write_note(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """A small text file, written by the driver."""
+    file_system, hadoop_path = file_system_of(spark, path)
+    out = file_system.create(hadoop_path, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    """A small text file, whatever its name."""
+    file_system, hadoop_path = file_system_of(spark, path)
+    source = file_system.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: a cut in its lineage."""
     path = new_folder(df.sparkSession, label)

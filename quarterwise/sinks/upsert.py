@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterwise.operators.neighbours import latest_rows
-from quarterwise.session import file_system_of
+from quarterwise.session import file_system_of, read_note, write_note
 
 # The columns a saved prediction has, and those it may have.
 KEY = ("Company", "Date")
@@ -99,7 +99,7 @@ def _numbers(spark: SparkSession, path: str) -> list[int]:
 
 
 def _version(spark: SparkSession, path: str, number: int) -> Version:
-    text = spark.read.text(f"{path.rstrip('/')}/{_MANIFESTS}/{number:012d}.json", wholetext=True).first()[0]
+    text = read_note(spark, f"{path.rstrip('/')}/{_MANIFESTS}/{number:012d}.json")
     return Version(number, {year: tuple(names) for year, names in json.loads(text).items()})
 
 
@@ -109,9 +109,7 @@ def _publish(spark: SparkSession, path: str, version: Version) -> None:
     at, options = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options
     folder = f"{path.rstrip('/')}/{_MANIFESTS}"
     file_system, draft = file_system_of(spark, f"{folder}/.draft-{uuid.uuid4().hex}")
-    out = file_system.create(draft, False)
-    out.write(bytearray(json.dumps(version.files).encode()))
-    out.close()
+    write_note(spark, draft.toString(), json.dumps(version.files), overwrite=False)
     once = spark.sparkContext._gateway.new_array(options.Rename, 1)
     once[0] = options.Rename.NONE
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())

@@ -175,3 +175,24 @@ def test_interval_keeps_null_forecasts(frame):
 def test_chart_table_takes_the_first_row(frame):
     df = frame("Company string, Date date, actual double, xgb_point double", ("a", dt.date(2001, 1, 1), 9e9, 1e9), ("a", dt.date(2000, 1, 1), 2e9, 3e9))
     assert [tuple(r) for r in evaluate.chart_table(df).collect()] == [("a", 2.0, 3.0)]
+
+
+def test_volatility_from_states_of_batches_equals_that_of_all_rows(spark, frame):
+    rows = [(c, dt.date(2000 + i // 4, 3 * (i % 4) + 1, 1), float((i * 37 + k) % 11 - 5)) for k, c in enumerate("abc") for i in range(20 + k)]
+    whole = frame(SCHEMA, *rows, (None, dt.date(2000, 1, 1), 9.0), ("d", dt.date(2000, 1, 1), None))
+    want = {r.Company: (r.n_residuals, round(r.sigma, 9)) for r in evaluate.ewma_volatility_by_entity(whole, F.col("Revenues")).collect()}
+    cuts = [dt.date(2001, 5, 1), dt.date(2003, 1, 1)]
+    spec = PanelSpec(slice_unit="year")
+    batches = [
+        whole.where(F.col("Date") < cuts[0]),
+        whole.where((F.col("Date") >= cuts[0]) & (F.col("Date") < cuts[1])),
+        whole.where((F.col("Date") >= cuts[1]) & (F.col("Company") != "b")),
+    ]
+    states = [evaluate.ewma_state(b, F.col("Revenues"), spec) for b in batches]
+    left = evaluate.merge_ewma_states(evaluate.merge_ewma_states(states[0], states[1]), states[2])
+    right = evaluate.merge_ewma_states(states[0], evaluate.merge_ewma_states(states[1], states[2]))
+    for state in (left, right):
+        got = {r.Company: (r.n_residuals, round(r.sigma, 9)) for r in evaluate.volatility_of_state(state).collect()}
+        assert {k: got[k] for k in "ac"} == {k: want[k] for k in "ac"} and got["b"][0] == 12
+    with pytest.raises(Exception, match="not later than the state of a"):
+        evaluate.merge_ewma_states(states[1], states[0]).collect()
