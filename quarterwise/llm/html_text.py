@@ -20,9 +20,10 @@ what they hide and end lines, but nest no further layout. Extra columns are left
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,6 +72,8 @@ _SPACE = re.compile(r"[ \t\n\f\r]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 #: The end of a tag that closes itself: a slash that is no part of a value without quotes.
 _CLOSED = re.compile(r"(?<![^\s\"'])/\Z|\A[^=]*/\Z|[\s\"'][^\s=\"']+/\Z")
+# How far a cell may span in HTML.
+SPAN_LIMITS = (("colspan", 1000), ("rowspan", 65534))
 DEEPEST = 512
 WRAP = 80
 
@@ -93,6 +96,8 @@ class Flow:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
+        #: Places of lines that a table has aligned.
+        self.aligned: set[int] = set()
         self.line: list[str] = []
         self.space = False
         self.gap = 0
@@ -148,15 +153,68 @@ class Flow:
         """Finished lines of a table."""
         for line in lines:
             self._put(line)
+            self.aligned.add(len(self.lines) - 1)
+
+    def narrow(self) -> list[str]:
+        """The lines, those that are too long wrapped; lines of a table within stay, as wrapping would move its columns."""
+        lines = []
+        for at in self._visible():
+            line = self.lines[at]
+            lines += [line] if at in self.aligned or len(line) <= WRAP else wrapped(line)
+        return lines
 
     def done(self) -> list[str]:
+        return [self.lines[at] for at in self._visible()]
+
+    def _visible(self) -> range:
+        """Places of the lines without empty ones at either end."""
         self.rest()
         lo, hi = 0, len(self.lines)
         while lo < hi and not self.lines[lo].strip():
             lo += 1
         while hi > lo and not self.lines[hi - 1].strip():
             hi -= 1
-        return self.lines[lo:hi]
+        return range(lo, hi)
+
+
+class Spans:
+    """Columns that cells of earlier rows reach down into, as runs in rising order that do not touch."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # a heap of (first row that is free again, start, end)
+
+    def reach(self, row: int) -> None:
+        """Free what ends before this row."""
+        while self.until and self.until[0][0] <= row:
+            _, start, end = heapq.heappop(self.until)
+            at = bisect_right(self.starts, start) - 1
+            whole = (self.starts[at], self.ends[at])
+            left = [(a, b) for a, b in ((whole[0], start), (end, whole[1])) if a < b]
+            self.starts[at : at + 1], self.ends[at : at + 1] = [a for a, _ in left], [b for _, b in left]
+
+    def free(self, column: int) -> tuple[int, int | None]:
+        """The first free column from here on, and where the next run starts."""
+        at = bisect_right(self.starts, column) - 1
+        if at >= 0 and self.ends[at] > column:
+            column = self.ends[at]
+        after = bisect_right(self.starts, column)
+        return column, self.starts[after] if after < len(self.starts) else None
+
+    def add(self, start: int, end: int, row: int) -> None:
+        """Take free columns until `row`; runs that touch become one."""
+        heapq.heappush(self.until, (row, start, end))
+        at = bisect_left(self.starts, start)
+        if at and self.ends[at - 1] == start:
+            at -= 1
+            start = self.starts[at]
+            del self.starts[at], self.ends[at]
+        if at < len(self.starts) and self.starts[at] == end:
+            end = self.ends[at]
+            del self.starts[at], self.ends[at]
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
 
 
 class Table:
@@ -175,41 +233,50 @@ class Table:
         return flow
 
     def laid_out(self) -> list[str]:
-        """Lines with cells in columns; spanned places stay empty."""
-        grid: list[list[tuple[int, int, list[str]]]] = []
-        taken: dict[int, int] = {}
-        for row in self.rows:
-            column, placed, below = 0, [], {}
+        """Lines with cells in columns; spanned places stay empty.
+
+        A column starts where every cell that ends before it has ended. The cost follows the number of cells, whatever they span.
+        """
+        grid: list[list[tuple[int, int, Flow]]] = []
+        spans = Spans()
+        for number, row in enumerate(self.rows):
+            spans.reach(number)
+            column, placed, below = 0, [], []
             for flow, across, down in row:
-                while taken.get(column, 0) > 0:
-                    column += 1
-                lines = flow.done()
-                placed.append((column, across, lines))
+                column, bound = spans.free(column)
+                placed.append((column, across, flow))
                 if down > 1:
-                    below.update({column + k: down for k in range(across)})
+                    # a cell that runs into one from above reaches down beside it only
+                    below.append((column, column + across if bound is None else min(column + across, bound), number + down))
                 column += across
-            taken = {k: v - 1 for k, v in taken.items() if v > 1} | {k: v - 1 for k, v in below.items()}
+            for start, end, until in below:
+                spans.add(start, end, until)
             grid.append(placed)
         last = max((c for row in grid for c, _, _ in row), default=0)
-        widths: dict[int, int] = {}
+        columns = sorted({c for row in grid for c, _, _ in row})
+        widths: dict[int, dict[int, int]] = {}
+        drawn: list[list[tuple[int, list[str]]]] = []
         for row in grid:
-            for k, (column, across, lines) in enumerate(row):
-                if column + across <= last and max(map(len, lines), default=0) > WRAP:
-                    lines = [part for line in lines for part in wrapped(line)]
-                    row[k] = (column, across, lines)
-                if across == 1 and column < last:
-                    widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
-        columns = sorted({c for row in grid for c, _, _ in row} | set(widths))
-        start, at = {}, 0
+            drawn.append([])
+            for column, across, flow in row:
+                lines = flow.narrow() if column + across <= last else flow.done()
+                drawn[-1].append((column, lines))
+                cells = widths.setdefault(column, {})
+                cells[across] = max(cells.get(across, 0), *map(len, lines), 0)
+        start: dict[int, int] = {}
+        at, due = 0, {}
         for c in columns:
-            start[c] = at
-            at += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
+            at = start[c] = max(at, due.get(c, 0))
+            for across, width in widths[c].items():
+                after = bisect_left(columns, c + across)
+                if width and after < len(columns):
+                    due[columns[after]] = max(due.get(columns[after], 0), at + width + 2)
         out = self.caption.done() if self.caption else []
-        for placed in grid:
-            for k in range(max((len(lines) for _, _, lines in placed), default=0)):
+        for cells in drawn:
+            for k in range(max((len(lines) for _, lines in cells), default=0)):
                 line = ""
-                placed = [x for x in placed if k < len(x[2])]
-                for column, _, lines in placed:
+                cells = [x for x in cells if k < len(x[1])]
+                for column, lines in cells:
                     if lines[k]:
                         line = line.ljust(start[column]) if len(line) <= start[column] else line + "  "
                         line += lines[k]
@@ -308,7 +375,7 @@ class Page:
         if tag in APART and self.foreign:
             self.text(" ")
         if tag in ("td", "th") and self.tables:
-            across, down = (min(1000, max(1, _number(attributes.get(x), 1))) for x in ("colspan", "rowspan"))
+            across, down = (min(most, max(1, _number(attributes.get(x), 1))) for x, most in SPAN_LIMITS)
             self.flow = self.tables[-1].cell(across, down)
             return flow
         if tag == "tr" and self.tables:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,7 +24,7 @@ CASES = [
     ("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>", "a     bbb\ncccc  d"),
     ("<table><td>a<td>b</table>", "a  b"),
     ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"),
-    ("<table><tr><td colspan=2>wide cell<td>z<tr><td>1<td>2<td>3</table>", "wide cell  z\n1  2  3"),
+    ("<table><tr><td colspan=2>wide cell<td>z<tr><td>1<td>2<td>3</table>", "wide cell  z\n1  2       3"),
     ("<table><tr><td>x<table><tr><td>in<td>ner</table><td>y</table>", "x        y\n\nin  ner"),
     ("<table>stray<tr><td>a</table>", "stray\n\na"),
     ("<pre> a\n  b</pre>c", " a\n  b\n\nc"),
@@ -134,3 +136,71 @@ def test_frame(spark):
     assert got[0] == (1, "u", "a\n\nb", 4, 3, 0, 0) and got[1:] == [(2, None, "", 0, 0, 0, 0)] * 2
     assert ht.extract_text(pages.limit(0)).count() == 0
     assert html.unescape("&copy;") == shown("&copy;")
+
+
+def drawn_plainly(table):
+    """Lines of a table of (text, colspan, rowspan) cells, by a set of taken places and repeated relaxation of column starts."""
+    taken, placed = set(), []
+    for r, row in enumerate(table):
+        column = 0
+        for text, across, down in row:
+            while (r, column) in taken:
+                column += 1
+            free = next((k for k in range(across) if (r, column + k) in taken), across)
+            taken |= {(r + i, column + k) for i in range(1, down) for k in range(free)}
+            placed.append((r, column, across, text))
+            column += across
+    columns = sorted({c for _, c, _, _ in placed})
+    start = dict.fromkeys(columns, 0)
+    for _ in columns:
+        for a, b in zip(columns, columns[1:]):
+            start[b] = max(start[b], start[a])
+        for _, c, across, text in placed:
+            after = [x for x in columns if x >= c + across]
+            if after and text:
+                start[after[0]] = max(start[after[0]], start[c] + len(text) + 2)
+    lines = []
+    for r in range(len(table)):
+        line = ""
+        for row, c, _, text in placed:
+            if row == r and text:
+                line = line.ljust(start[c]) if len(line) <= start[c] else line + "  "
+                line += text
+        if any(row == r and text for row, _, _, text in placed):
+            lines.append(line)
+    while lines and not lines[0].strip():
+        lines.pop(0)
+    while lines and not lines[-1].strip():
+        lines.pop()
+    return lines
+
+
+def test_tables_against_a_plain_layout():
+    pick = random.Random(4)
+    for _ in range(300):
+        table = []
+        for _ in range(pick.randint(1, 6)):
+            cell = lambda: ("x" * pick.choice([0, 1, 3, 9, 20]), pick.choice([1, 1, 1, 2, 3]), pick.choice([1, 1, 1, 2, 4]))
+            table.append([cell() for _ in range(pick.randint(1, 5))])
+        rows = "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in row) for row in table)
+        assert shown(f"<table>{rows}</table>").split("\n") == (drawn_plainly(table) or [""]), table
+
+
+def test_cells_that_span_columns_hold_them_apart():
+    source = "<table><tr><td colspan=2>long spanning heading cell<td>C<tr><td>a<td>b<td>c</table>"
+    head, row = shown(source).split("\n")
+    assert head.index("C") == row.index("c")
+
+
+def test_a_nested_table_keeps_its_columns():
+    inner = "<table>" + "".join(f"<tr><td>{c * 60}<td>{c.upper() * 60}" for c in "ab") + "</table>"
+    lines = shown(f"<table><tr><td>{inner}<td>side</table>").split("\n")
+    assert lines == ["a" * 60 + "  " + "A" * 60 + "  side", "b" * 60 + "  " + "B" * 60]
+
+
+@pytest.mark.parametrize("rows, cells", [(1, 3000), (3000, 1), (60, 50)])
+def test_thousands_of_spanning_cells_take_no_time(rows, cells):
+    source = "<table>" + ("<tr>" + "<td colspan=1000 rowspan=65534>x" * cells) * rows + "</table>"
+    begun = time.process_time()
+    text = shown(source)
+    assert time.process_time() - begun < 1 and text.count("x") == 3000
