@@ -9,7 +9,7 @@ from quarterwise.operators import clean, features, splits
 from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
 from quarterwise.session import materialise
-from quarterwise.spec import PanelSpec
+from quarterwise.spec import MODEL_FEATURES, PanelSpec
 
 _SERIES = 'Company, "Date", Revenues, OperatingExpenses, GrossProfit, Assets, StockholdersEquity'
 _RATES = 'lag_1, lag_2, diff_1, growth_1, mean_2'
@@ -99,6 +99,13 @@ def feature_coverage(spark, sf):
     return features.feature_coverage(sup)
 
 
+def feature_present(spark, sf):
+    """Rows complete in those of the asked features that the irregular panel has: it has no exogenous columns."""
+    feats = features.timeseries_features(v.fin_sparse(spark, sf), v.SPARSE)
+    found = features.present_features(feats, MODEL_FEATURES)
+    return clean.complete_cases(feats.select("Company", "Date", *found), found)
+
+
 def last_n_per_entity(spark, sf):
     return features.last_n(v.fin_sparse(spark, sf), 10, spec=v.SPARSE)
 
@@ -144,6 +151,7 @@ QUERIES = {
         feat_leakage_contrast,
         feat_calendar,
         feature_coverage,
+        feature_present,
         last_n_per_entity,
         preview_head,
         split_chronological,
@@ -233,6 +241,14 @@ ORACLE = {
         strftime(o_orderdate, '%Y-%m-%d') AS date_text,
         CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end FROM orders""",
     "feature_coverage": sql(_COVERAGE, "fin_sup"),
+    "feature_present": sql(
+        """, l AS (SELECT Company, "Date", Revenues, lag(Revenues, 1) OVER w AS lag_1, lag(Revenues, 2) OVER w AS lag_2
+             FROM fin_sparse WINDOW w AS (PARTITION BY Company ORDER BY "Date")),
+           r AS (SELECT Company, "Date", lag_1, lag_2, Revenues - lag_1 AS diff_1, Revenues / nullif(lag_1, 0) - 1 AS growth_1,
+             (Revenues + lag_1) / 2 AS mean_2, CAST(month("Date") AS INTEGER) AS "month", CAST(year("Date") AS INTEGER) AS "year" FROM l)
+           SELECT * FROM r WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND diff_1 IS NOT NULL AND growth_1 IS NOT NULL AND mean_2 IS NOT NULL""",
+        "fin_sparse",
+    ),
     "last_n_per_entity": sql(
         """, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY Company ORDER BY "Date" DESC) AS INTEGER) AS rank_from_end
              FROM fin_sparse)
