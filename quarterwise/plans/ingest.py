@@ -13,7 +13,7 @@ from quarterwise.plans import views as v
 from quarterwise.plans.sql import sql
 from quarterwise.session import new_folder
 from quarterwise.sinks import answers, files, upsert
-from quarterwise.sources import filings, records
+from quarterwise.sources import filings, large_json, records
 
 _RAW = ["Date", "Revenues", "OperatingExpenses", "GrossProfit", "Assets", "StockholdersEquity"]
 _FACT = ["Company", "tag", "form", "end_dt", "value", "uom", "accn"]
@@ -23,7 +23,11 @@ def _facts_out(df, *more):
     return df.withColumn("end_dt", F.col("end").cast("date")).select(*_FACT, *more)
 
 
-def src_json_panel(spark, sf):
+#: Small ranges, so that even the small tables here make files of many.
+_SPLIT_BYTES = 16_384
+
+
+def _panel_arrays(spark, sf):
     """JSON array files, one per company, with numbers unquoted beside 'N/A' texts."""
     raw = v.fin_raw(spark, sf)
     # a company has at most one row per quarter here, so its array is bounded by the calendar
@@ -31,7 +35,17 @@ def src_json_panel(spark, sf):
     text = F.regexp_replace(F.to_json("rows"), r':"(-?[0-9][0-9.E]*)"', ":$1")
     path = new_folder(spark, "json-panel")
     arrays.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return clean.clean_panel(records.read_json_panel(spark, path, lines=False))
+    return path
+
+
+def src_json_panel(spark, sf):
+    return clean.clean_panel(records.read_json_panel(spark, _panel_arrays(spark, sf), lines=False))
+
+
+def src_json_split(spark, sf):
+    """The same arrays, each read in many ranges."""
+    schema = records.text_schema(["Company", *_RAW])
+    return clean.clean_panel(large_json.read_json_array(spark, _panel_arrays(spark, sf), schema, _SPLIT_BYTES))
 
 
 def src_tagged_files(spark, sf):
@@ -58,6 +72,13 @@ def src_company_facts(spark, sf):
     return _facts_out(filings.read_company_facts(spark, path, v.FACT_TAGS))
 
 
+def src_facts_split(spark, sf):
+    """The same documents, several to a file, read in ranges that cut through them."""
+    path = new_folder(spark, "large-facts")
+    _fact_documents(v.fin_facts(spark, sf)).write.json(path)
+    return _facts_out(large_json.read_large_facts(spark, path, v.FACT_TAGS, _SPLIT_BYTES))
+
+
 def src_filings_zip(spark, sf):
     """Parallel arrays of which one is longer than the others; the surplus is not paired."""
     names = ["form", "filingDate", "reportDate", "accessionNumber"]
@@ -181,8 +202,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_json_panel,
+        src_json_split,
         src_tagged_files,
         src_company_facts,
+        src_facts_split,
         src_filings_zip,
         facts_filter,
         facts_allowed_filings,
@@ -208,8 +231,10 @@ _LATEST = """SELECT * FROM fin_kept WHERE end_dt IN (SELECT DISTINCT end_dt FROM
 
 ORACLE = {
     "src_json_panel": sql("SELECT * FROM fin_clean", "fin_clean"),
+    "src_json_split": sql("SELECT * FROM fin_clean", "fin_clean"),
     "src_tagged_files": sql("SELECT * FROM fin_clean", "fin_clean"),
     "src_company_facts": sql(f"SELECT {_F} FROM fin_facts", "fin_facts"),
+    "src_facts_split": sql(f"SELECT {_F} FROM fin_facts", "fin_facts"),
     "src_filings_zip": sql("SELECT * FROM fin_filings", "fin_filings"),
     "facts_filter": sql(f"SELECT {_F}, ord FROM fin_kept", "fin_kept"),
     "facts_allowed_filings": sql("SELECT * FROM fin_allowed", "fin_allowed"),

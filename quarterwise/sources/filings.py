@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from quarterwise.operators.facts import TAGS
 
 # The shape of the two kinds of document.
-FACTS_SCHEMA = """
+FACT_SCHEMA = "form string, `end` string, val double, accn string"
+FACTS_SCHEMA = f"""
     Company string,
     facts struct<`us-gaap`: map<string, struct<units: map<string, array<
-        struct<form: string, `end`: string, val: double, accn: string>>>>>>
+        struct<{FACT_SCHEMA}>>>>>>
 """
 FILINGS_SCHEMA = """
     Company string,
