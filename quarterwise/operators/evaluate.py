@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterwise.functions.numbers import rmse
+from quarterwise.operators.neighbours import in_slices
 from quarterwise.spec import PanelSpec
 
 # The forecast column behind each model name, the decay, the variance
@@ -84,7 +85,7 @@ def ewma_state(df: DataFrame, residual: Column, spec: PanelSpec = PanelSpec(), d
 
     Where `spec` declares slices, the sum is made slice by slice, so that a long history is split.
     """
-    slices = spec.slice_expr(df)
+    df, _, slices = in_slices(df, spec)
     rows = df.where(F.col(spec.entity).isNotNull()).select(
         spec.entity,
         (F.lit(0) if slices is None else slices).alias("slice"),

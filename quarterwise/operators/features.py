@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterwise.functions.numbers import growth
-from quarterwise.operators.neighbours import latest_rows, with_neighbours
-from quarterwise.spec import LAG_FEATURES, PanelSpec
+from quarterwise.operators.neighbours import in_slices, latest_rows, with_neighbours
+from quarterwise.spec import LAG_FEATURES, POSITION, PanelSpec
 
 # The calendar columns of a supervised table, in this order.
 SUPERVISED_CALENDAR = ("year", "quarter", "month")
@@ -25,7 +25,8 @@ def add_calendar(df: DataFrame, spec: PanelSpec = PanelSpec(), quarter: bool = T
 
 def _lags(df, spec, extra=None):
     wanted = {"lag_1": (spec.kpi, -1), "lag_2": (spec.kpi, -2), **(extra or {})}
-    return with_neighbours(df, spec.keys, [spec.time, spec.tie(df)], spec.slice_expr(df), wanted)
+    rows, order, slices = in_slices(df, spec)
+    return with_neighbours(rows, spec.keys, order, slices, wanted).drop(POSITION)
 
 
 def _rates(kpi: Column) -> dict[str, Column]:
@@ -118,13 +119,8 @@ def _supervised_columns(df, spec):
 
 def leakage_contrast(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """The same lag beside a same-period target and beside a next-period target."""
-    out = with_neighbours(
-        df,
-        spec.keys,
-        [spec.time, spec.tie(df)],
-        spec.slice_expr(df),
-        {"lag_1": (spec.kpi, -1), "y_next": (spec.kpi, 1)},
-    )
+    rows, order, slices = in_slices(df, spec)
+    out = with_neighbours(rows, spec.keys, order, slices, {"lag_1": (spec.kpi, -1), "y_next": (spec.kpi, 1)})
     kpi, lag, nxt = F.col(spec.kpi), F.col("lag_1"), F.col("y_next")
     return out.where(lag.isNotNull()).select(
         spec.entity,

@@ -14,7 +14,7 @@ Every slice has at least one row, so the k slices before it always hold the k ro
 before its first row. The result equals the plain window, row for row.
 
 Sliced, the input is read twice, the second time for the key, order and value columns only;
-store it first if it is costly to compute. Without slices it is one exchange and one pass.
+store it first if it is costly to compute (`in_slices` does where slices go by position). Without slices it is one exchange and one pass.
 """
 
 from __future__ import annotations
@@ -24,11 +24,30 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterwise.session import materialise
+from quarterwise.spec import POSITION, POSITION_UNIT, PanelSpec
+
 _SLICE = "__slice"
 _RN = "__rn"
 _AFTER = "__after"
 
 
+def in_slices(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, list[str | Column], Column | None]:
+    """What `with_neighbours` takes: rows, their order within an entity, and the slices the spec declares.
+
+    By position, the rows are stored in the order of (entity, time, tie, number), cut into ranges by
+    Spark's sample of them. Each row has a number of its own, so that even rows equal in every column are cut. The
+    rows are stored before the sample is taken: a lost task then finds the same numbers again.
+    """
+    if spec.slice_unit != POSITION_UNIT:
+        return df, [spec.time, spec.tie(df)], spec.slice_expr(df)
+    told_apart = materialise(df.withColumn(POSITION, F.monotonically_increasing_id()), "numbered")
+    order = [*[F.col(k) for k in spec.keys], F.col(spec.time).asc_nulls_last(), spec.tie(df), F.col(POSITION)]
+    ranges = told_apart.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialise(ranges.withColumn(POSITION, F.monotonically_increasing_id()), "positions")
+    return stored, [POSITION], spec.slice_expr(stored)
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

@@ -83,6 +83,12 @@ def feat_timeseries_sliced(spark, sf):
     return features.timeseries_features(v.sparse_panel(spark, sf), spec)
 
 
+def feat_timeseries_by_position(spark, sf):
+    """The same features with slices cut by stored position."""
+    spec = PanelSpec(exog=(), slice_unit="position")
+    return features.timeseries_features(v.sparse_panel(spark, sf), spec)
+
+
 def feat_leakage_contrast(spark, sf):
     return features.leakage_contrast(v.fin_series(spark, sf))
 
@@ -143,6 +149,7 @@ QUERIES = {
         feat_timeseries,
         feat_timeseries_sparse,
         feat_timeseries_sliced,
+        feat_timeseries_by_position,
         feat_baselines,
         feat_supervised,
         feat_supervised_strict,
@@ -280,4 +287,4 @@ ORACLE = {
         "fin_series",
     ),
 }
-ORACLE["feat_timeseries_sliced"] = ORACLE["feat_timeseries_sparse"]
+ORACLE["feat_timeseries_by_position"] = ORACLE["feat_timeseries_sliced"] = ORACLE["feat_timeseries_sparse"]

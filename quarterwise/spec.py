@@ -15,6 +15,9 @@ EXOG = ("OperatingExpenses", "GrossProfit", "Assets", "StockholdersEquity")
 LAG_FEATURES = ("lag_1", "lag_2", "diff_1", "growth_1", "mean_2")
 MODEL_FEATURES = (*LAG_FEATURES, "month", "year", *EXOG)
 
+#: Column with the place of a stored row in its order, and the slice unit that goes by it.
+POSITION, POSITION_UNIT = "__position", "position"
+
 
 @dataclass(frozen=True)
 class PanelSpec:
@@ -26,7 +29,9 @@ class PanelSpec:
     many tasks at the cost of a second pass. `tie_slices` above 1 also cuts the rows of one
     (entity, time) by a hash; use it for tables that break the one-row-per-key rule with
     very many rows on one date. Rows that are equal in KPI and exogenous columns too share
-    their hash and are not cut further.
+    their hash and are not cut further. `slice_unit` "position" cuts by the place in a stored
+    order instead, at the cost of storing the rows twice: slices are of like size whatever the
+    dates and however many rows are equal.
     """
 
     entity: str = ENTITY
@@ -55,6 +60,8 @@ class PanelSpec:
         """
         if self.slice_unit == "none" and self.tie_slices <= 1:
             return None
+        if self.slice_unit == POSITION_UNIT:
+            return F.shiftright(F.col(POSITION), 33)  # the range; see neighbours.in_slices
         bits = F.shiftright(self.tie(df), 58)  # -32..31, in the order of the hash
         t = F.col(self.time)
         if self.tie_slices > 1:

@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarterwise.operators.chat import with_history
-from quarterwise.operators.features import last_row_features, supervised, timeseries_features
-from quarterwise.operators.neighbours import latest_rows, with_neighbours
+from quarterwise.operators.evaluate import ewma_state
+from quarterwise.operators.features import last_row_features, leakage_contrast, supervised, timeseries_features
+from quarterwise.operators.neighbours import in_slices, latest_rows, with_neighbours
 from quarterwise.spec import PanelSpec
 
 SCHEMA = "Company string, Date date, Revenues double, Assets double"
@@ -59,6 +60,35 @@ def test_many_rows_on_one_date(spark):
     assert out.select("lag_1").distinct().count() == 3000  # each value is the lag of one row
 
 
+@pytest.mark.parametrize("day", [dt.date(2000, 3, 31), None])
+def test_equal_rows_are_cut_by_position(spark, day):
+    rows = [("hot", day, 7.0, 0.0)] * 10_000 + [("hot", dt.date(1999, 3, 31), 1.0, 0.0), ("x", day, 2.0, None), (None, day, 1.0, 1.0)]
+    panel = spark.createDataFrame(rows, SCHEMA)
+    spec = PanelSpec(exog=("Assets",), slice_unit="position")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stored, order, slices = in_slices(panel, spec)
+        sizes = [r["count"] for r in stored.where("Company = 'hot'").groupBy(slices).count().collect()]
+        out = timeseries_features(panel, spec)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) > 30 and max(sizes) < 1000 and sum(sizes) == 10_001
+    want = timeseries_features(panel, PanelSpec(exog=("Assets",)))
+    assert out.columns == want.columns
+    assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
+
+
+def test_other_operators_take_slices_by_position(spark):
+    panel, spec = _panel(spark), PanelSpec(slice_unit="position")
+    for make in (supervised, leakage_contrast):
+        got, want = make(panel, spec=spec), make(panel)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    states = [{r.Company: r.weighted for r in ewma_state(panel, F.col("Revenues"), s).collect()} for s in (spec, PanelSpec())]
+    assert states[0] == pytest.approx(states[1])
+
+
 def test_undated_rows_are_spread(spark):
     rows = [("a", None, float(i), 0.0) for i in range(1000)]
     panel = spark.createDataFrame(rows, SCHEMA)
