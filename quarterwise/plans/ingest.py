@@ -23,8 +23,8 @@ def _facts_out(df, *more):
     return df.withColumn("end_dt", F.col("end").cast("date")).select(*_FACT, *more)
 
 
-#: Small ranges, so that even the small tables here make files of many.
-_SPLIT_BYTES = 16_384
+#: Small ranges, so that files made of the smaller tables are cut too; the session's setting suits large files.
+_SPLIT_BYTES = 1 << 18
 
 
 def _panel_arrays(spark, sf):
