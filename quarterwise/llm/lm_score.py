@@ -43,8 +43,10 @@ WIDE_PASSES = 5
 KNOWN = 200_000
 #: Pairs whose counts are broadcast at most.
 COMMON = 65_536
-#: Bytes of text whose pairs are added up before they are dealt.
-SLICE = 8_000_000
+#: Bytes of text whose words or pairs are added up before they are dealt; numpy takes some 60 times as much.
+SLICE = 1_000_000
+#: Bytes of text whose n-grams are exploded together; numpy and the rows take some 100 times as much.
+EXPLODED = 500_000
 #: Parts over which the rows of a common pair are dealt.
 SALTS = 1024
 _U = np.uint64
@@ -130,7 +132,7 @@ def _explode_pairs(id_type: str, words_known, pairs_known, backoff: float, leave
     names = ["doc_id", "tie", "pair", "n", "context_left", "word_left", "context", "word", "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, ["doc_id", "tie", "text"]):
+        for batch in rows_of(batches, ["doc_id", "tie", "text"], EXPLODED):
             words = split_words(batch.column("text"), ALNUM, lower=True)
             before, hashes = _grams(words, hash_words(words), 2)
             texts = np.repeat(np.arange(batch.num_rows), words.counts())
@@ -249,7 +251,7 @@ def _explode(id_type: str, order: int, passes: int, turn: int, words_known, pair
     schema += "".join(f", {c} int" for c in [*owns, *contexts]) + ", context_left long, word_left long, pair_times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, ["doc_id", "tie", "text"]):
+        for batch in rows_of(batches, ["doc_id", "tie", "text"], EXPLODED):
             words = split_words(batch.column("text"), ALNUM, lower=True)
             hashes = hash_words(words)
             texts = np.repeat(np.arange(batch.num_rows), words.counts())

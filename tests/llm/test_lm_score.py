@@ -1,8 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarterwise.llm import lm_score as lm
@@ -69,3 +73,24 @@ def test_one_document_and_none(documents):
     assert lm.score_documents(documents().limit(0), passes=1).count() == 0
     with pytest.raises(ValueError):
         lm.score_documents(documents((1, "a")), order=1)
+
+
+def test_memory_of_a_task_stays_small_beside_its_batch():
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(50_000)) for _ in range(2000)) for _ in range(700)]  # 8 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(700), "tie": range(700), "text": texts})
+    none = SimpleNamespace(value=(np.zeros(0, np.int64),) * 3)
+    runs = {
+        "pairs": lm._explode_pairs("bigint", none, none, 0.4, True)[0],
+        "wide": lm._explode("bigint", 3, 1, 0, none, none, True)[0],
+        "survey": lm._survey("bigint")[0],
+        "count": lm._count_pairs,
+    }
+    for name, run in runs.items():
+        list(run(iter([batch.slice(0, 1)])))  # tables that are kept
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000, (name, peak)
