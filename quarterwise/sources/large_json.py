@@ -8,11 +8,12 @@ than its range:
 
   pieces (stored) -> per range: quotes, braces opened, for both ways a range may begin
                   -> over ranges: how each begins
-                  -> per range: objects ended, last keys -> over ranges: carried on
+  placed (stored) -> per range: objects ended, last keys -> over ranges: carried on
                   -> pieces of one object meet by its number
 
 A backslash never stands before `}` as the first half of an escape in valid JSON, so a piece
-holds whole escapes. The text is stored once, and shuffled for its order and to meet.
+holds whole escapes. The text is looked at once to count and once to place it, and stored after
+each; it is shuffled for its order, twice, and to meet. Totals are made without it.
 """
 
 from __future__ import annotations
@@ -62,13 +63,16 @@ def read_json_objects(
     UTF-8 and, to be split, not compressed.
     """
     pieces = _pieces(spark, path, split_bytes)
-    placed = _placed(pieces, depth)
+    placed = _placed(pieces, depth, member is not None)
     levels = range(1, depth + 2) if depth else []
-    if levels or member:
-        placed = placed.withColumn("masked", F.when(F.col("b") <= depth, _masked()))
-    placed = placed.withColumns({f"k{n}": _key(n) for n in levels})
+    placed = _with_keys(placed, levels)
     if member:
         placed = placed.withColumn("member", _member(member))
+    # three totals read this, two of them without the text; what only closes a brace between objects counts nowhere
+    counts = (F.col("ends") > 0) | (F.col("docs") > 0) | (F.col("b") > depth) | (F.col("o") > 0)
+    if member:
+        counts = counts | (F.col("b") <= 1)
+    placed = materialise(placed.where(counts).drop("piece", "masked", "h", "b", "o"), "json-placed")
     last = {f"k{n}": F.max_by(f"k{n}", F.when(F.col(f"k{n}").isNotNull(), F.col("pos"))).alias(f"k{n}") for n in levels}
     totals = placed.groupBy(*_RANGE).agg(F.sum("ends").alias("ends"), F.sum("docs").alias("docs"), *last.values())
     carried = totals.select(
@@ -101,7 +105,7 @@ def read_json_objects(
 
 
 def _pieces(spark: SparkSession, path: str, split_bytes: int | None) -> DataFrame:
-    """Stored pieces in file order, with their quotes and the braces opened in their even and odd parts."""
+    """Stored pieces in file order, with their bytes, quotes and the braces opened in their even and odd parts."""
     text = spark.read.option("lineSep", "}").text(path)
     raw = text.select(
         F.col("_metadata.file_path").alias("file"),
@@ -110,11 +114,12 @@ def _pieces(spark: SparkSession, path: str, split_bytes: int | None) -> DataFram
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("piece"),
     )
-    counted = raw.select(
-        "*",
-        (F.size(_parts()) - 1).alias("quotes"),
-        _count(F.array_join(F.filter(_parts(), lambda s, i: i % 2 == 0), "")).alias("open0"),
-        _count(F.array_join(F.filter(_parts(), lambda s, i: i % 2 == 1), "")).alias("open1"),
+    counted = raw.withColumn("bare", _bare())
+    counted = counted.withColumns({"quotes": _count("bare", '"'), "open": _count("bare", "{")})
+    outside = F.regexp_replace("bare", '"[^"]*("|$)', "")
+    counted = counted.withColumn("open0", F.when((F.col("open") == 0) | (F.col("quotes") == 0), F.col("open")).otherwise(_count(outside, "{")))
+    counted = counted.select(
+        *raw.columns, F.octet_length("piece").alias("bytes"), "quotes", "open0", (F.col("open") - F.col("open0")).alias("open1")
     )
     before = spark.conf.get(_SPLIT)
     if split_bytes:
@@ -125,13 +130,19 @@ def _pieces(spark: SparkSession, path: str, split_bytes: int | None) -> DataFram
         spark.conf.set(_SPLIT, before)
 
 
+def _bare() -> Column:
+    """The piece with two plain characters for each escape."""
+    return F.when(F.instr("piece", "\\") == 0, F.col("piece")).otherwise(F.regexp_replace("piece", r"(?s)\\.", "xx"))
+
+
 def _parts() -> Column:
     """The text between quotes; escapes count as two plain characters."""
-    return F.split(F.regexp_replace("piece", r"(?s)\\.", "xx"), '"')
+    return F.split(_bare(), '"')
 
 
-def _count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+def _count(text: Column | str, what: str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
 def _step(inside: Column) -> Column:
@@ -139,13 +150,16 @@ def _step(inside: Column) -> Column:
     return F.when(inside == 0, F.col("open0")).otherwise(F.col("open1")) - F.when((inside + F.col("quotes")) % 2 == 0, 1).otherwise(0)
 
 
-def _placed(pieces: DataFrame, depth: int) -> DataFrame:
-    """Each piece with `h` (1: begins inside a string), `b` (depth before it), `o` (braces it opens), what it ends, and its `body`."""
+def _placed(pieces: DataFrame, depth: int, member: bool) -> DataFrame:
+    """Each piece with `h` (1: begins inside a string), `b` (depth before it), `o` (braces it opens), what it ends, and its `body`.
+
+    `masked` is the piece with its strings masked as far as a brace that opens `depth` + 1 or less, or a member, is looked for.
+    """
     flips = pieces.withColumn("flips", _before("quotes") % 2)
     ranges = flips.groupBy(*_RANGE).agg(
         (F.sum("quotes") % 2).alias("q"),
         *[F.sum(_step((F.col("flips") + h) % 2)).alias(f"step{h}") for h in (0, 1)],
-        F.sum(F.octet_length("piece") + 1).alias("read"),
+        F.sum(F.col("bytes") + 1).alias("read"),
         F.max("size").alias("size"),
     )
     begun = ranges.withColumn("h0", _ranges_before("q") % 2)
@@ -166,13 +180,19 @@ def _placed(pieces: DataFrame, depth: int) -> DataFrame:
             "o": F.when(F.col("h") == 0, F.col("open0")).otherwise(F.col("open1")),
         }
     )
+    # mostly a piece has no string, or opens its object before any: there is nothing to mask up to that brace
+    plain = F.col("quotes") == 0
+    if depth > 1 or not member:
+        plain = plain | ((F.col("b") == depth) & (F.instr(_up_to(F.col("piece"), F.lit(1)), '"') == 0))
+    masked = F.when((F.col("h") == 0) & plain, F.col("piece")).otherwise(_masked())
+    out = out.withColumn("masked", F.when(F.col("b") <= depth, masked))
     after, closes = F.col("b") + F.col("step"), F.col("step") < F.col("o")
     opening = F.lit(depth + 1) - F.col("b")
     body = F.when(F.col("b") > depth, F.col("piece")).when(
-        opening <= F.col("o"), F.substr("piece", F.length(_up_to(_masked(), opening)) + 1)
+        opening <= F.col("o"), F.substr("piece", F.length(_up_to(F.col("masked"), opening)) + 1)
     )
     return out.select(
-        *_RANGE, "pos", "piece", "h", "b", "o",
+        *_RANGE, "pos", "piece", "masked", "h", "b", "o",
         (closes & (after == depth)).cast("int").alias("ends"),
         (closes & (after == 0)).cast("int").alias("docs"),
         body.alias("body"),
@@ -196,15 +216,28 @@ def _plain(text: Column) -> Column:
     return F.when(F.instr(text, "\\") == 0, text).otherwise(F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), T.ArrayType(T.StringType()))[0])
 
 
-def _key(level: int) -> Column:
-    """The key before the brace that opens `level`, NULL if this piece opens none or it has no key."""
-    before = _up_to(F.col("masked"), F.lit(level) - F.col("b"))
-    tail = F.regexp_extract(before, r'"[^"]*"\s*:[\s\[]*$', 0)
-    raw = F.substr("piece", F.length(before) - F.length(tail) + 1, F.length(tail))
-    cut = (F.col("h") == 1) & F.rlike(before, F.lit(r'^[^"]*"\s*:[\s\[]*$'))
-    key = F.when(tail != "", _plain(F.regexp_extract(raw, r'(?s)^"(.*)"\s*:', 1)))
-    opened = (F.col("b") < level) & (F.col("b") + F.col("o") >= level)
-    return F.when(opened & cut, F.raise_error(F.lit("a key holds a brace")).cast("string")).when(opened, key)
+def _with_keys(placed: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """`k1`, `k2`...: the key before the brace that opens a level, NULL if the piece opens none or it has no key.
+
+    In steps, as an expression that is used twice under a condition is also evaluated twice.
+    """
+    opened = {n: (F.col("b") < n) & (F.col("b") + F.col("o") >= n) for n in levels}
+    out = placed.withColumns({f"_before{n}": F.when(opened[n], _up_to(F.col("masked"), F.lit(n) - F.col("b"))) for n in levels})
+    tail = {n: F.regexp_extract(F.substring_index(F.col(f"_before{n}"), "{", -1), r'"[^"]*"\s*:[\s\[]*$', 0) for n in levels}
+    out = out.withColumns({f"_tail{n}": F.when(F.col(f"_before{n}").isNotNull(), tail[n]) for n in levels})
+    inside = lambda n: F.substr(
+        "piece",
+        F.length(f"_before{n}") - F.length(f"_tail{n}") + 2,
+        F.length(F.substring_index(F.col(f"_tail{n}"), '"', 2)) - 1,
+    )
+    out = out.withColumns({f"_raw{n}": F.when(F.col(f"_tail{n}") != "", inside(n)) for n in levels})
+
+    def key(n: int) -> Column:
+        cut = F.col(f"_before{n}").isNotNull() & (F.col("h") == 1) & F.rlike(f"_before{n}", F.lit(r'^[^"]*"\s*:[\s\[]*$'))
+        failed = F.raise_error(F.lit("a key holds a brace")).cast("string")
+        return F.when(cut, failed).when(F.col(f"_raw{n}").isNotNull(), _plain(F.col(f"_raw{n}")))
+
+    return out.withColumns({f"k{n}": key(n) for n in levels}).drop(*[f"_{c}{n}" for c in ("before", "tail", "raw") for n in levels])
 
 
 def _member(name: str) -> Column:

@@ -89,3 +89,23 @@ def test_brace_in_a_key_is_an_error(spark, tmp_path):
     assert read_json_objects(spark, str(tmp_path)).count() == 1
     with pytest.raises(Exception, match="a key holds a brace"):
         read_json_objects(spark, str(tmp_path), depth=2).collect()
+
+
+def test_pieces_are_placed_once_whatever_reads_them(spark, tmp_path):
+    lines = [{"Company": f"c{i}", "facts": {"us-gaap": {"T": {"units": {"U": [{"val": i}, {"val": -i}]}}}}} for i in range(60)]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    got = read_large_facts(spark, str(tmp_path), None, 500)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split(" not in plan  # the text is not looked at for quotes and keys again
+    rows = sorted((r.ord, r.Company, r.tag, r.uom, r.value) for r in got.collect())
+    assert rows == [(2 * i + k, f"c{i}", "T", "U", (1 - 2 * k) * float(i)) for i in range(60) for k in (0, 1)]
+
+
+def test_keys_with_escapes_quotes_and_wide_characters(spark, tmp_path):
+    keys = [k for k in NASTY if "{" not in k and "}" not in k] + ["ü€😀", 'a":"b', "", " : [", "x\\", "é" * 40]
+    docs = [{"s": "😀é", a: {b: [{"n": i, "in": {a: {"z": b}}}], "t": [{"n": -i}]}} for i, (a, b) in enumerate(zip(keys, keys[::-1]), 1)]
+    for name, ascii_only, indent in (("a", True, None), ("b", False, None), ("c", False, 1)):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps(d, ensure_ascii=ascii_only, indent=indent) for d in docs), "utf-8")
+        got = read_json_objects(spark, str(tmp_path / f"{name}.json"), depth=2, split_bytes=100).orderBy("ord").collect()
+        wanted = [(i, [None, a, k], x) for i, d in enumerate(docs) for a in list(d)[1:] for k, v in d[a].items() for x in v]
+        assert [(r.doc, r["keys"], json.loads(r.value)) for r in got] == wanted
