@@ -58,8 +58,9 @@ def src_tagged_files(spark, sf):
 def _fact_documents(df):
     """Nested documents, at most 1000 events each."""
     row = F.struct("ord", "form", F.date_format("end", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"), "accn")
-    part = F.floor(F.col("ord") / 1000).alias("part")
-    units = df.groupBy("Company", part, "tag", "uom").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    # all three groupings meet within (Company, part): the events are dealt once
+    dealt = df.withColumn("part", F.floor(F.col("ord") / 1000)).repartition("Company", "part")
+    units = dealt.groupBy("Company", "part", "tag", "uom").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     bare = F.transform("rows", lambda r: F.struct(r["form"].alias("form"), r["end"].alias("end"), r["val"].alias("val"), r["accn"].alias("accn")))
     tags = units.groupBy("Company", "part", "tag").agg(F.map_from_entries(F.collect_list(F.struct("uom", bare))).alias("units"))
     docs = tags.groupBy("Company", "part").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("us-gaap"))

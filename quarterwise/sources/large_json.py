@@ -30,6 +30,9 @@ from quarterwise.sources.filings import FACT_SCHEMA
 
 _RANGE = ["file", "block"]
 _SPLIT = "spark.sql.files.maxPartitionBytes"
+_TASKS = "spark.sql.files.maxPartitionNum"
+#: Tasks at least, before ranges of a size of their own share one.
+_PACKED = 256
 
 
 def _along(keys: list[str], order: str, to: int):
@@ -121,13 +124,16 @@ def _pieces(spark: SparkSession, path: str, split_bytes: int | None) -> DataFram
     counted = counted.select(
         *raw.columns, F.octet_length("piece").alias("bytes"), "quotes", "open0", (F.col("open") - F.col("open0")).alias("open1")
     )
-    before = spark.conf.get(_SPLIT)
+    before, tasks = spark.conf.get(_SPLIT), spark.conf.get(_TASKS, None)
     if split_bytes:
         spark.conf.set(_SPLIT, str(split_bytes))
+        # small ranges, many to a task; they stay ranges of their own
+        spark.conf.set(_TASKS, str(max(_PACKED, 8 * spark.sparkContext.defaultParallelism)))
     try:
         return materialise(counted, "json-pieces")
     finally:
         spark.conf.set(_SPLIT, before)
+        spark.conf.unset(_TASKS) if tasks is None else spark.conf.set(_TASKS, tasks)
 
 
 def _bare() -> Column:
